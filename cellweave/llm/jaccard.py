@@ -8,10 +8,11 @@ must then meet each partner in a short list: one of its first n - ceil(t n) + 1
    it only sets the order, any order is right) are known to all tasks;
 2. short lists: each class posts its first tokens; lists of two classes or more are kept;
 3. search: rounds choose pairs that meet in a list and aren't connected yet. Pairs are grouped by one end, the query,
-   in groups of bounded size; in each the query's lists over the group's classes are divided: the longest L are
-   skipped, the short ones heap-merged, and classes that occur T - L times binary-probed in the long ones. The first
-   rounds pair a class with one class per list; the last one takes every pair that is still apart, so that no link
-   between components is lost though copies of copies are never expanded into all pairs.
+   in groups of bounded size. Their first tokens alone rule most of them out: linked sets differ in at most
+   n + m - 2 T tokens, also among those first ones. For the others the query's lists over the group's classes are
+   divided: the longest L are skipped, the short ones heap-merged, and classes that occur T - L times binary-probed in
+   the long ones. The first rounds pair a class with one class per list; the last one takes every pair that is still
+   apart, so that no link between components is lost though copies of copies are never expanded into all pairs.
 
 Defined results: a null, empty or wordless text has no shingle and links with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are of one class; null doc_ids take part, their own id is left null and never
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import drop, keep, partitions
+from .scratch import drop, keep, partitions, release
 from .words import NOT_SPACE, groups, hashes, mix, shingles, slices, spans
 
 WIDTH, PERCENT = 5, 75
@@ -187,13 +188,7 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
                     continue
                 seen.add(name)
                 n = prefix(len(own), percent)
-                first = own[:n]
-                if len(known):
-                    upper = (own >> _U(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(known, upper), len(known) - 1)
-                    length = np.where(known[at] == upper, power[at], 0)
-                    if length.any():
-                        first = own[np.argsort(length, kind="stable")[:n]]
+                first = _ordered(own, shared.value)[0][:n]
                 tokens.append(first)
                 names.append(name)
                 size += n
@@ -224,10 +219,25 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
     return texts.mapInArrow(post, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(lists, "token long, class long, hub long")
 
 
-def needed_sets(texts: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
-    """(class, n, tokens) of the classes asked for, from the texts. A filter of a bounded size thins them out in the
-    scan, a join makes that exact."""
-    bits = int(min(FILTER_BITS, max(10, math.ceil(math.log2(max(n_classes, 1) * 16)))))
+def _ordered(own: np.ndarray, longest: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The set from short to long lists, ties by hash, and how many of its tokens are in short lists."""
+    known, power = longest
+    if not len(known):
+        return own, len(own)
+    upper = (own >> _U(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(known, upper), len(known) - 1)
+    length = np.where(known[at] == upper, power[at], 0)
+    return (own[np.argsort(length, kind="stable")], int((length == 0).sum())) if length.any() else (own, len(own))
+
+
+def needed_sets(texts: DataFrame, classes: DataFrame, heads: tuple | None = None, percent: int = PERCENT) -> DataFrame:
+    """(class, n, tokens) of the classes asked for, from the texts; with heads (the longest lists), of each set only
+    the upper halves of its first tokens in short lists, and complete: whether these are all its tokens in short lists.
+
+    A filter of a bounded size thins the classes out in the scan, a join makes that exact.
+    """
+    spark = texts.sparkSession
+    bits = int(min(FILTER_BITS, max(10, math.ceil(math.log2(max(classes.count(), 1) * 16)))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << (bits - 3), np.uint8)
@@ -241,11 +251,11 @@ def needed_sets(texts: DataFrame, classes: DataFrame, n_classes: int) -> DataFra
     filled = np.zeros(1 << (bits - 3), np.uint8)
     for part in classes.mapInArrow(gather, "at binary, bits binary").toLocalIterator():
         filled[np.frombuffer(part.at, np.int32)] |= np.frombuffer(part.bits, np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(filled)
+    shared, order = spark.sparkContext.broadcast(filled), spark.sparkContext.broadcast(heads)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, seen = shared.value, set()
-        schema = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
+        filled, longest, seen = shared.value, order.value, set()
+        schema = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("complete", pa.bool_())]
         rows, size = [], 0
         for b in batches:
             for own in shingle_sets(b.column(0)):
@@ -256,7 +266,12 @@ def needed_sets(texts: DataFrame, classes: DataFrame, n_classes: int) -> DataFra
                 h = mix(np.array([name], np.int64).view(_U), 17)
                 places = [int((h >> _U(64 - bits))[0]), int((mix(h, 19) >> _U(64 - bits))[0])]
                 if all(filled[p >> 3] >> (p & 7) & 1 for p in places):
-                    rows.append((name, len(own), own.tobytes()))
+                    if longest is None:
+                        rows.append((name, len(own), own.tobytes(), True))
+                    else:
+                        first, n_short = _ordered(own, longest)
+                        p = prefix(len(own), percent)
+                        rows.append((name, len(own), (first[: min(p, n_short)] >> _U(32)).astype(np.uint32).tobytes(), p >= n_short))
                     size += len(own)
                 if size > 1 << 18:
                     yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
@@ -264,43 +279,60 @@ def needed_sets(texts: DataFrame, classes: DataFrame, n_classes: int) -> DataFra
         if rows:
             yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
 
-    found = texts.mapInArrow(sets, "class long, n long, tokens binary").join(classes, "class", "left_semi")
-    return found.groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    found = texts.mapInArrow(sets, "class long, n long, tokens binary, complete boolean").join(classes, "class", "left_semi")
+    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "complete")])
+
+
+def _differ(x: np.ndarray, whole_x: bool, y: np.ndarray, whole_y: bool) -> int:
+    """A lower bound of the tokens that two sets don't share, from their first tokens in short lists."""
+    ends = [a[-1] for a, whole in ((x, whole_x), (y, whole_y)) if len(a) and not whole]
+    if ends:
+        x, y = x[: np.searchsorted(x, min(ends), "left")], y[: np.searchsorted(y, min(ends), "left")]
+    if not len(x) or not len(y):
+        return len(x) + len(y)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return max(0, len(x) + len(y) - 2 * int((y[at] == x).sum()))
 
 
-def search(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of those pairs (query, class) that link. Groups are the pairs of one query, GROUP of them at most or so."""
+def search(pairs: DataFrame, sets: DataFrame, percent: int, heads: bool = False) -> DataFrame:
+    """(query, class) of those pairs that link; with heads, that their first tokens don't rule out.
+
+    Groups are the pairs of one query, GROUP of them or so.
+    """
     counts = pairs.groupBy("query").agg(F.count("*").alias("_n"))
-    sized = sets.select("class", "n")
     pairs = pairs.join(counts, "query").withColumn("slice", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / GROUP)).cast("int")).drop("_n")
-    pairs = pairs.join(sized.select(F.col("class").alias("query"), F.col("n").alias("nq")), "query")
+    pairs = pairs.join(sets.select(F.col("class").alias("query"), F.col("n").alias("nq")), "query")
     members = pairs.join(sets, "class").where((F.col("n") * 100 >= F.col("nq") * percent) & (F.col("nq") * 100 >= F.col("n") * percent))
-    members = members.select("query", "slice", "class", "tokens", F.lit(False).alias("is_query"))
-    queries = pairs.select("query", "slice").distinct().join(sets.withColumnRenamed("class", "query"), "query").select("query", "slice", F.col("query").alias("class"), "tokens", F.lit(True).alias("is_query"))
+    members = members.select("query", "slice", "class", "n", "tokens", "complete", F.lit(False).alias("is_query"))
+    queries = pairs.select("query", "slice").distinct().join(sets.withColumnRenamed("class", "query"), "query")
+    queries = queries.select("query", "slice", F.col("query").alias("class"), "n", "tokens", "complete", F.lit(True).alias("is_query"))
     both = queries.unionByName(members).withColumn("group", F.xxhash64("query", "slice"))
     both = both.repartition(partitions(pairs.sparkSession), "group").sortWithinPartitions("group", F.desc("is_query"))
+    schema, kind = [("query", pa.int64()), ("class", pa.int64())], np.uint32 if heads else _U
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for table in groups(batches, "group"):
-            names, heads = np.asarray(table.column("class")), np.asarray(table.column("is_query"))
-            blobs = [np.frombuffer(x.as_py(), _U) for x in table.column("tokens")]
-            of = table.column("query").to_pylist()
-            for q in np.flatnonzero(heads).tolist():
-                own = np.array([k for k in range(len(of)) if not heads[k] and of[k] == of[q]], np.int64)
+            names, is_query, n, complete = (np.asarray(table.column(c)) for c in ("class", "is_query", "n", "complete"))
+            blobs = [np.frombuffer(x.as_py(), kind) for x in table.column("tokens")]
+            of = np.asarray(table.column("query"))
+            for q in np.flatnonzero(is_query).tolist():
+                own = np.flatnonzero(~is_query & (of == of[q]))
                 if not len(own):
                     continue
-                sizes = np.array([len(blobs[k]) for k in own.tolist()], np.int64)
-                shared = t_occurrence(blobs[q], np.concatenate([blobs[k] for k in own.tolist()]), np.repeat(np.arange(len(own)), sizes), required(sizes, np.int64(len(blobs[q])), percent))
-                hit = own[shared > 0]
+                least = required(n[own], n[q], percent)
+                if heads:
+                    hit = own[[_differ(blobs[q], complete[q], blobs[k], complete[k]) <= n[q] + n[k] - 2 * t for k, t in zip(own.tolist(), least.tolist(), strict=True)]]
+                else:
+                    hit = own[t_occurrence(blobs[q], np.concatenate([blobs[k] for k in own.tolist()]), np.repeat(np.arange(len(own)), n[own]), least) > 0]
                 a += [int(names[q])] * len(hit)
                 b += names[hit].tolist()
             if len(a) > 10_000:
-                yield _batch([("a", pa.int64()), ("b", pa.int64())], [a, b])
+                yield _batch(schema, [a, b])
                 a, b = [], []
-        yield _batch([("a", pa.int64()), ("b", pa.int64())], [a, b])
+        yield _batch(schema, [a, b])
 
-    return both.select("group", "query", "class", "is_query", "tokens").mapInArrow(probe, "a long, b long")
+    return both.select("group", "query", "class", "n", "tokens", "complete", "is_query").mapInArrow(probe, "query long, class long")
 
 
 def _apart(posts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,28 +355,39 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     hubs = posts.select("token", "hub").distinct()
     across = hubs.join(hubs.groupBy("token").agg(F.min("hub").alias("query"), F.count("*").alias("k")).where("k > 1"), "token")
     pairs = posts.select(F.col("hub").alias("query"), "class").unionByName(across.select("query", F.col("hub").alias("class"))).where("query <> class").distinct()
-    tried = keep(pairs, "pairs")
-    involved = posts.select("class").distinct()
-    sets = keep(needed_sets(texts, involved, involved.count()), "sets")
-    links = keep(search(tried, sets, percent), "links")
-    for last in (False, True):
-        labels = keep(components(links), "labels")
+    release(spark)
+    tried, pairs = keep(pairs, "pairs"), None
+    heads = keep(needed_sets(texts, posts.select("class").distinct(), longest, percent), "heads")
+    release(spark)
+    links = spark.createDataFrame([], "query long, class long")
+    fresh = tried
+    for turn in ("one in each list", "others in each list", "all that are apart"):
+        likely = keep(search(fresh, heads, percent, heads=True), "likely")
+        involved = keep(likely.select(F.explode(F.array("query", "class")).alias("class")).distinct(), "involved")
+        if not involved.isEmpty():
+            sets = keep(needed_sets(texts, involved), "sets")
+            release(spark)
+            links = keep(links.unionByName(search(likely, sets, percent)), "links")
+            drop(sets)
+        drop(likely, involved)
+        release(spark)
+        if turn == "all that are apart":
+            break
+        labels = keep(components(links, "query", "class"), "labels")
         apart = keep(_apart(posts, labels), "apart")
-        if last:
+        if turn == "one in each list":
+            pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query"))
+        else:
             others = apart.where("component <> main").select("token", F.col("class").alias("query"), F.col("component").alias("of"))
             pairs = others.join(apart.select("token", "class", "component"), "token").where("of <> component").select("query", "class")
             pairs = pairs.select(F.least("query", "class").alias("query"), F.greatest("query", "class").alias("class"))
-        else:
-            pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query"))
         pairs = pairs.distinct().join(tried, ["query", "class"], "left_anti").join(tried.select(F.col("query").alias("class"), F.col("class").alias("query")), ["query", "class"], "left_anti")
-        fresh = keep(pairs, "pairs")
-        new = keep(links.unionByName(search(fresh, sets, percent)), "links")
-        more = keep(tried.unionByName(fresh), "pairs")
-        drop(links, tried, fresh, apart, labels)
-        links, tried = new, more
-    drop(posts, tried, sets)
-    out = keep(components(links), "labels")
-    drop(links)
+        fresh, pairs = keep(pairs, "pairs"), None
+        tried = keep(tried.unionByName(fresh), "pairs")
+        drop(apart, labels)
+        release(spark)
+    drop(posts, tried, fresh, heads)
+    out = keep(components(links, "query", "class"), "labels")
     return out.withColumnRenamed("node", "class")
 
 
