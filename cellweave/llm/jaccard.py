@@ -6,13 +6,13 @@ must then meet each partner in a short list: one of its first n - ceil(t n) + 1
 
 1. list lengths: tokens are counted over all texts, in buckets of the hash range; the longest lists (a bounded table,
    it only sets the order, any order is right) are known to all tasks;
-2. short lists: each class posts its first tokens; lists of two classes or more are kept;
-3. search: rounds choose pairs that meet in a list and aren't connected yet. Pairs are grouped by one end, the query,
-   in groups of bounded size. Their first tokens alone rule most of them out: linked sets differ in at most
-   n + m - 2 T tokens, also among those first ones. For the others the query's lists over the group's classes are
-   divided: the longest L are skipped, the short ones heap-merged, and classes that occur T - L times binary-probed in
-   the long ones. The first rounds pair a class with one class per list; the last one takes every pair that is still
-   apart, so that no link between components is lost though copies of copies are never expanded into all pairs.
+2. short lists: each class posts its first tokens; lists of two classes or more are kept, once for each set of members;
+3. search: turns choose pairs that meet in a list and aren't connected yet. Parity sketches rule most of them out: the
+   sketches of linked sets differ in at most n + m - 2 T bits. The others are grouped by one end, the query, in groups
+   of bounded size; in each the query's lists over the group's classes are divided: the longest L are skipped, the
+   short ones heap-merged, and classes that occur T - L times binary-probed in the long ones. The first turns pair a
+   class with few classes per list; the last one compares the sketches of all that are still apart, in blocks, so that
+   no link between components is lost though copies of copies are never expanded into all pairs.
 
 Defined results: a null, empty or wordless text has no shingle and links with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are of one class; null doc_ids take part, their own id is left null and never
@@ -153,10 +153,9 @@ def long_lists(texts: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buckets: int, percent: int) -> DataFrame:
-    """(token, class, hub): posts in lists of two classes or more; hub is the least class of the list, or of a slice.
+    """(list, token, classes): lists of two classes or more, one for each set of members; list is its number.
 
-    The list of a token over 2 ** 16 long is cut into slices by class, each in a bucket of its own; such lists have
-    several hubs.
+    The list of a token over 2 ** 16 long is cut into slices by class, each in a bucket of its own and a row of its own.
     """
     shared = texts.sparkSession.sparkContext.broadcast(longest)
 
@@ -212,11 +211,19 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
         if len(known):
             at = np.minimum(np.searchsorted(known, upper), len(known) - 1)
             sliced = (known[at] == upper) & (power[at] > 16)
-        use = np.repeat((n > 1) | sliced, n)
-        hub = np.repeat(name[edge[:-1]], n)
-        return pa.table({"token": pa.array(token[use].view(np.int64)), "class": pa.array(name[use]), "hub": pa.array(hub[use])})
+        name_sum = np.add.reduceat(mix(name.view(_U), 5), edge[:-1]) if len(name) else np.zeros(0, _U)
+        first = token[edge[:-1]]
+        number = np.where(sliced, mix(first ^ name_sum, 6), mix(name_sum, 7))
+        use = np.flatnonzero((n > 1) | sliced)
+        _, once = np.unique(number[use], return_index=True)
+        use = use[once]
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[use]))), pa.int32()), pa.array(name[np.repeat(edge[use], n[use]) + np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use])]))
+        return pa.table({"list": pa.array(number[use].view(np.int64)), "token": pa.array(first[use].view(np.int64)), "sliced": pa.array(sliced[use]), "classes": members})
 
-    return texts.mapInArrow(post, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(lists, "token long, class long, hub long")
+    found = texts.mapInArrow(post, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(lists, "list long, token long, sliced boolean, classes array<long>")
+    found = found.groupBy("list").agg(F.first("token").alias("token"), F.first("sliced").alias("sliced"), F.first("classes").alias("classes"))
+    # The slices of a token's list keep their token in common, as one list.
+    return found.withColumn("list", F.when(F.col("sliced"), F.xxhash64("token")).otherwise(F.col("list"))).select("list", "classes")
 
 
 def _ordered(own: np.ndarray, longest: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
@@ -230,9 +237,8 @@ def _ordered(own: np.ndarray, longest: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return (own[np.argsort(length, kind="stable")], int((length == 0).sum())) if length.any() else (own, len(own))
 
 
-def needed_sets(texts: DataFrame, classes: DataFrame, heads: tuple | None = None, percent: int = PERCENT) -> DataFrame:
-    """(class, n, tokens) of the classes asked for, from the texts; with heads (the longest lists), of each set only
-    the upper halves of its first tokens in short lists, and complete: whether these are all its tokens in short lists.
+def needed_sets(texts: DataFrame, classes: DataFrame, sketched: bool = False) -> DataFrame:
+    """(class, n, tokens) of the classes asked for, from the texts, or with their sketches in place of their tokens.
 
     A filter of a bounded size thins the classes out in the scan, a join makes that exact.
     """
@@ -251,11 +257,11 @@ def needed_sets(texts: DataFrame, classes: DataFrame, heads: tuple | None = None
     filled = np.zeros(1 << (bits - 3), np.uint8)
     for part in classes.mapInArrow(gather, "at binary, bits binary").toLocalIterator():
         filled[np.frombuffer(part.at, np.int32)] |= np.frombuffer(part.bits, np.uint8)
-    shared, order = spark.sparkContext.broadcast(filled), spark.sparkContext.broadcast(heads)
+    shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, longest, seen = shared.value, order.value, set()
-        schema = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("complete", pa.bool_())]
+        filled, seen = shared.value, set()
+        schema = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
         rows, size = [], 0
         for b in batches:
             for own in shingle_sets(b.column(0)):
@@ -266,12 +272,7 @@ def needed_sets(texts: DataFrame, classes: DataFrame, heads: tuple | None = None
                 h = mix(np.array([name], np.int64).view(_U), 17)
                 places = [int((h >> _U(64 - bits))[0]), int((mix(h, 19) >> _U(64 - bits))[0])]
                 if all(filled[p >> 3] >> (p & 7) & 1 for p in places):
-                    if longest is None:
-                        rows.append((name, len(own), own.tobytes(), True))
-                    else:
-                        first, n_short = _ordered(own, longest)
-                        p = prefix(len(own), percent)
-                        rows.append((name, len(own), (first[: min(p, n_short)] >> _U(32)).astype(np.uint32).tobytes(), p >= n_short))
+                    rows.append((name, len(own), sketch(own) if sketched else own.tobytes()))
                     size += len(own)
                 if size > 1 << 18:
                     yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
@@ -279,52 +280,69 @@ def needed_sets(texts: DataFrame, classes: DataFrame, heads: tuple | None = None
         if rows:
             yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
 
-    found = texts.mapInArrow(sets, "class long, n long, tokens binary, complete boolean").join(classes, "class", "left_semi")
-    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "complete")])
+    found = texts.mapInArrow(sets, "class long, n long, tokens binary").join(classes, "class", "left_semi")
+    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "tokens")])
 
 
-def _differ(x: np.ndarray, whole_x: bool, y: np.ndarray, whole_y: bool) -> int:
-    """A lower bound of the tokens that two sets don't share, from their first tokens in short lists."""
-    ends = [a[-1] for a, whole in ((x, whole_x), (y, whole_y)) if len(a) and not whole]
-    if ends:
-        x, y = x[: np.searchsorted(x, min(ends), "left")], y[: np.searchsorted(y, min(ends), "left")]
-    if not len(x) or not len(y):
-        return len(x) + len(y)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return max(0, len(x) + len(y) - 2 * int((y[at] == x).sum()))
+def sketch(own: np.ndarray) -> bytes:
+    """How many tokens fall on each place, odd or even, on 4 places a token or more (a power of two). The sketches of two
+    sets differ in no more places than the sets in tokens; a sketch folds to half its places by exclusive or."""
+    places = 1 << max(6, math.ceil(math.log2(4 * len(own))))
+    return np.packbits(np.bincount((own & _U(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
 
 
-def search(pairs: DataFrame, sets: DataFrame, percent: int, heads: bool = False) -> DataFrame:
-    """(query, class) of those pairs that link; with heads, that their first tokens don't rule out.
+class Sketches:
+    """The sketches of some sets, in a matrix for each size, to be compared with one at a time."""
+
+    def __init__(self, blobs: list[bytes], n: np.ndarray):
+        self.n, self.size = n, np.array([len(b) for b in blobs])
+        self.at = {s: np.flatnonzero(self.size == s) for s in np.unique(self.size).tolist()}
+        self.bits = {s: np.frombuffer(b"".join(blobs[k] for k in at.tolist()), _U).reshape(len(at), s // 8) for s, at in self.at.items()}
+
+    def near(self, blob: bytes, n: int, percent: int) -> np.ndarray:
+        """Those that may link with a set of n tokens and this sketch."""
+        own, out = np.frombuffer(blob, _U), []
+        for s, at in self.at.items():
+            x, y = own, self.bits[s]
+            while len(x) > y.shape[1]:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(x) < y.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            m = self.n[at]
+            fits = (m * 100 >= n * percent) & (n * 100 >= m * percent)
+            fits &= np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + m - 2 * required(m, np.int64(n), percent)
+            out.append(at[fits])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = False) -> DataFrame:
+    """(query, class) of those pairs that link; with sketches, that they don't rule out.
 
     Groups are the pairs of one query, GROUP of them or so.
     """
     counts = pairs.groupBy("query").agg(F.count("*").alias("_n"))
     pairs = pairs.join(counts, "query").withColumn("slice", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / GROUP)).cast("int")).drop("_n")
-    pairs = pairs.join(sets.select(F.col("class").alias("query"), F.col("n").alias("nq")), "query")
-    members = pairs.join(sets, "class").where((F.col("n") * 100 >= F.col("nq") * percent) & (F.col("nq") * 100 >= F.col("n") * percent))
-    members = members.select("query", "slice", "class", "n", "tokens", "complete", F.lit(False).alias("is_query"))
+    members = pairs.join(sets, "class").select("query", "slice", "class", "n", "tokens", F.lit(False).alias("is_query"))
     queries = pairs.select("query", "slice").distinct().join(sets.withColumnRenamed("class", "query"), "query")
-    queries = queries.select("query", "slice", F.col("query").alias("class"), "n", "tokens", "complete", F.lit(True).alias("is_query"))
+    queries = queries.select("query", "slice", F.col("query").alias("class"), "n", "tokens", F.lit(True).alias("is_query"))
     both = queries.unionByName(members).withColumn("group", F.xxhash64("query", "slice"))
-    both = both.repartition(partitions(pairs.sparkSession), "group").sortWithinPartitions("group", F.desc("is_query"))
-    schema, kind = [("query", pa.int64()), ("class", pa.int64())], np.uint32 if heads else _U
+    both = both.repartition(partitions(pairs.sparkSession), "group").sortWithinPartitions("group")
+    schema = [("query", pa.int64()), ("class", pa.int64())]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for table in groups(batches, "group"):
-            names, is_query, n, complete = (np.asarray(table.column(c)) for c in ("class", "is_query", "n", "complete"))
-            blobs = [np.frombuffer(x.as_py(), kind) for x in table.column("tokens")]
-            of = np.asarray(table.column("query"))
+            names, is_query, n, of = (np.asarray(table.column(c)) for c in ("class", "is_query", "n", "query"))
+            blobs = table.column("tokens").to_pylist()
             for q in np.flatnonzero(is_query).tolist():
                 own = np.flatnonzero(~is_query & (of == of[q]))
                 if not len(own):
                     continue
-                least = required(n[own], n[q], percent)
-                if heads:
-                    hit = own[[_differ(blobs[q], complete[q], blobs[k], complete[k]) <= n[q] + n[k] - 2 * t for k, t in zip(own.tolist(), least.tolist(), strict=True)]]
+                if sketched:
+                    hit = own[Sketches([blobs[k] for k in own.tolist()], n[own]).near(blobs[q], int(n[q]), percent)]
                 else:
-                    hit = own[t_occurrence(blobs[q], np.concatenate([blobs[k] for k in own.tolist()]), np.repeat(np.arange(len(own)), n[own]), least) > 0]
+                    tokens = np.concatenate([np.frombuffer(blobs[k], _U) for k in own.tolist()])
+                    hit = own[t_occurrence(np.frombuffer(blobs[q], _U), tokens, np.repeat(np.arange(len(own)), n[own]), required(n[own], n[q], percent)) > 0]
                 a += [int(names[q])] * len(hit)
                 b += names[hit].tolist()
             if len(a) > 10_000:
@@ -332,63 +350,92 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int, heads: bool = False)
                 a, b = [], []
         yield _batch(schema, [a, b])
 
-    return both.select("group", "query", "class", "n", "tokens", "complete", "is_query").mapInArrow(probe, "query long, class long")
+    return both.select("group", "query", "class", "n", "tokens", "is_query").mapInArrow(probe, "query long, class long")
+
+
+def search_apart(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(query, class) of different components that share a list and that sketches don't rule out.
+
+    In every list the classes outside its main component meet all of the list, in blocks of at most 2 * GROUP a side.
+    """
+    sizes = apart.groupBy("list").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / (2 * GROUP)).alias("a"), F.ceil(F.count("*") / (2 * GROUP)).alias("b"))
+    rows = apart.select("list", "class", "component", (F.col("component") != F.col("main")).alias("other")).join(sizes, "list").join(sketches, "class")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("class"), F.col("a"))).withColumn("j", F.pmod(F.xxhash64("class"), F.col("b")))
+    zero = F.lit(0).cast("long")
+    left = rows.where("other").withColumn("j", F.explode(F.sequence(zero, F.col("b") - 1))).withColumn("left", F.lit(True))
+    right = rows.withColumn("i", F.explode(F.sequence(zero, F.col("a") - 1))).withColumn("left", F.lit(False))
+    both = left.unionByName(right).withColumn("group", F.xxhash64("list", "i", "j")).select("group", "class", "component", "other", "left", "n", "tokens")
+    both = both.repartition(partitions(apart.sparkSession), "group").sortWithinPartitions("group")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, told = [], [], set()
+        schema = [("query", pa.int64()), ("class", pa.int64())]
+        for table in groups(batches, "group"):
+            names, component, other, left, n = (np.asarray(table.column(c)) for c in ("class", "component", "other", "left", "n"))
+            blobs = table.column("tokens").to_pylist()
+            own = np.flatnonzero(~left)
+            all_ = Sketches([blobs[k] for k in own.tolist()], n[own])
+            for q in np.flatnonzero(left).tolist():
+                hit = own[all_.near(blobs[q], int(n[q]), percent)]
+                hit = hit[(component[hit] != component[q]) & (~other[hit] | (names[hit] > names[q]))]
+                for c in names[hit].tolist():
+                    if (pair := (int(names[q]), c)) not in told:
+                        told.add(pair)
+                        a.append(pair[0])
+                        b.append(c)
+            if len(a) > 10_000:
+                yield _batch(schema, [a, b])
+                a, b = [], []
+        yield _batch(schema, [a, b])
+
+    return both.mapInArrow(probe, "query long, class long").distinct()
 
 
 def _apart(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """posts (token, class) with their component, of those lists that hold several; `main` is the list's commonest."""
-    named = posts.join(labels, posts["class"] == labels["node"], "left").select("token", "class", F.coalesce("component", "class").alias("component"))
-    per = named.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    main = per.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("n", "component", "lo", "hi")).alias("m")).where("k > 1")
-    return named.join(main.select("token", F.col("m.component").alias("main"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi")), "token")
+    """posts (list, class) with their component, of those lists that hold several; `main` is the list's commonest."""
+    named = posts.join(labels, posts["class"] == labels["node"], "left").select("list", "class", F.coalesce("component", "class").alias("component"))
+    per = named.groupBy("list", "component").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    main = per.groupBy("list").agg(F.count("*").alias("k"), F.max(F.struct("n", "component", "lo", "hi")).alias("m")).where("k > 1")
+    return named.join(main.select("list", F.col("m.component").alias("main"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi")), "list")
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(class, component): for every class that links with another, the least class it reaches."""
     spark = docs.sparkSession
-    if width != WIDTH:
-        raise ValueError(f"shingles are of {WIDTH} words")
     texts = docs.select("text")
     n_buckets = 4 * partitions(spark)
-    longest = long_lists(texts, n_buckets)
-    posts = keep(short_lists(texts, longest, n_buckets, percent), "posts")
-    hubs = posts.select("token", "hub").distinct()
-    across = hubs.join(hubs.groupBy("token").agg(F.min("hub").alias("query"), F.count("*").alias("k")).where("k > 1"), "token")
-    pairs = posts.select(F.col("hub").alias("query"), "class").unionByName(across.select("query", F.col("hub").alias("class"))).where("query <> class").distinct()
-    release(spark)
-    tried, pairs = keep(pairs, "pairs"), None
-    heads = keep(needed_sets(texts, posts.select("class").distinct(), longest, percent), "heads")
+    lists = keep(short_lists(texts, long_lists(texts, n_buckets), n_buckets, percent), "lists")
     release(spark)
+    posts = lists.select("list", F.explode("classes").alias("class"))
+    hubs = lists.groupBy("list").agg(F.min(F.array_min("classes")).alias("query"))
+    pairs = posts.join(hubs, "list").where("query <> class").select("query", "class").distinct()
+    sketches = keep(needed_sets(texts, posts.select("class").distinct(), sketched=True), "sketches")
     links = spark.createDataFrame([], "query long, class long")
-    fresh = tried
-    for turn in ("one in each list", "others in each list", "all that are apart"):
-        likely = keep(search(fresh, heads, percent, heads=True), "likely")
+    for turn in ("the least of each list", "two of the main component of each list", "all that are apart"):
+        if turn != "the least of each list":
+            labels = keep(components(links, "query", "class"), "labels")
+            apart = keep(_apart(posts, labels), "apart")
+            drop(labels)
+        if turn == "all that are apart":
+            likely = keep(search_apart(apart, sketches, percent), "likely")
+        else:
+            if turn != "the least of each list":
+                pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query")).distinct()
+            likely = keep(search(pairs, sketches, percent, sketched=True), "likely")
+        pairs = None
         involved = keep(likely.select(F.explode(F.array("query", "class")).alias("class")).distinct(), "involved")
+        release(spark)
         if not involved.isEmpty():
             sets = keep(needed_sets(texts, involved), "sets")
             release(spark)
             links = keep(links.unionByName(search(likely, sets, percent)), "links")
             drop(sets)
         drop(likely, involved)
+        if turn != "the least of each list":
+            drop(apart)
         release(spark)
-        if turn == "all that are apart":
-            break
-        labels = keep(components(links, "query", "class"), "labels")
-        apart = keep(_apart(posts, labels), "apart")
-        if turn == "one in each list":
-            pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query"))
-        else:
-            others = apart.where("component <> main").select("token", F.col("class").alias("query"), F.col("component").alias("of"))
-            pairs = others.join(apart.select("token", "class", "component"), "token").where("of <> component").select("query", "class")
-            pairs = pairs.select(F.least("query", "class").alias("query"), F.greatest("query", "class").alias("class"))
-        pairs = pairs.distinct().join(tried, ["query", "class"], "left_anti").join(tried.select(F.col("query").alias("class"), F.col("class").alias("query")), ["query", "class"], "left_anti")
-        fresh, pairs = keep(pairs, "pairs"), None
-        tried = keep(tried.unionByName(fresh), "pairs")
-        drop(apart, labels)
-        release(spark)
-    drop(posts, tried, fresh, heads)
-    out = keep(components(links, "query", "class"), "labels")
-    return out.withColumnRenamed("node", "class")
+    drop(lists, sketches)
+    return components(links, "query", "class").withColumnRenamed("node", "class")
 
 
 def with_class(docs: DataFrame) -> DataFrame:

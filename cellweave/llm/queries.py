@@ -1,11 +1,16 @@
 """The training-data queries by name, with their SQL where there is one."""
 
-from . import decontaminate, jaccard, mixing, toxicity
+from . import chat, decontaminate, fixity, hmm, html_text, jaccard, mixing, neighbours, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_warc_fixity": fixity.op3_warc_fixity,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+    "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_nn_descent": neighbours.op9_nn_descent,
+    "op10_hmm_language_model": hmm.op10_hmm_language_model,
 }
-SQL = {**mixing.SQL, **decontaminate.SQL, **toxicity.SQL, **jaccard.SQL}
+SQL = {k: v for m in (chat, decontaminate, fixity, hmm, html_text, jaccard, mixing, neighbours, toxicity) for k, v in m.SQL.items()}
