@@ -1,8 +1,9 @@
 """The training-data queries by name, with their SQL where there is one."""
 
-from . import chat, decontaminate, fixity, hmm, html_text, jaccard, mixing, neighbours, toxicity
+from . import chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_warc_fixity": fixity.op3_warc_fixity,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_nn_descent": neighbours.op9_nn_descent,
     "op10_hmm_language_model": hmm.op10_hmm_language_model,
 }
-SQL = {k: v for m in (chat, decontaminate, fixity, hmm, html_text, jaccard, mixing, neighbours, toxicity) for k, v in m.SQL.items()}
+SQL = {k: v for m in (chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, toxicity) for k, v in m.SQL.items()}
