@@ -93,7 +93,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarr
     """For each row its sorted distinct shingle hashes: runs of `width` words, or the whole row if it has fewer."""
     total = np.zeros(max(0, len(words) - width + 1), _U)
     for k in range(width):
-        total = total * _U(_STEP) + words[k : len(words) - width + 1 + k]
+        total = total * _U(_STEP) + words[k : k + len(total)]
     total = mix(total, width)
     out = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
