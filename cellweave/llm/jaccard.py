@@ -11,7 +11,8 @@ must then meet each partner in a short list: one of its first n - ceil(t n) + 1
    sketches of linked sets differ in at most n + m - 2 T bits. The others are grouped by one end, the query, in groups
    of bounded size; in each the query's lists over the group's classes are divided: the longest L are skipped, the
    short ones heap-merged, and classes that occur T - L times binary-probed in the long ones. The first turns pair a
-   class with few classes per list; the last one compares the sketches of all that are still apart, in blocks, so that
+   class with few classes per list. The next compare the sketches of all that are still apart, in blocks, and take a
+   forest of the nearest pairs of each block; the last takes every pair of components that are apart even then, so that
    no link between components is lost though copies of copies are never expanded into all pairs.
 
 Defined results: a null, empty or wordless text has no shingle and links with nothing; a text of fewer words than a
@@ -299,9 +300,10 @@ class Sketches:
         self.at = {s: np.flatnonzero(self.size == s) for s in np.unique(self.size).tolist()}
         self.bits = {s: np.frombuffer(b"".join(blobs[k] for k in at.tolist()), _U).reshape(len(at), s // 8) for s, at in self.at.items()}
 
-    def near(self, blob: bytes, n: int, percent: int) -> np.ndarray:
-        """Those that may link with a set of n tokens and this sketch."""
-        own, out = np.frombuffer(blob, _U), []
+    def near(self, blob: bytes, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those that may link with a set of n tokens and this sketch, and how near they seem: 0 for equal sketches, up
+        to 1 for as many differences as links allow."""
+        own, out, shares = np.frombuffer(blob, _U), [], []
         for s, at in self.at.items():
             x, y = own, self.bits[s]
             while len(x) > y.shape[1]:
@@ -310,9 +312,33 @@ class Sketches:
                 y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
             m = self.n[at]
             fits = (m * 100 >= n * percent) & (n * 100 >= m * percent)
-            fits &= np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + m - 2 * required(m, np.int64(n), percent)
+            differ, most = np.bitwise_count(x ^ y).sum(1, dtype=np.int64), n + m - 2 * required(m, np.int64(n), percent)
+            fits &= differ <= most
             out.append(at[fits])
-        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+            shares.append(differ[fits] / np.maximum(most[fits], 1))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, share = np.concatenate(out), np.concatenate(shares)
+        order = np.argsort(at)
+        return at[order], share[order]
+
+
+def forest(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which of the edges between a and b a least spanning forest takes, nearest first; edges are dropped in runs once
+    their ends are joined."""
+    _, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = np.arange(ends.max() + 1 if len(ends) else 0)
+    left = np.argsort(share, kind="stable")
+    a, b, taken = ends[: len(a)], ends[len(a) :], []
+    while len(left):
+        run, left = left[:4096], left[4096:]
+        for k in run.tolist():
+            x, y = label[a[k]], label[b[k]]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                taken.append(k)
+        left = left[label[a[left]] != label[b[left]]]
+    return np.array(taken, np.int64)
 
 
 def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = False) -> DataFrame:
@@ -339,7 +365,7 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = Fal
                 if not len(own):
                     continue
                 if sketched:
-                    hit = own[Sketches([blobs[k] for k in own.tolist()], n[own]).near(blobs[q], int(n[q]), percent)]
+                    hit = own[Sketches([blobs[k] for k in own.tolist()], n[own]).near(blobs[q], int(n[q]), percent)[0]]
                 else:
                     tokens = np.concatenate([np.frombuffer(blobs[k], _U) for k in own.tolist()])
                     hit = own[t_occurrence(np.frombuffer(blobs[q], _U), tokens, np.repeat(np.arange(len(own)), n[own]), required(n[own], n[q], percent)) > 0]
@@ -353,8 +379,9 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = Fal
     return both.select("group", "query", "class", "n", "tokens", "is_query").mapInArrow(probe, "query long, class long")
 
 
-def search_apart(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(query, class) of different components that share a list and that sketches don't rule out.
+def search_apart(apart: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(query, class) of different components that share a list and that sketches don't rule out: every such pair, or
+    of each block only a forest that spans its components, nearest pairs first.
 
     In every list the classes outside its main component meet all of the list, in blocks of at most 2 * GROUP a side.
     """
@@ -375,14 +402,25 @@ def search_apart(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFra
             blobs = table.column("tokens").to_pylist()
             own = np.flatnonzero(~left)
             all_ = Sketches([blobs[k] for k in own.tolist()], n[own])
+            one, two, shares = [], [], []
             for q in np.flatnonzero(left).tolist():
-                hit = own[all_.near(blobs[q], int(n[q]), percent)]
-                hit = hit[(component[hit] != component[q]) & (~other[hit] | (names[hit] > names[q]))]
-                for c in names[hit].tolist():
-                    if (pair := (int(names[q]), c)) not in told:
-                        told.add(pair)
-                        a.append(pair[0])
-                        b.append(c)
+                hit, share = all_.near(blobs[q], int(n[q]), percent)
+                hit = own[hit]
+                new = (component[hit] != component[q]) & (~other[hit] | (names[hit] > names[q]))
+                one.append(np.full(int(new.sum()), q))
+                two.append(hit[new])
+                shares.append(share[new])
+            if not one:
+                continue
+            one, two = np.concatenate(one), np.concatenate(two)
+            if not every:
+                use = forest(component[one], component[two], np.concatenate(shares))
+                one, two = one[use], two[use]
+            for pair in zip(names[one].tolist(), names[two].tolist(), strict=True):
+                if pair not in told:
+                    told.add(pair)
+                    a.append(pair[0])
+                    b.append(pair[1])
             if len(a) > 10_000:
                 yield _batch(schema, [a, b])
                 a, b = [], []
@@ -411,13 +449,16 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = posts.join(hubs, "list").where("query <> class").select("query", "class").distinct()
     sketches = keep(needed_sets(texts, posts.select("class").distinct(), sketched=True), "sketches")
     links = spark.createDataFrame([], "query long, class long")
-    for turn in ("the least of each list", "two of the main component of each list", "all that are apart"):
+    for turn in ("the least of each list", "two of the main component of each list", "forest", "forest", "every pair"):
         if turn != "the least of each list":
             labels = keep(components(links, "query", "class"), "labels")
             apart = keep(_apart(posts, labels), "apart")
             drop(labels)
-        if turn == "all that are apart":
-            likely = keep(search_apart(apart, sketches, percent), "likely")
+            if apart.isEmpty():
+                drop(apart)
+                break
+        if turn in ("forest", "every pair"):
+            likely = keep(search_apart(apart, sketches, percent, turn == "every pair"), "likely")
         else:
             if turn != "the least of each list":
                 pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query")).distinct()
