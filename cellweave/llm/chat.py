@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\k"))
@@ -65,9 +65,13 @@ def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
         jumps.append(far)
     leaves = ids.select("conv", "node").join(up.select("conv", F.col("up").alias("node")), ["conv", "node"], "left_anti")
     paths = leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps"))
-    for k in reversed(range(len(jumps))):
+    paths = keep(paths, "paths")
+    for k in reversed(range(len(jumps))):  # written each time: the plan would double with every join
         higher = paths.join(jumps[k], ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("steps") + 2**k).alias("steps"))
-        paths = paths.unionByName(higher)
+        longer = keep(paths.unionByName(higher), "paths")
+        drop(paths)
+        paths = longer
+    drop(*jumps)
     return paths
 
 
