@@ -15,7 +15,7 @@ LEAVES = [
     (lambda r, c: 0, 4, [(0, 1, 0, 4, 0), (1, 4, 0, 1, 0), (1, 4, 1, 4, 0)]),
     (lambda r, c: int(r == 3), 2, [(0, 2, 0, 4, 0), (2, 4, 0, 4, 4)]),
     (lambda r, c: 8 * (r == 0 and c == 0), 4, [(0, 1, 0, 4, 8), (1, 4, 0, 1, 0), (1, 4, 1, 4, 0)]),
-    (lambda r, c: r + 1, 3, [(0, 2, 0, 4, 20), (2, 4, 0, 3, 12), (2, 4, 3, 4, 8)]),
+    (lambda r, c: c + 1, 3, [(0, 2, 0, 4, 20), (2, 4, 0, 3, 12), (2, 4, 3, 4, 8)]),
 ]
 
 
