@@ -11,7 +11,7 @@ from cellweave import registry
 
 def rows_of(frame):
     def plain(v):
-        return None if v is None or v is not v or str(v) == "<NA>" else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+        return None if v is None or v != v or str(v) == "<NA>" else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted(map(repr, ([plain(v) for v in row] for row in frame.values.tolist())))
