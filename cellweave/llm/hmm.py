@@ -168,16 +168,17 @@ def expect(model: Model, padded: np.ndarray, lengths: np.ndarray, start: np.ndar
     """Adds the expected counts of a batch; alphas are kept of one segment of steps at a time. Returns the log10 likelihood."""
     steps, n_states = len(padded), len(model.start)
     edges = list(range(0, steps, SEGMENT))
-    alphas, alpha, total = [], None, 0.0
-    for lo in edges:
+    alphas, total = [None], 0.0
+    for lo in edges[:-1]:  # the last segment is only run below
+        alpha, log = forward(model, padded, lengths, alphas[-1], lo, lo + SEGMENT)
         alphas.append(alpha)
-        alpha, log = forward(model, padded, lengths, alpha, lo, min(steps, lo + SEGMENT))
         total += float(log.sum())
     beta = np.zeros((padded.shape[1], n_states))
     for lo, alpha in zip(reversed(edges), reversed(alphas), strict=True):
         hi = min(steps, lo + SEGMENT)
         saved, scales = np.zeros((hi - lo, padded.shape[1], n_states)), np.ones((hi - lo, padded.shape[1]))
-        forward(model, padded, lengths, alpha, lo, hi, saved, scales)
+        _, log = forward(model, padded, lengths, alpha, lo, hi, saved, scales)
+        total += float(log.sum()) if hi == steps else 0.0
         gamma = np.zeros_like(saved)
         for t in range(hi - 1, lo - 1, -1):
             n = int(np.searchsorted(-lengths, -t, side="left"))
