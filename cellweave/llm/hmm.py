@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, keep, partitions, release
+from .scratch import keep, partitions, release
 from .words import NOT_SPACE, hashes, slices, spans
 
 #: Symbols with emissions of their own; counts known to all tasks (12 bytes each; the rest meet their counts by a join);
-#: states; iterations; tokens of a batch; steps kept of a forward pass; pseudo-counts of the symbol shares; tasks' flush.
-SYMBOLS, KNOWN, STATES, ITERATIONS, BATCH, SEGMENT, PRIOR, FLUSH = 1 << 14, 1 << 19, 8, 3, 1 << 17, 2048, 20.0, 1 << 22
+#: states; iterations; tokens of a batch; positions held of a forward pass; pseudo-counts of the symbol shares; tasks' flush.
+SYMBOLS, KNOWN, STATES, ITERATIONS, BATCH, HELD, PRIOR, FLUSH = 1 << 14, 1 << 19, 8, 3, 1 << 18, 1 << 18, 20.0, 1 << 22
 HELD_OUT, FOLDS = 2, 7
 _U = np.uint64
 
@@ -143,62 +143,74 @@ def batches_of(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         lo = hi
 
 
-def forward(model: Model, padded: np.ndarray, lengths: np.ndarray, alpha: np.ndarray | None, lo: int, hi: int, saved: np.ndarray | None = None, scales: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward recursion over steps lo..hi: the last alpha of each text and the sum of its log10 scales."""
-    log = np.zeros(padded.shape[1])
-    alive = np.searchsorted(-lengths, -np.arange(lo, hi), side="left")  # texts longer than step t come first
-    alpha = np.zeros((padded.shape[1], len(model.start))) if alpha is None else alpha.copy()
-    for t in range(lo, hi):
-        n = alive[t - lo]
+def forward(model: Model, emitted: np.ndarray, lengths: np.ndarray, lo: int, alpha: np.ndarray | None, saved: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion from step lo over emitted (states x steps x texts): the last alpha (states x texts) and the
+    scale of each step and text, 1 after a text's end. saved takes the alpha of every step."""
+    n_states, steps, n_texts = emitted.shape
+    move = np.ascontiguousarray(model.move.T)
+    scales = np.ones((steps, n_texts))
+    alpha = np.zeros((n_states, n_texts)) if alpha is None else alpha.copy()
+    alive = np.searchsorted(-lengths, -np.arange(lo, lo + steps), side="left").tolist()  # texts longer than step t come first
+    for t, n in enumerate(alive):
         if not n:
             break
-        ahead = np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else alpha[:n] @ model.move
-        a = ahead * model.emit[padded[t, :n]]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[:n] = a
-        log[:n] += np.log10(c)
+        a = emitted[:, t, :n] * (model.start[:, None] if lo + t == 0 else move @ alpha[:, :n])
+        a /= np.add.reduce(a, 0, out=scales[t, :n])
+        alpha[:, :n] = a
         if saved is not None:
-            saved[t - lo, :n] = a
-            scales[t - lo, :n] = c
-    return alpha, log
+            saved[:, t, :n] = a
+    return alpha, scales
+
+
+def segments(n_steps: int, n_texts: int) -> list[tuple[int, int]]:
+    """(first step, end) of runs of steps of which HELD positions are held at a time."""
+    size = max(1, HELD // n_texts)
+    return [(lo, min(n_steps, lo + size)) for lo in range(0, n_steps, size)]
+
+
+def likelihoods(model: Model, padded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a batch."""
+    emit, alpha, log = np.ascontiguousarray(model.emit.T), None, np.zeros(len(lengths))
+    for lo, hi in segments(*padded.shape):
+        alpha, scales = forward(model, emit.take(padded[lo:hi], 1), lengths, lo, alpha)
+        log += np.log10(scales).sum(0)
+    return log
 
 
 def expect(model: Model, padded: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
     """Adds the expected counts of a batch; alphas are kept of one segment of steps at a time. Returns the log10 likelihood."""
-    steps, n_states = len(padded), len(model.start)
-    edges = list(range(0, steps, SEGMENT))
-    alphas, total = [None], 0.0
-    for lo in edges[:-1]:  # the last segment is only run below
-        alpha, log = forward(model, padded, lengths, alphas[-1], lo, lo + SEGMENT)
-        alphas.append(alpha)
-        total += float(log.sum())
-    beta = np.zeros((padded.shape[1], n_states))
-    for lo, alpha in zip(reversed(edges), reversed(alphas), strict=True):
-        hi = min(steps, lo + SEGMENT)
-        saved, scales = np.zeros((hi - lo, padded.shape[1], n_states)), np.ones((hi - lo, padded.shape[1]))
-        _, log = forward(model, padded, lengths, alpha, lo, hi, saved, scales)
-        total += float(log.sum()) if hi == steps else 0.0
-        gamma = np.zeros_like(saved)
-        for t in range(hi - 1, lo - 1, -1):
-            n = int(np.searchsorted(-lengths, -t, side="left"))
-            last = lengths[:n] == t + 1
-            beta[:n][last] = 1.0
-            g = saved[t - lo, :n] * beta[:n]
-            g /= g.sum(1, keepdims=True)
-            gamma[t - lo, :n] = g
-            if t == 0:
-                start += g.sum(0)
+    n_states, n_texts, by_state = len(model.start), padded.shape[1], np.ascontiguousarray(model.emit.T)
+    runs, alphas, total = segments(*padded.shape), [None], 0.0
+    for lo, hi in runs[:-1]:  # the last segment is only run below
+        alphas.append(forward(model, by_state.take(padded[lo:hi], 1), lengths, lo, alphas[-1])[0])
+    beta, pairs = np.zeros((n_states, n_texts)), np.zeros((n_states, n_states))
+    for (lo, hi), alpha in zip(reversed(runs), reversed(alphas), strict=True):
+        emitted = by_state.take(padded[lo:hi], 1)
+        saved, betas = np.zeros_like(emitted), np.zeros_like(emitted)
+        _, scales = forward(model, emitted, lengths, lo, alpha, saved)
+        total += float(np.log10(scales).sum())
+        emitted /= scales
+        alive = np.searchsorted(-lengths, -np.arange(lo, hi + 1), side="left").tolist()
+        for t in range(hi - lo - 1, -1, -1):
+            n = alive[t]
+            beta[:, alive[t + 1] : n] = 1.0  # the texts that end here
+            betas[:, t, :n] = beta[:, :n]
+            if lo + t == 0:
                 break
-            back = model.emit[padded[t, :n]] * beta[:n] / scales[t - lo, :n, None]
-            before = saved[t - lo - 1, :n] if t > lo else alpha[:n]
-            move += model.move * (before.T @ back)
-            beta[:n] = back @ model.move.T
-        own = padded[lo:hi].ravel()
-        at = np.flatnonzero(own >= 0)
-        flat = gamma.reshape(-1, n_states)[at]
+            back = emitted[:, t, :n] * beta[:, :n]
+            pairs += (saved[:, t - 1, :n] if t else alpha[:, :n]) @ back.T
+            np.matmul(model.move, back, out=back)
+            beta[:, :n] = back
+        betas *= saved
+        at = np.flatnonzero(padded[lo:hi].ravel() >= 0)
+        symbols = padded[lo:hi].ravel()[at]
+        gamma = betas.reshape(n_states, -1).take(at, 1)
+        gamma /= gamma.sum(0)
         for s in range(n_states):
-            emit[:, s] += np.bincount(own[at], weights=flat[:, s], minlength=len(emit))
+            emit[:, s] += np.bincount(symbols, weights=gamma[s], minlength=len(emit))
+        if lo == 0:
+            start += gamma[:, :n_texts].sum(1)
+    move += model.move * pairs
     return total
 
 
@@ -267,7 +279,7 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
         for b in batches:
             symbols, logs = _symbols(b, "symbols"), np.zeros(b.num_rows)
             for own, padded, lengths in batches_of(symbols):
-                logs[own] = forward(model, padded, lengths, None, 0, len(padded))[1]
+                logs[own] = likelihoods(model, padded, lengths)
             n_tail = np.array([int((s == n_symbols).sum()) for s in symbols])
             keep_ = [b.column(b.schema.get_field_index(n)) for n in ("row", "doc_id", "held_out", "n_tokens", "n_known", "log_known")]
             log_tail = np.asarray(b.column(b.schema.get_field_index("log_tail")))
