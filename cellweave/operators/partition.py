@@ -44,6 +44,14 @@ def leaves(split: DataFrame, by: list[str]) -> DataFrame:
     return one.select(*by, (F.dense_rank().over(W.partitionBy(*by).orderBy("path")) - 1).cast("int").alias("leaf"), "r0", "r1", "c0", "c1", "load")
 
 
+def strip_edges(loads: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """(by, part, edge): strips of rows, cut before the first row at which the running load reaches part / n of all."""
+    rows = loads.groupBy(*by, "r").agg(F.sum("load").alias("load"))
+    rows = rows.withColumn("_run", F.sum("load").over(W.partitionBy(*by).orderBy("r"))).withColumn("_all", F.sum("load").over(W.partitionBy(*by)))
+    cuts = rows.select(*by, "_run", "_all", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("part"))
+    return cuts.groupBy(*by, "part").agg(F.count_if(n * F.col("_run") < F.col("_all") * F.col("part")).cast("int").alias("edge"))
+
+
 def relative_time(parts: DataFrame, by: list[str], load: str = "load") -> DataFrame:
     """The largest part's share of all load; null without load."""
     total = F.sum(load).cast("double")

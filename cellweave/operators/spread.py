@@ -25,6 +25,16 @@ def edges(cells: DataFrame, rate: str = "rate", wind_to: float = 180.0, share: f
     return out
 
 
+def pull_edges(cells: DataFrame, rate: str = "rate", wind_to: float = 180.0, floor: float = 0.001, size: int = 64) -> DataFrame:
+    """(scenario, r, c, to_r, to_c, seconds) into each burnable cell from its neighbours, by the rate of the cell reached
+    and the bearing towards it."""
+    near = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(d).alias("dist"), F.lit(g).alias("bearing")) for a, b, d, g in NEIGHBOURS])
+    out = cells.where(burnable(F.col("fuel")) & (F.col(rate) >= 1e-6)).select("scenario", F.col("r").alias("to_r"), F.col("c").alias("to_c"), rate, F.inline(near))
+    out = out.withColumn("r", F.col("to_r") + F.col("dr")).withColumn("c", F.col("to_c") + F.col("dc")).where(F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1))
+    speed = F.greatest(F.lit(floor), F.col(rate) * (0.5 + 0.5 * F.cos(F.radians(F.lit(wind_to) - (F.col("bearing") + 180)))))
+    return out.select("scenario", "r", "c", "to_r", "to_c", (F.col("dist") / speed).alias("seconds"))
+
+
 def relax(edge: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
     """(scenario, r, c, toa): least sums of seconds from the sources (scenario, r, c, toa).
 
