@@ -15,26 +15,26 @@ _LAND = ", ".join(f"({k}, {v})" for k, v in geo.LANDCOVER.items())
 _CANOPY = ", ".join(str((k, *v)) for k, v in geo.CANOPY.items())
 
 
-@query("landcover_fuel", f"{SQL_CELLS}, l(code, f) AS (VALUES {_LAND}), k(code, cc, ch, cbh, cbd) AS (VALUES {_CANOPY}), x AS (SELECT q % 14 AS code FROM cells) SELECT code, coalesce(f, 99) AS fuel13, coalesce(cc, 0) AS cc, coalesce(ch, 0) AS ch, coalesce(cbh, 0) AS cbh, coalesce(cbd, 0) AS cbd, count(*) AS n FROM x LEFT JOIN l USING (code) LEFT JOIN k USING (code) GROUP BY ALL")
+@query("landcover_fuel", f"{SQL_CELLS}, l(code, f) AS (VALUES {_LAND}), k(code, cc, ch, cbh, cbd) AS (VALUES {_CANOPY}), x AS (SELECT CAST(q % 14 AS INTEGER) AS code FROM cells) SELECT code, coalesce(f, 99) AS fuel13, coalesce(cc, 0) AS cc, coalesce(ch, 0) AS ch, coalesce(cbh, 0) AS cbh, coalesce(cbd, 0) AS cbd, count(*) AS n FROM x LEFT JOIN l USING (code) LEFT JOIN k USING (code) GROUP BY ALL")
 def landcover_fuel(spark, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).groupBy((F.col("q") % 14).cast("int").alias("code")).agg(F.count("*").alias("n"))
     return rows.select("code", geo.landcover_fuel(F.col("code")).alias("fuel13"), geo.canopy(F.col("code")).alias("k"), "n").select("code", "fuel13", "k.*", "n")
 
 
 # Places are customers: longitude and latitude come from their keys.
-_SQL_PLACES = "WITH p AS (SELECT c_custkey, c_mktsegment, c_custkey * 37 % 3600 / 1e1 - 180 AS lon, c_custkey * 11 % 1600 / 1e1 - 80 AS lat FROM customer)"
+_SQL_PLACES = "WITH p AS (SELECT c_custkey, c_mktsegment, c_custkey * 37 % 3600 / 1e1 - 180 AS lon, c_custkey * 11 % 1600 / 1e1 - 79.97e0 AS lat FROM customer)"
 
 
 def _places(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    return rows.select("*", (F.col("c_custkey") * 37 % 3600 / 10.0 - 180).alias("lon"), (F.col("c_custkey") * 11 % 1600 / 10.0 - 80).alias("lat"))
+    return rows.select("*", (F.col("c_custkey") * 37 % 3600 / 10.0 - 180).alias("lon"), (F.col("c_custkey") * 11 % 1600 / 10.0 - 79.97).alias("lat"))
 
 
-@query("projected_places", f"{_SQL_PLACES} SELECT c_custkey, CAST((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + floor((lon + 180) / 6) + 1 AS INTEGER) AS utm, round(6378137e0 * radians(lon), 3) AS x, round(6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS y FROM p")
+@query("projected_places", f"{_SQL_PLACES} SELECT c_custkey, CAST((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + floor((lon + 180) / 6) + 1 AS INTEGER) AS utm, round(6378137e0 * radians(lon), 2) AS x, round(6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)), 2) AS y FROM p")
 def projected_places(spark, sf_dir: str) -> DataFrame:
     lon, lat = F.col("lon"), F.col("lat")
     x, y = geo.web_mercator(lon, lat)
-    return _places(spark, sf_dir).select("c_custkey", geo.utm_code(lon, lat).alias("utm"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return _places(spark, sf_dir).select("c_custkey", geo.utm_code(lon, lat).alias("utm"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
 @query("buffered_bounds", f"{_SQL_PLACES} SELECT c_mktsegment, round(min(lon) - 0.5e0, 6) AS west, round(min(lat) - 0.5e0, 6) AS south, round(max(lon) + 0.5e0, 6) AS east, round(max(lat) + 0.5e0, 6) AS north FROM p GROUP BY ALL")
