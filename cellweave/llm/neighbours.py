@@ -2,9 +2,12 @@
 
 Vectors that agree in label and components form one node with a count. Every node starts with the best neighbours of
 its cell in some random-hyperplane partitions of its label. Rounds then join, at every node, all nodes that name it or
-that it names, and keep each node's K best. A node whose whole list reaches the threshold is saturated: its list is
-enlarged to the component that its links span, compared in blocks. An audit compares a bounded number of nodes, chosen
-by hash, with all vectors; while it finds less than the wanted share of their links, further rounds follow.
+that it names, and keep each node's K best. A node whose whole list reaches the threshold is saturated, and links beyond
+its K best may be cut. So a group compares its saturated nodes for links between the parts that their lists leave
+apart, links that join parts of the graph outlive the cut, and saturated nodes meet again in partitions of their own
+until no turn joins more. The components that the links span are compared in full, in blocks. An audit compares a
+bounded number of nodes, chosen by hash, with all vectors; while it finds less than the wanted share of their links,
+further rounds follow, and a warning where the last of them still finds less.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, have a null label, or differ
 in length link with nothing; equal vectors of one label link with each other; null vec_ids take part, their own id
@@ -13,6 +16,7 @@ never names a component; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,14 +58,47 @@ def _pairs_within(x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield np.repeat(lo + at, top.shape[1]), top.ravel(), np.take_along_axis(sims, top, 1).ravel()
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows reaches over the pairs a, b."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _links_between(x: np.ndarray, at: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, cosine): for any two parts that the lists of k leave apart but a pair links, one such pair.
+
+    The list of a row that isn't saturated holds all its links, so that both ends are saturated.
+    """
+    hit = sim >= threshold
+    full = np.flatnonzero(np.bincount(at[hit], minlength=len(x)) >= k)
+    part = _joined(len(x), at[hit], other[hit])[full] if len(full) else full
+    a, b, s = [at[:0]], [at[:0]], [sim[:0]]
+    if len(np.unique(part)) > 1:
+        for lo in range(0, len(full), BLOCK):
+            sims = x[full[lo : lo + BLOCK]] @ x[full].T
+            i, j = np.nonzero((sims >= threshold) & (part[lo : lo + BLOCK, None] < part[None, :]))
+            _, first = np.unique(np.stack((part[lo + i], part[j])), axis=1, return_index=True)
+            a.append(full[lo + i[first]])
+            b.append(full[j[first]])
+            s.append(sims[i[first], j[first]])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+
+
 def _edges(a: list[np.ndarray], b: list[np.ndarray], s: list[np.ndarray]) -> pa.RecordBatch:
     empty = [np.zeros(0, np.int64)]
     cols = [np.concatenate(a or empty), np.concatenate(b or empty), np.concatenate(s or [np.zeros(0)])]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "sim"])
 
 
-def _best_in_groups(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """(a, b, sim): for rows (key, node, v), each node's k best in its groups; groups over BLOCK * 4 are split at random."""
+def _best_in_groups(rows: DataFrame, key: str, k: int, threshold: float) -> DataFrame:
+    """(a, b, sim): for rows (key, node, v), each node's k best in its groups, and links between parts of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, s, size = [], [], [], 0
@@ -71,7 +108,8 @@ def _best_in_groups(rows: DataFrame, key: str, k: int) -> DataFrame:
             if len(first) < 2:
                 continue
             node, x = node[first], _matrix(table.column("v").take(pa.array(first)))
-            for at, other, sim in _pairs_within(x, k):
+            pairs = list(_pairs_within(x, k))
+            for at, other, sim in [*pairs, _links_between(x, *map(np.concatenate, zip(*pairs, strict=True)), k, threshold)]:
                 a.append(node[at])
                 b.append(node[other])
                 s.append(sim)
@@ -84,7 +122,7 @@ def _best_in_groups(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), key).sortWithinPartitions(key).select(key, "node", "v").mapInArrow(run, "a long, b long, sim double")
 
 
-def _start(nodes: DataFrame, n_by_label: DataFrame, tables: int, seed: int, k: int) -> DataFrame:
+def _start(nodes: DataFrame, n_by_label: DataFrame, tables: int, seed: int, k: int, threshold: float) -> DataFrame:
     """Best neighbours inside the cells of random-hyperplane partitions; a label's cells hold about CELL nodes each,
     a cell that holds more is split by hash, another way in each partition."""
 
@@ -109,16 +147,36 @@ def _start(nodes: DataFrame, n_by_label: DataFrame, tables: int, seed: int, k: i
     rows = rows.withColumn("cell", F.xxhash64("label", "dim", "table", F.col("code").bitwiseAND(mask)))
     sizes = rows.groupBy("cell").agg(F.count("*").alias("in_cell"))
     rows = rows.join(sizes, "cell").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("node", "table", F.lit(seed)), F.ceil(F.col("in_cell") / (4 * CELL)))))
-    return _best_in_groups(rows, "cell", k)
-
+    return _best_in_groups(rows, "cell", k, threshold)
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """Each node's k best distinct neighbours."""
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
+def _top(edges: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each node's k best distinct neighbours, and links that join what these leave apart; its components; all as kept tables,
+    the last one only to be dropped.
 
-def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
+    Every link of edges has both its ends in one component, be it cut or not.
+    """
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    best = edges.withColumn("_r", rank).where(F.col("_r") <= k).select("a", "b", "sim", F.lit(False).alias("any"))
+    both = keep(best.unionByName(edges.where(F.col("sim") >= threshold).withColumn("any", F.lit(True))), "graph")
+    graph, links = both.where("not any").drop("any"), both.where("any").drop("any")
+    labels = keep(components(graph.where(F.col("sim") >= threshold)), "labels")
+    if links.groupBy("a").count().where(F.col("count") > k).isEmpty():
+        return graph, labels, both
+    part = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+    apart = links.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumn("x", F.coalesce("part_a", "a")).withColumn("y", F.coalesce("part_b", "b")).where("x <> y")
+    joins = keep(apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("a", "b", "sim")).alias("m")).select("m.*"), "joins")
+    if joins.isEmpty():
+        drop(joins)
+        return graph, labels, both
+    drop(labels)
+    graph = keep(graph.unionByName(joins), "graph")
+    drop(both, joins)
+    return graph, keep(components(graph.where(F.col("sim") >= threshold)), "labels"), graph
+
+
+def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold: float) -> DataFrame:
     """At every node, the nodes that it names or that name it, and itself, are compared with each other.
 
     A node that very many name is split at random, another way each round, with its own list in every part.
@@ -129,7 +187,7 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFr
     named = named.join(counts, "at").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")))
     own = counts.select("at", F.col("at").alias("node"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     rows = named.select("at", "node", "parts", "part").unionByName(own).withColumn("group", F.xxhash64("at", "part"))
-    return _best_in_groups(rows.join(nodes.select("node", "v"), "node"), "group", k)
+    return _best_in_groups(rows.join(nodes.select("node", "v"), "node"), "group", k, threshold)
 
 
 def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -207,24 +265,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     good = rows.where(_is_usable()).withColumn("node", F.xxhash64("label", "embedding"))
     nodes = keep(good.groupBy("node").agg(F.first("embedding").alias("v"), F.first("label").alias("label"), F.count("*").alias("count"), F.min("vec_id").alias("least")), "nodes")
     n_by_label = nodes.groupBy("label").agg(F.count("*").alias("n"))
-    graph = keep(_top(_start(nodes, n_by_label, TABLES, 0, k), k), "graph")
-    for turn in range(1, MOST_ROUNDS + 1):
-        more = _local_join(graph, nodes, k, turn)
-        if turn > ROUNDS:  # the audit found too little: new partitions as well
-            more = more.unionByName(_start(nodes, n_by_label, TABLES, turn, k))
-        new = keep(_top(graph.unionByName(more), k), "graph")
-        drop(graph)
+    graph, labels, made = _top(_start(nodes, n_by_label, TABLES, 0, k, threshold), k, threshold)
+    extent, turn = None, 0
+    while True:
+        turn += 1
+        more = _local_join(graph, nodes, k, turn, threshold)
+        full = keep(nodes.join(graph.where(F.col("sim") >= threshold).groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("node")), "node", "left_semi"), "full")
+        saturated = not full.isEmpty()
+        if saturated:
+            more = more.unionByName(_start(full, full.groupBy("label").agg(F.count("*").alias("n")), TABLES, MOST_ROUNDS + turn, k, threshold))
+        if turn > ROUNDS and seen < recall:  # the audit found too little: new partitions as well
+            more = more.unionByName(_start(nodes, n_by_label, TABLES, turn, k, threshold))
+        before = made, labels
+        graph, labels, made = _top(graph.unionByName(more), k, threshold)
+        drop(*before, full)
         release(spark)
-        graph = new
+        row = labels.agg(F.count("*"), F.count_distinct("component")).first()
+        settled, extent = not saturated or (row[0], row[1]) == extent, (row[0], row[1])
         if turn < ROUNDS:
             continue
-        labels = keep(components(graph.where(F.col("sim") >= threshold)), "labels")
         found = keep(_links_in_components(nodes, labels, threshold), "links")
         seen = _audit(nodes, found, threshold)
-        if seen >= recall or turn == MOST_ROUNDS:
+        if settled and (seen >= recall or turn >= MOST_ROUNDS):
             break
-        drop(labels, found)
-    drop(graph)
+        drop(found)
+    if seen < recall:
+        warnings.warn(f"the audit found {seen:.6f} of the links, fewer than {recall}, after {turn} rounds", stacklevel=2)
+    drop(made)
     per = nodes.select("node", "count", "least").join(found, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = per.groupBy("component").agg(F.min("least").alias("component_id"))
     per = per.join(names, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("count") - 1).alias("n_links"), "component_id")
