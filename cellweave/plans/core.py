@@ -299,7 +299,7 @@ def _ignition(rows: DataFrame) -> DataFrame:
     return spread.nearest_burnable(rows).select("scenario", "r", "c", F.lit(0.0).alias("toa"))
 
 
-def _arrivals(spark, sf_dir: str, rounds: int = 6) -> DataFrame:
+def _arrivals(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
     rows = _rated(spark, sf_dir)
     return spread.relax(spread.edges(rows, size=SIZE).persist(), _ignition(rows), rounds)
 
@@ -319,20 +319,36 @@ _REACHED = f"{_SQL_EDGES}{_sql_rounds(6)}"
 
 
 @query("reached_at_t", f"{_REACHED} SELECT scenario, count(*) AS reached, round(100e0 * count(*) FILTER (WHERE toa <= 30) / {SIZE * SIZE}, 6) AS pct_at_30_s, round(max(toa), 4) AS last FROM t6 GROUP BY ALL")
-def reached_at_t(spark, sf_dir: str) -> DataFrame:
-    return _arrivals(spark, sf_dir).groupBy("scenario").agg(F.count("*").alias("reached"), F.round(100 * F.count_if(F.col("toa") <= 30) / (SIZE * SIZE), 6).alias("pct_at_30_s"), F.round(F.max("toa"), 4).alias("last"))
+def reached_at_t(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
+    return _arrivals(spark, sf_dir, rounds).groupBy("scenario").agg(F.count("*").alias("reached"), F.round(100 * F.count_if(F.col("toa") <= 30) / (SIZE * SIZE), 6).alias("pct_at_30_s"), F.round(F.max("toa"), 4).alias("last"))
 
 
 @query("downwind_shift", f"{_REACHED} SELECT scenario, round(CASE WHEN count(*) < 10 THEN 0e0 ELSE avg(c - 32) * sin(radians(18e1)) - avg(r - 32) * cos(radians(18e1)) END, 6) AS shift FROM t6 GROUP BY ALL")
-def downwind_shift(spark, sf_dir: str) -> DataFrame:
+def downwind_shift(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
     theta = F.radians(F.lit(180.0))
     shift = F.avg(F.col("c") - 32) * F.sin(theta) - F.avg(F.col("r") - 32) * F.cos(theta)
-    return _arrivals(spark, sf_dir).groupBy("scenario").agg(F.round(F.when(F.count("*") < 10, 0.0).otherwise(shift), 6).alias("shift"))
+    return _arrivals(spark, sf_dir, rounds).groupBy("scenario").agg(F.round(F.when(F.count("*") < 10, 0.0).otherwise(shift), 6).alias("shift"))
 
 
 @query("isochrones", f"{_REACHED} SELECT scenario, CAST(floor(toa / 60) AS INTEGER) AS band, count(*) AS n FROM t6 GROUP BY ALL")
-def isochrones(spark, sf_dir: str) -> DataFrame:
-    return _arrivals(spark, sf_dir).groupBy("scenario", F.floor(F.col("toa") / 60).cast("int").alias("band")).agg(F.count("*").alias("n"))
+def isochrones(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
+    return _arrivals(spark, sf_dir, rounds).groupBy("scenario", F.floor(F.col("toa") / 60).cast("int").alias("band")).agg(F.count("*").alias("n"))
+
+
+# The reports on final times of all cells that the fire reaches: no SQL, as the number of rounds isn't fixed.
+@query("reached_at_t_fixpoint")
+def reached_at_t_fixpoint(spark, sf_dir: str) -> DataFrame:
+    return reached_at_t(spark, sf_dir, None)
+
+
+@query("downwind_shift_fixpoint")
+def downwind_shift_fixpoint(spark, sf_dir: str) -> DataFrame:
+    return downwind_shift(spark, sf_dir, None)
+
+
+@query("isochrones_fixpoint")
+def isochrones_fixpoint(spark, sf_dir: str) -> DataFrame:
+    return isochrones(spark, sf_dir, None)
 
 
 # A field of times that covers the grid: quantities as times, 0 where nothing falls.

@@ -103,10 +103,15 @@ def _sql_pull(n: int) -> str:
 
 
 @query("toa_pull_4", f"{_SQL_EDGES}{_sql_pull(4)} SELECT scenario, r, c, round(toa, 4) AS toa FROM p4")
-def toa_pull_4(spark, sf_dir: str) -> DataFrame:
+def toa_pull_4(spark, sf_dir: str, rounds: int | None = 4) -> DataFrame:
     """Arrival times by the rates of the cells that are reached; only those that burn are."""
     rows = _rated(spark, sf_dir)
-    return spread.relax(spread.pull_edges(rows, size=SIZE).persist(), _ignition(rows), 4).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
+    return spread.relax(spread.pull_edges(rows, size=SIZE).persist(), _ignition(rows), rounds).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
+
+
+@query("toa_pull_fixpoint")
+def toa_pull_fixpoint(spark, sf_dir: str) -> DataFrame:
+    return toa_pull_4(spark, sf_dir, None)
 
 
 # A model's history and its predictions are line items: discount as the loss, tax against it as prediction and label.
