@@ -63,7 +63,17 @@ def spread_rate_reduced(spark, sf_dir: str) -> DataFrame:
 
 @query("directional_rate", f"{SQL_RATED}, b AS (SELECT CAST(45 * range AS DOUBLE) AS bearing FROM range(8)) SELECT scenario, r, c, bearing, round(ln(1 + greatest(0.01e0, rate * (1e0 + 0.5e0 * cos(radians(180e0 - bearing))) / 15e-1)), 6) AS source_form, round(ln(1 + greatest(0.001e0, rate * (0.5e0 + 0.5e0 * cos(radians(180e0 - bearing))))), 6) AS even_form FROM rated, b WHERE r = c")
 def directional_rate(spark, sf_dir: str) -> DataFrame:
-    rows = _rated(spark, sf_dir).where("r = c").select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k * 45).cast("double"))).alias("bearing"))
+    return _directional(_rated(spark, sf_dir).where("r = c"))
+
+
+@query("directional_rate_all", SQL["directional_rate"].removesuffix(" WHERE r = c"))
+def directional_rate_all(spark, sf_dir: str) -> DataFrame:
+    """Every cell; directional_rate has those of the diagonal."""
+    return _directional(_rated(spark, sf_dir))
+
+
+def _directional(rows: DataFrame) -> DataFrame:
+    rows = rows.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k * 45).cast("double"))).alias("bearing"))
     form = lambda share, floor: F.round(F.log1p(rates.directional(F.col("rate"), F.col("bearing"), F.lit(180.0), share, floor)), 6)
     return rows.select("scenario", "r", "c", "bearing", form(0.5, 0.01).alias("source_form"), form(1.0, 0.001).alias("even_form"))
 
