@@ -95,13 +95,31 @@ def fbfm40_crosswalk(spark, sf_dir: str) -> DataFrame:
   FROM cells WINDOW x AS (PARTITION BY scenario, r ORDER BY c), y AS (PARTITION BY scenario, c ORDER BY r))
 SELECT scenario, r, c, round(100 * sqrt(dx * dx + dy * dy), 5) AS slope_pct, CAST(floor((degrees(atan2(dy, CASE WHEN dx = 0 THEN 0e0 ELSE -dx END)) + 36e1) / 45) AS INTEGER) % 8 AS octant FROM d WHERE dx <> 0 AND dy <> 0 AND abs(dx) <> abs(dy)""")
 def slope_aspect(spark, sf_dir: str) -> DataFrame:
+    octant = F.floor((F.degrees(F.atan2("dy", -F.col("dx"))) + 360) / 45).cast("int") % 8
+    return _slopes(_gradients(spark, sf_dir).where("dx <> 0 and dy <> 0 and abs(dx) <> abs(dy)"), octant)
+
+
+def _gradients(spark, sf_dir: str) -> DataFrame:
     def gradient(at: str, along: W) -> F.Column:
         after, before, here = F.lead("elevation").over(along), F.lag("elevation").over(along), F.col("elevation")
         return F.when(F.col(at) == 0, (after - here).cast("double")).when(F.col(at) == SIZE - 1, (here - before).cast("double")).otherwise((after - before) / 2) / 30
 
-    rows = cells(spark, sf_dir).withColumn("dx", gradient("c", W.partitionBy("scenario", "r").orderBy("c"))).withColumn("dy", gradient("r", W.partitionBy("scenario", "c").orderBy("r")))
-    octant = F.floor((F.degrees(F.atan2("dy", -F.col("dx"))) + 360) / 45).cast("int") % 8
-    return rows.where("dx <> 0 and dy <> 0 and abs(dx) <> abs(dy)").select("scenario", "r", "c", F.round(100 * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 5).alias("slope_pct"), octant.alias("octant"))
+    return cells(spark, sf_dir).withColumn("dx", gradient("c", W.partitionBy("scenario", "r").orderBy("c"))).withColumn("dy", gradient("r", W.partitionBy("scenario", "c").orderBy("r")))
+
+
+def _slopes(rows: DataFrame, octant: F.Column) -> DataFrame:
+    return rows.select("scenario", "r", "c", F.round(100 * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 5).alias("slope_pct"), octant.alias("octant"))
+
+
+# The octant from signs and sizes: k from 45 k degrees, which belong to it, to 45 (k + 1), which don't; -1 where flat.
+_OCTANT = """CASE WHEN dx = 0 AND dy = 0 THEN -1 WHEN dx < 0 AND dy >= 0 AND dy < -dx THEN 0 WHEN dx < 0 AND dy > 0 THEN 1 WHEN dx >= 0 AND dy > 0 AND dx < dy THEN 2
+  WHEN dx > 0 AND dy > 0 THEN 3 WHEN dx > 0 AND dy <= 0 AND -dy < dx THEN 4 WHEN dx > 0 AND dy < 0 THEN 5 WHEN dx <= 0 AND dy < 0 AND -dx < -dy THEN 6 ELSE 7 END"""
+
+
+@query("slope_aspect_all", SQL["slope_aspect"].partition("SELECT scenario, r, c, round(")[0] + f"SELECT scenario, r, c, round(100 * sqrt(dx * dx + dy * dy), 5) AS slope_pct, CAST({_OCTANT} AS INTEGER) AS octant FROM d")
+def slope_aspect_all(spark, sf_dir: str) -> DataFrame:
+    """Every cell; slope_aspect leaves out flat cells and those whose gradient runs along an axis or a diagonal."""
+    return _slopes(_gradients(spark, sf_dir), F.expr(_OCTANT).cast("int"))
 
 
 @query("size_class", "SELECT CASE WHEN a < 0.25e0 THEN 'A' WHEN a < 10 THEN 'B' WHEN a < 100 THEN 'C' WHEN a < 300 THEN 'D' WHEN a < 1000 THEN 'E' WHEN a < 5000 THEN 'F' ELSE 'G' END AS size_class, count(*) AS n FROM (SELECT o_totalprice / 1e2 AS a FROM orders) GROUP BY ALL")

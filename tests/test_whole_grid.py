@@ -10,3 +10,12 @@ def test_directional_rates_of_every_cell(spark, small):
     got = registry.QUERIES["directional_rate_all"](spark, small)
     assert got.count() == 8 * cells(spark, small).count()
     assert got.select("scenario", "r", "c", "bearing").distinct().count() == got.count()
+
+
+def test_slopes_of_every_cell(spark, small):
+    got = registry.QUERIES["slope_aspect_all"](spark, small)
+    assert got.count() == cells(spark, small).count()
+    assert got.where("octant is null or slope_pct is null or (octant = -1) <> (slope_pct = 0)").isEmpty()
+    # Where the gradient runs along no border, the octant is that of the angle.
+    both = got.join(registry.QUERIES["slope_aspect"](spark, small).withColumnRenamed("octant", "by_angle").drop("slope_pct"), ["scenario", "r", "c"])
+    assert both.count() > 0 and both.where(F.col("octant") != F.col("by_angle")).isEmpty()
