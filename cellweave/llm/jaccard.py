@@ -10,14 +10,16 @@ must then meet each partner in a short list: one of its first n - ceil(t n) + 1
 3. search: turns choose pairs that meet in a list and aren't connected yet. Parity sketches rule most of them out: the
    sketches of linked sets differ in at most n + m - 2 T bits. The others are grouped by one end, the query, in groups
    of bounded size; in each the query's lists over the group's classes are divided: the longest L are skipped, the
-   short ones heap-merged, and classes that occur T - L times binary-probed in the long ones. The first turns pair a
-   class with few classes per list. The next compare the sketches of all that are still apart, in blocks, and take a
-   forest of the nearest pairs of each block; the last takes every pair of components that are apart even then, so that
+   short ones heap-merged, and classes that occur T - L times binary-probed in the long ones. The first turn pairs the
+   least class of a list with the others. The next compare the sketches of all that are still apart, in blocks of near
+   lengths. A block gives a forest of its nearest pairs, and its other pairs too where they are few; where they aren't,
+   its list comes back in the next turn, and the last turn takes every pair of components that are apart even then. So
    no link between components is lost though copies of copies are never expanded into all pairs.
 
 Defined results: a null, empty or wordless text has no shingle and links with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are of one class; null doc_ids take part, their own id is left null and never
-names a component; an empty table gives an empty table; other columns are ignored.
+names a component; a text of any length is read whole, and memory grows with the longest text's set; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import relabelled
 from .scratch import drop, keep, partitions, release
 from .words import NOT_SPACE, groups, hashes, mix, shingles, slices, spans
 
 WIDTH, PERCENT = 5, 75
 #: List lengths from which a list is long; how many of the longest are known to all tasks (12 bytes each); tokens
-#: counted at once in a task; classes in a search group; hash bits of the filter of classes whose sets are needed.
-LONG, MOST_LONG, FLUSH, GROUP, FILTER_BITS = 8, 1 << 19, 1 << 22, 512, 26
+#: counted at once in a task; classes in a search group; tokens of a bucket, about; keys that are broadcast (8 bytes
+#: each); turns of blocks, of which the last takes every pair.
+LONG, MOST_LONG, FLUSH, GROUP, BUCKET, MOST_KEYS, TURNS = 8, 1 << 19, 1 << 22, 512, 1 << 20, 1 << 20, 4
+#: Lists of more classes than this power of two are cut into slices of about as many.
+SLICED = 16
 _U = np.uint64
 
 
@@ -154,9 +159,9 @@ def long_lists(texts: DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buckets: int, percent: int) -> DataFrame:
-    """(list, token, classes): lists of two classes or more, one for each set of members; list is its number.
+    """(list, sliced, classes): lists of two classes or more, one for each set of members; list is its number. A kept table.
 
-    The list of a token over 2 ** 16 long is cut into slices by class, each in a bucket of its own and a row of its own.
+    The list of a token over 2 ** SLICED long is cut into slices by class, each in a bucket and a row of its own.
     """
     shared = texts.sparkSession.sparkContext.broadcast(longest)
 
@@ -169,11 +174,12 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
             name = np.repeat(np.array(names, np.int64), [len(t) for t in tokens])
             upper = (token >> _U(32)).astype(np.uint32)
             spread = mix(token, 11)
-            if len(known):  # slices of the very long lists
+            if len(known):  # each slice of a very long list goes to a bucket of its own
                 at = np.minimum(np.searchsorted(known, upper), len(known) - 1)
-                extra = np.where(known[at] == upper, np.maximum(power[at].astype(np.int64) - 16, 0), 0)
+                extra = np.where(known[at] == upper, np.maximum(power[at].astype(np.int64) - SLICED, 0), 0)
                 many = np.flatnonzero(extra)
-                spread[many] += mix(name[many].view(_U), 13) & ((_U(1) << extra[many].astype(_U)) - _U(1)) << _U(40)
+                slice_ = mix(name[many].view(_U), 13) & ((_U(1) << extra[many].astype(_U)) - _U(1))
+                spread[many] = mix(spread[many] ^ slice_, 12)
             bucket = ((spread >> _U(32)) * _U(n_buckets)) >> _U(32)
             order = np.lexsort((token, bucket))
             token, name, bucket = token[order], name[order], bucket[order]
@@ -211,7 +217,7 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
         sliced = np.zeros(len(n), bool)
         if len(known):
             at = np.minimum(np.searchsorted(known, upper), len(known) - 1)
-            sliced = (known[at] == upper) & (power[at] > 16)
+            sliced = (known[at] == upper) & (power[at] > SLICED)
         name_sum = np.add.reduceat(mix(name.view(_U), 5), edge[:-1]) if len(name) else np.zeros(0, _U)
         first = token[edge[:-1]]
         number = np.where(sliced, mix(first ^ name_sum, 6), mix(name_sum, 7))
@@ -224,7 +230,9 @@ def short_lists(texts: DataFrame, longest: tuple[np.ndarray, np.ndarray], n_buck
     found = texts.mapInArrow(post, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(lists, "list long, token long, sliced boolean, classes array<long>")
     found = found.groupBy("list").agg(F.first("token").alias("token"), F.first("sliced").alias("sliced"), F.first("classes").alias("classes"))
     # The slices of a token's list keep their token in common, as one list.
-    return found.withColumn("list", F.when(F.col("sliced"), F.xxhash64("token")).otherwise(F.col("list"))).select("list", "classes")
+    out = keep(found.withColumn("list", F.when(F.col("sliced"), F.xxhash64("token")).otherwise(F.col("list"))).select("list", "sliced", "classes"), "lists")
+    shared.destroy()
+    return out
 
 
 def _ordered(own: np.ndarray, longest: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
@@ -238,31 +246,16 @@ def _ordered(own: np.ndarray, longest: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return (own[np.argsort(length, kind="stable")], int((length == 0).sum())) if length.any() else (own, len(own))
 
 
-def needed_sets(texts: DataFrame, classes: DataFrame, sketched: bool = False) -> DataFrame:
-    """(class, n, tokens) of the classes asked for, from the texts, or with their sketches in place of their tokens.
+def needed_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(class, n, tokens) of the classes asked for (class, key), from the texts (key, text) with their keys.
 
-    A filter of a bounded size thins the classes out in the scan, a join makes that exact.
+    Only texts with those keys are cut into words. The keys are broadcast where they are few, else joined.
     """
-    spark = texts.sparkSession
-    bits = int(min(FILTER_BITS, max(10, math.ceil(math.log2(max(classes.count(), 1) * 16)))))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << (bits - 3), np.uint8)
-        for b in batches:
-            h = mix(np.asarray(b.column(0)).view(_U), 17)
-            for place in (h >> _U(64 - bits), mix(h, 19) >> _U(64 - bits)):
-                np.bitwise_or.at(own, (place >> _U(3)).astype(np.int64), (np.uint8(1) << (place & _U(7)).astype(np.uint8)))
-        used = np.flatnonzero(own)
-        yield _batch([("at", pa.binary()), ("bits", pa.binary())], [[used.astype(np.int32).tobytes()], [own[used].tobytes()]])
-
-    filled = np.zeros(1 << (bits - 3), np.uint8)
-    for part in classes.mapInArrow(gather, "at binary, bits binary").toLocalIterator():
-        filled[np.frombuffer(part.at, np.int32)] |= np.frombuffer(part.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(filled)
+    keys = asked.select("key").distinct()
+    keys = F.broadcast(keys) if asked.count() <= MOST_KEYS else keys
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, seen = shared.value, set()
-        schema = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
+        schema, seen = [("class", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())], set()
         rows, size = [], 0
         for b in batches:
             for own in shingle_sets(b.column(0)):
@@ -270,19 +263,16 @@ def needed_sets(texts: DataFrame, classes: DataFrame, sketched: bool = False) ->
                 if not len(own) or name in seen:
                     continue
                 seen.add(name)
-                h = mix(np.array([name], np.int64).view(_U), 17)
-                places = [int((h >> _U(64 - bits))[0]), int((mix(h, 19) >> _U(64 - bits))[0])]
-                if all(filled[p >> 3] >> (p & 7) & 1 for p in places):
-                    rows.append((name, len(own), sketch(own) if sketched else own.tobytes()))
-                    size += len(own)
+                rows.append((name, len(own), own.tobytes()))
+                size += len(own)
                 if size > 1 << 18:
                     yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
                     rows, size = [], 0
         if rows:
             yield _batch(schema, [list(x) for x in zip(*rows, strict=True)])
 
-    found = texts.mapInArrow(sets, "class long, n long, tokens binary").join(classes, "class", "left_semi")
-    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "tokens")])
+    found = texts.join(keys, "key", "left_semi").select("text").mapInArrow(sets, "class long, n long, tokens binary")
+    return found.groupBy("class").agg(F.first(F.struct("n", "tokens")).alias("s")).select("class", "s.*")
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -346,8 +336,9 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = Fal
 
     Groups are the pairs of one query, GROUP of them or so.
     """
-    counts = pairs.groupBy("query").agg(F.count("*").alias("_n"))
-    pairs = pairs.join(counts, "query").withColumn("slice", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / GROUP)).cast("int")).drop("_n")
+    hot = keep(pairs.groupBy("query").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP), "hot")
+    slices_ = F.ceil(F.coalesce("_n", F.lit(1)) / GROUP)
+    pairs = pairs.join(hot, "query", "left").withColumn("slice", F.pmod(F.xxhash64("class"), slices_).cast("int")).drop("_n")
     members = pairs.join(sets, "class").select("query", "slice", "class", "n", "tokens", F.lit(False).alias("is_query"))
     queries = pairs.select("query", "slice").distinct().join(sets.withColumnRenamed("class", "query"), "query")
     queries = queries.select("query", "slice", F.col("query").alias("class"), "n", "tokens", F.lit(True).alias("is_query"))
@@ -379,27 +370,38 @@ def search(pairs: DataFrame, sets: DataFrame, percent: int, sketched: bool = Fal
     return both.select("group", "query", "class", "n", "tokens", "is_query").mapInArrow(probe, "query long, class long")
 
 
+def length_of(n: str = "n", percent: int = PERCENT):
+    """The number of a set's length: those of sets that may link are at most one apart."""
+    return F.floor(F.log(F.col(n)) / math.log(100 / percent) + 1e-9).cast("int")
+
+
 def search_apart(apart: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(query, class) of different components that share a list and that sketches don't rule out: every such pair, or
-    of each block only a forest that spans its components, nearest pairs first.
+    """(query, class, first, list) of different components that share a list and that sketches don't rule out, a kept table.
 
-    In every list the classes outside its main component meet all of the list, in blocks of at most 2 * GROUP a side.
+    apart: (list, class, component, other, n): `other` outside the list's main component. Those meet all of the list that
+    are of near length, in blocks of at most 2 * GROUP a side. A block gives the edges of a forest that spans its
+    components, nearest pairs first (first is true), and all its pairs where they are few or where `every` is set; else
+    a row with the list alone says that there are more.
     """
-    sizes = apart.groupBy("list").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / (2 * GROUP)).alias("a"), F.ceil(F.count("*") / (2 * GROUP)).alias("b"))
-    rows = apart.select("list", "class", "component", (F.col("component") != F.col("main")).alias("other")).join(sizes, "list").join(sketches, "class")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("class"), F.col("a"))).withColumn("j", F.pmod(F.xxhash64("class"), F.col("b")))
-    zero = F.lit(0).cast("long")
-    left = rows.where("other").withColumn("j", F.explode(F.sequence(zero, F.col("b") - 1))).withColumn("left", F.lit(True))
-    right = rows.withColumn("i", F.explode(F.sequence(zero, F.col("a") - 1))).withColumn("left", F.lit(False))
-    both = left.unionByName(right).withColumn("group", F.xxhash64("list", "i", "j")).select("group", "class", "component", "other", "left", "n", "tokens")
-    both = both.repartition(partitions(apart.sparkSession), "group").sortWithinPartitions("group")
+    near = F.array(*[F.col("size") + k for k in (-1, 0, 1)])
+    rows = apart.withColumn("size", length_of("n", percent))
+    left = rows.where("other").select("list", "class", "component", "other", "size", F.lit(True).alias("left"))
+    right = rows.select("list", "class", "component", "other", F.explode(near).alias("size"), F.lit(False).alias("left"))
+    both = left.unionByName(right)
+    blocks = both.groupBy("list", "size").agg(F.ceil(F.count_if("left") / (2 * GROUP)).alias("a"), F.ceil(F.count_if(~F.col("left")) / (2 * GROUP)).alias("b")).where("a > 0")
+    blocks = keep(blocks, "blocks")
+    to = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    both = both.join(blocks, ["list", "size"]).withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("left"), F.col("a")).otherwise(F.col("b")))).withColumn("met", F.explode(F.when(F.col("left"), to("b")).otherwise(to("a"))))
+    group = F.xxhash64("list", "size", F.when(F.col("left"), F.col("own")).otherwise(F.col("met")), F.when(F.col("left"), F.col("met")).otherwise(F.col("own")))
+    both = both.select(group.alias("group"), "list", "class", "component", "other", "left").join(sketches, "class")
+    both = both.repartition(partitions(apart.sparkSession), "group").sortWithinPartitions("group").select("group", "list", "class", "component", "other", "left", "n", "sketch")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, told = [], [], set()
-        schema = [("query", pa.int64()), ("class", pa.int64())]
+        schema = [("query", pa.int64()), ("class", pa.int64()), ("first", pa.bool_()), ("list", pa.int64())]
+        out: list[tuple] = []
         for table in groups(batches, "group"):
             names, component, other, left, n = (np.asarray(table.column(c)) for c in ("class", "component", "other", "left", "n"))
-            blobs = table.column("tokens").to_pylist()
+            blobs = table.column("sketch").to_pylist()
             own = np.flatnonzero(~left)
             all_ = Sketches([blobs[k] for k in own.tolist()], n[own])
             one, two, shares = [], [], []
@@ -413,116 +415,153 @@ def search_apart(apart: DataFrame, sketches: DataFrame, percent: int, every: boo
             if not one:
                 continue
             one, two = np.concatenate(one), np.concatenate(two)
-            if not every:
-                use = forest(component[one], component[two], np.concatenate(shares))
-                one, two = one[use], two[use]
-            for pair in zip(names[one].tolist(), names[two].tolist(), strict=True):
-                if pair not in told:
-                    told.add(pair)
-                    a.append(pair[0])
-                    b.append(pair[1])
-            if len(a) > 10_000:
-                yield _batch(schema, [a, b])
-                a, b = [], []
-        yield _batch(schema, [a, b])
+            nearest = np.zeros(len(one), bool)
+            nearest[forest(component[one], component[two], np.concatenate(shares))] = True
+            if not every and len(one) > 4 * table.num_rows:
+                out.append((None, None, False, int(table.column("list")[0].as_py())))
+                one, two, nearest = one[nearest], two[nearest], nearest[nearest]
+            out += zip(names[one].tolist(), names[two].tolist(), nearest.tolist(), [None] * len(one), strict=True)
+            if len(out) > 10_000:
+                yield _batch(schema, list(zip(*out, strict=True)))
+                out = []
+        if out:
+            yield _batch(schema, list(zip(*out, strict=True)))
+
+    found = both.mapInArrow(probe, "query long, class long, first boolean, list long")
+    found = keep(found.groupBy("query", "class", "list").agg(F.max("first").alias("first")), "likely")
+    drop(blocks)
+    return found
+
+
+def _apart(posts: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """posts (list, class) of those lists that hold several components: (list, class, component, other, n), a kept table.
+
+    The main component of a list is its commonest; `other` says whether a class is outside of it.
+    """
+    named = posts.join(labels, posts["class"] == labels["node"], "left").select("list", "class", F.coalesce("component", "class").alias("component"))
+    per = named.groupBy("list", "component").agg(F.count("*").alias("k"))
+    main = keep(per.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("list", "main"), "main")
+    several = named.join(main, "list").join(sketches.select("class", "n"), "class")
+    out = keep(several.select("list", "class", "component", (F.col("component") != F.col("main")).alias("other"), "n"), "apart")
+    drop(main)
+    return out
 
-    return both.mapInArrow(probe, "query long, class long").distinct()
 
+def class_rows(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of docs with class (0: no shingle), n (its shingles), key (of the text) and sketch."""
 
-def _apart(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """posts (list, class) with their component, of those lists that hold several; `main` is the list's commonest."""
-    named = posts.join(labels, posts["class"] == labels["node"], "left").select("list", "class", F.coalesce("component", "class").alias("component"))
-    per = named.groupBy("list", "component").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    main = per.groupBy("list").agg(F.count("*").alias("k"), F.max(F.struct("n", "component", "lo", "hi")).alias("m")).where("k > 1")
-    return named.join(main.select("list", F.col("m.component").alias("main"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi")), "list")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [(class_of(s), len(s), sketch(s) if len(s) else b"") for s in shingle_sets(b.column(b.num_columns - 1))]
+            marks = [pa.array([x[k] for x in own], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), *marks], [*names, "key", "class", "n", "sketch"])
+
+    rows = docs.select(*names, F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, rows.drop("text").schema.add("class", "long").add("n", "long").add("sketch", "binary"))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(class, component): for every class that links with another, the least class it reaches."""
+def similar_components(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component), a kept table: for every class that links with another, the least class it reaches.
+
+    rows: class_rows of docs, kept.
+    """
     spark = docs.sparkSession
-    texts = docs.select("text")
-    n_buckets = 4 * partitions(spark)
-    lists = keep(short_lists(texts, long_lists(texts, n_buckets), n_buckets, percent), "lists")
-    release(spark)
+    texts = docs.select(F.xxhash64("text").alias("key"), "text")
+    tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_buckets = max(4 * partitions(spark), tokens // BUCKET)
+    lists = short_lists(texts.select("text"), long_lists(texts.select("text"), n_buckets), n_buckets, percent)
     posts = lists.select("list", F.explode("classes").alias("class"))
-    hubs = lists.groupBy("list").agg(F.min(F.array_min("classes")).alias("query"))
-    pairs = posts.join(hubs, "list").where("query <> class").select("query", "class").distinct()
-    sketches = keep(needed_sets(texts, posts.select("class").distinct(), sketched=True), "sketches")
-    links = spark.createDataFrame([], "query long, class long")
-    for turn in ("the least of each list", "two of the main component of each list", "forest", "forest", "every pair"):
-        if turn != "the least of each list":
-            labels = keep(components(links, "query", "class"), "labels")
-            apart = keep(_apart(posts, labels), "apart")
-            drop(labels)
-            if apart.isEmpty():
-                drop(apart)
-                break
-        if turn in ("forest", "every pair"):
-            likely = keep(search_apart(apart, sketches, percent, turn == "every pair"), "likely")
-        else:
-            if turn != "the least of each list":
-                pairs = apart.where("component <> main").select("class", F.explode(F.array("lo", "hi")).alias("query")).distinct()
-            likely = keep(search(pairs, sketches, percent, sketched=True), "likely")
-        pairs = None
-        involved = keep(likely.select(F.explode(F.array("query", "class")).alias("class")).distinct(), "involved")
+    sketches = keep(rows.where("n > 0").join(posts.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first(F.struct("n", "key", "sketch")).alias("s")).select("class", "s.*"), "sketches")
+    release(spark)
+
+    def linked(likely: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """The labels after the links among likely pairs (query, class)."""
+        involved = keep(likely.select(F.explode(F.array("query", "class")).alias("class")).distinct().join(sketches.select("class", "key"), "class"), "involved")
+        if involved.isEmpty():
+            drop(involved)
+            return labels
+        sets = keep(needed_sets(texts, involved), "sets")
+        links = keep(search(likely, sets, percent), "links")
+        labels = relabelled(labels, links, "query", "class")
+        drop(involved, sets, links)
         release(spark)
-        if not involved.isEmpty():
-            sets = keep(needed_sets(texts, involved), "sets")
-            release(spark)
-            links = keep(links.unionByName(search(likely, sets, percent)), "links")
-            drop(sets)
-        drop(likely, involved)
-        if turn != "the least of each list":
-            drop(apart)
+        return labels
+
+    # The least class of each list, of all slices of one, against the others.
+    whole = lists.where("not sliced").select(F.array_min("classes").alias("query"), "classes")
+    hubs = lists.where("sliced").groupBy("list").agg(F.min(F.array_min("classes")).alias("query"))
+    cut = lists.where("sliced").join(hubs, "list").select("query", "classes")
+    pairs = whole.unionByName(cut).select("query", F.explode("classes").alias("class")).where("query <> class").distinct()
+    likely = keep(search(pairs, sketches.withColumnRenamed("sketch", "tokens"), percent, sketched=True), "likely")
+    labels = linked(likely, None)
+    drop(likely)
+    if labels is None:
+        labels = keep(spark.createDataFrame([], "node long, component long"), "labels")
+    apart = _apart(posts, labels, sketches)
+    for turn in range(TURNS):
+        found = None if apart.isEmpty() else search_apart(apart, sketches, percent, turn == TURNS - 1)
+        if found is None:
+            break
+        labels = linked(found.where("first").select("query", "class"), labels)
+        ends = found.where("not first and query is not null").select("query", "class")
+        for end in ("query", "class"):
+            ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        rest = keep(ends.where("coalesce(_query, query) <> coalesce(_class, class)").select("query", "class"), "rest")
+        labels = linked(rest, labels)
+        dense = keep(found.where("query is null").select("list").distinct(), "dense")
+        again = None if dense.isEmpty() else _apart(posts.join(dense, "list", "left_semi"), labels, sketches)
+        drop(found, rest, dense, apart)
         release(spark)
-    drop(lists, sketches)
-    return components(links, "query", "class").withColumnRenamed("node", "class")
-
+        if again is None:
+            apart = None
+            break
+        apart = again
+    drop(lists, sketches, *([apart] if apart is not None else []))
+    return labels
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """docs with class (0: no shingle) and n_shingles."""
-    names = [c for c in docs.columns if c not in ("class", "n_shingles")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [(class_of(s), len(s)) for s in shingle_sets(b.column(b.schema.get_field_index("text")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64())], [*names, "class", "n_shingles"])
-
-    schema = docs.select(*names).schema.add("class", "long").add("n_shingles", "long")
-    return docs.select(*names).mapInArrow(run, schema)
+def document_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Two kept tables: (doc_id, key, class, n) for each row of docs (doc_id, text), and (class, component) of its classes."""
+    rows = keep(class_rows(docs, "doc_id"), "classes")
+    labels = similar_components(docs, rows, percent)
+    every = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    every = every.join(labels, every["class"] == labels["node"], "left").select("class", F.coalesce("component", "class").alias("component"), "least")
+    out = keep(every, "components")
+    drop(labels)
+    return rows.select("doc_id", "key", "class", "n"), out
 
 
 def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, class, n_shingles, component_id for each row of docs."""
-    linked = similar_components(docs, percent)
-    text = docs.select("doc_id", "text")
-    rows = keep(with_class(text).select("doc_id", "class", "n_shingles"), "classes")
-    least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    least = least.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = least.join(names, "component").select("class", "component_id")
-    full = rows.where("n_shingles > 0").join(by_class, "class", "left").select("doc_id", "class", "n_shingles", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    rows, classes = document_classes(docs.select("doc_id", "text"), percent)
+    names = keep(classes.groupBy("component").agg(F.min("least").alias("component_id")), "names")
+    by_class = keep(classes.join(names, "component").select("class", "component_id"), "by_class")
+    drop(names)
+    full = rows.where("n > 0").join(by_class, "class").select("doc_id", "class", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "class", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_per_component(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of the least doc_id, with its own columns; texts without shingles all stay.
-
-    Of rows that repeat a kept doc_id with the same shingles one stays.
-    """
-    from pyspark.sql import Window as W
-
-    found = keep(document_components(docs, percent), "components")
-    kept = found.where("n_shingles > 0 and (doc_id = component_id or component_id is null)").groupBy("doc_id", "class").agg(F.count("*").alias("copies"), F.first("component_id").alias("c"))
-    one = kept.groupBy("c").agg(F.min("class").alias("class"), F.first("doc_id").alias("x"))
-    kept = kept.join(one.select(F.col("c").alias("_c"), F.col("class").alias("_k")), F.col("c").eqNullSafe(F.col("_c")) & ((F.col("class") == F.col("_k")) | F.col("c").isNull())).select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), "copies")
-    rows = with_class(docs)
-    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["class"] == F.col("_class"))
-    names = docs.columns
-    single = rows.join(kept.where("copies = 1"), same, "left_semi").select(*names)
-    many = rows.join(kept.where("copies > 1"), same)
-    many = many.withColumn("_r", F.row_number().over(W.partitionBy("_id", "_class").orderBy("text"))).where("_r = 1").select(*names)
-    return single.unionByName(many).unionByName(rows.where("n_shingles = 0").select(*names))
+    """One document of each component, that of the least doc_id (null last), with its own columns; texts without shingles
+    all stay. Of rows that agree in doc_id and text one stays."""
+    rows, classes = document_classes(docs.select("doc_id", "text"), percent)
+    rows = rows.where("n > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "key")
+    best = rows.join(classes.select("class", "component"), "class").groupBy("component").agg(F.min(F.struct(order.alias("order"), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
+    many = rows.groupBy("doc_id", "key").agg(F.count("*").alias("copies")).where("copies > 1")
+    best = keep(best.join(many, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")), "left").select("_id", "_key", F.col("copies").isNotNull().alias("_many")), "kept")
+    drop(classes)
+    # Columns go by numbers of their own here, so that none of the user's names is in the way.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = docs.toDF(*names)
+    empty = F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    same = id_.eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+    full = own.where(~empty).withColumn("_k", F.xxhash64(text))
+    single = full.join(best.where("not _many"), same, "left_semi").select(*names)
+    rest = F.to_json(F.struct(F.lit(0), *[n for n in names if n != names[docs.columns.index("text")]]))
+    one = full.join(best.where("_many"), same).groupBy("_id", "_key").agg(F.min_by(F.struct(*names), rest).alias("row")).select("row.*")
+    return single.unionByName(one).unionByName(own.where(empty)).toDF(*docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
