@@ -6,13 +6,13 @@ original text. Windows are runs of `width` words of an item; a shorter item is o
 
 Defined results: a null or wordless text has no words, hits or items; an item without words has no window; items that
 repeat a window all count; repeated item ids count once; a null item id counts as the empty string; an empty benchmark
-leaves every document clean; documents are returned row for row with their own columns.
+leaves every document clean; documents are returned row for row with their own columns, of which find_leaks replaces
+those named like its results; a text of any length is scanned as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from .scratch import keep
 from .words import ALNUM
 
 _CLEAN = bytes((c + 32 if 65 <= c < 91 else c) if ALNUM[c] else 32 for c in range(256))
 _WORD = bytes(255 if ALNUM[c] else 32 for c in range(256))
-#: Bytes of windows in one automaton. A larger benchmark is scanned in blocks, one automaton each, in the same tasks.
-BLOCK_BYTES = 1 << 22
+#: Bytes of windows at most (an automaton holds about 50 times as many): a benchmark of some millions of words.
+MOST_BYTES = 1 << 26
 
 FOUND = T.StructType(
     [
@@ -97,67 +95,40 @@ def resolve(text: str | None, clean: str, found: list[tuple[int, int, str]]) ->
     return total, int(hit.sum()), sorted({i for _, _, i in found}), [{"start": a, "end": b} for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_bytes: int = MOST_BYTES, text: str = "text") -> DataFrame:
     """docs with n_words, n_hit, item_ids and hit_spans (runs of hit words as code point offsets of the text).
 
-    Windows are broadcast in blocks of at most block_bytes. One block (any usual benchmark) is scanned in a single pass
-    over the texts. With more, each block is a pass of its own that yields only its matches, which meet by row.
+    The windows are broadcast, every task builds the automaton of all of them once and scans its texts once. A benchmark
+    of more than most_bytes of windows is refused: its automaton would not fit a task.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").distinct()
+    found, size = [], 0
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("text")).distinct()
     for pair in windows(((r.item, r.text) for r in rows.toLocalIterator()), width):
-        if size + len(pair[0]) > block_bytes and blocks[-1]:
-            blocks[-1] = spark.sparkContext.broadcast(blocks[-1])
-            blocks.append([])
-            size = 0
-        blocks[-1].append(pair)
+        found.append(pair)
         size += len(pair[0])
-    blocks[-1] = spark.sparkContext.broadcast(blocks[-1])
+        if size > most_bytes:
+            raise ValueError(f"the benchmark has more than {most_bytes} bytes of windows, too many for one automaton")
+    shared = spark.sparkContext.broadcast(found)
     names = [n for n in docs.columns if n not in FOUND.names]
     schema = T.StructType([docs.schema[n] for n in names] + FOUND.fields)
 
-    def out(batch: pa.RecordBatch, results: list[tuple]) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(shared.value)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-        own = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in results], kind) for k, kind in enumerate(kinds))], schema.names)
-
-    if len(blocks) == 1:
-        only = blocks[0]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton(only.value)
-            for batch in batches:
-                texts = (t.as_py() for t in batch.column(batch.schema.get_field_index("text")))
-                yield out(batch, [resolve(t, c := normalised(t), matches(c, machine)) for t in texts])
-
-        return docs.select(*names).mapInArrow(run, schema)
-
-    base = keep(docs.select(*names).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-    def matcher(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton(block.value)
-            for batch in batches:
-                found = [(row.as_py(), *m) for row, t in zip(batch.column(0), batch.column(1), strict=True) for m in matches(normalised(t.as_py()), machine)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["_row", "w", "n", "item"])
-
-        return base.select("_row", "text").mapInArrow(run, "_row long, w int, n int, item string")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[(m["w"], m["n"], m["item"]) for m in f or ()] for f in batch.column(batch.schema.get_field_index("_found")).to_pylist()]
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield out(batch, [resolve(t, normalised(t), f) for t, f in zip(texts, found, strict=True)])
+            texts = (t.as_py() for t in batch.column(batch.num_columns - 1))
+            results = [resolve(t, c := normalised(t), matches(c, machine)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[k] for r in results], kind) for k, kind in enumerate(kinds))], schema.names)
 
-    found = reduce(DataFrame.unionByName, map(matcher, blocks)).groupBy("_row").agg(F.collect_list(F.struct("w", "n", "item")).alias("_found"))
-    return base.join(found, "_row", "left").mapInArrow(finish, schema)
+    return docs.select(*names, F.col(text).alias("_scanned")).mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """docs without the documents that hold a benchmark window."""
-    return find_leaks(docs, benchmark, **params).where("n_hit = 0").select(*docs.columns)
+    """docs without the documents that hold a benchmark window; their columns go by other names through the scan."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    found = find_leaks(docs.toDF(*names), benchmark, text=names[docs.columns.index("text")], **params)
+    return found.where("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -6,16 +6,17 @@ documents in a seeded hash order, laid end to end in words and repeated, cut int
 
 Defined results: a null text has 0 words; a null source is a source, sorted last; sources that reach `cap` times their
 size give the excess to the others by weight; documents without words are never taken; repeated rows are rows of their
-own; an empty table gives an empty table; columns other than the named ones are ignored.
+own, each with its own place in the stream, also where no id tells them apart; an empty table gives an empty table; a
+text of any length is counted whole; columns other than the named ones are ignored, mixed_documents keeps them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949
@@ -27,40 +28,61 @@ def n_words(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of sums, its sum over the rows before in this order, as a kept table.
+
+    Rows are dealt out by ranges of the order and written, so that no task holds them all; a row a range is summed first.
+    """
+    dealt = keep(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])  # a row for each partition
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select("_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    full = dealt.join(F.broadcast(per), "_part").select(*rows.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(n) for n, c in sums.items()])
+    out = keep(full, "running")
+    drop(dealt)
+    return out
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
-    """One row per source: source, s (its number from 0), source_size, target. Rows here are sources, not documents.
+    """One row per source: source, s (its number from 0), source_size, target, as a kept table.
 
     Sorted by cap / weight, a source is capped when its share of what the capped ones before it leave is above its cap.
     """
-    one = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    one = one.withColumn("s", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
-    one = one.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int")))
+    one = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    numbered = running(one, [F.col("source").asc_nulls_last()], {"s": F.lit(1).cast("long")})
+    one = numbered.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int")))
     one = one.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    by = W.orderBy(F.col("most") / F.col("weight"), "s")
-    before = F.coalesce(F.sum("most").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing))
-    total = F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    one = one.withColumn("each", (total - before) / rest).withColumn("capped", F.col("most") < F.col("weight") * F.col("each"))
-    open_ = ~F.col("capped")  # from the first source in this order that isn't capped, no other is
-    level = F.min_by(F.when(open_, F.col("each")), F.when(open_, F.struct(F.col("most") / F.col("weight"), "s"))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return one.select("source", "s", "source_size", F.least("most", F.col("weight") * F.coalesce(level, F.lit(0.0))).alias("target"))
+    totals = one.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    by = [(F.col("most") / F.col("weight")).asc(), F.col("s").asc()]
+    shares = running(one, by, {"before": F.col("most"), "gone": F.col("weight")})
+    shares = shares.withColumn("each", (F.lit(totals["size"]) - F.col("before")) / (F.lit(totals["weight"]) - F.col("gone")))
+    # From the first source in this order that isn't capped, no other is.
+    level = shares.where(F.col("most") >= F.col("weight") * F.col("each")).agg(F.min_by("each", F.struct(F.col("most") / F.col("weight"), "s"))).first()[0]
+    out = keep(shares.select("source", "s", "source_size", F.least("most", F.col("weight") * F.lit(float(level or 0.0))).alias("target")), "targets")
+    drop(numbered, shares)
+    return out
 
 
 def streams(sized: DataFrame, per_source: DataFrame, seed: str) -> DataFrame:
-    """Adds s, source_size, target and a: the words that stand before the document in its source's stream.
+    """A row for each document, with s, source_size, target and a: the words that stand before it in its source's stream.
 
-    Prefix sums go over buckets of the hash order first, so that no task holds a whole source.
+    sized: (doc_id, source, size, n), one row for the n documents that agree in these; they follow each other. Prefix
+    sums go over buckets of the hash order first, so that no task holds a whole source.
     """
     rows = sized.join(per_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     n, digits = sized.count(), 0
     while 16**digits * BUCKET < n:
         digits += 1
-    rows = rows.withColumn("bucket", F.substring("h", 1, digits))
-    sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket"))
+    rows = rows.withColumn("bucket", F.substring("h", 1, digits)).withColumn("words", F.col("size") * F.col("n"))
+    sums = rows.groupBy("s", "bucket").agg(F.sum("words").alias("in_bucket"))
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
     own = W.partitionBy("s", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    return rows.join(sums, ["s", "bucket"]).withColumn("a", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))).drop("bucket", "before", "h")
+    rows = rows.join(sums, ["s", "bucket"]).withColumn("a", F.col("before") + F.coalesce(F.sum("words").over(own), F.lit(0)))
+    zero, last = F.lit(0).cast("long"), F.col("n") - 1
+    rows = rows.withColumn("run", F.explode(F.sequence(zero, F.floor(last / BUCKET)))).withColumn("k", F.explode(F.sequence(F.col("run") * BUCKET, F.least(last, (F.col("run") + 1) * BUCKET - 1))))
+    return rows.select("doc_id", "source", "size", "s", "source_size", "target", (F.col("a") + F.col("k") * F.col("size")).alias("a"))
 
 
 def schedule(per_source: DataFrame, block: int) -> DataFrame:
@@ -70,7 +92,7 @@ def schedule(per_source: DataFrame, block: int) -> DataFrame:
     """
     spark = per_source.sparkSession
     shares = per_source.withColumn("quota", F.ceil(F.floor("target") / block).cast("long")).select("s", "quota")
-    shares = shares.withColumn("hi", F.sum("quota").over(W.orderBy("s"))).withColumn("lo", F.col("hi") - F.col("quota"))
+    shares = running(shares, [F.col("s").asc()], {"lo": F.col("quota")}).withColumn("hi", F.col("lo") + F.col("quota"))
     total = shares.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     edges = shares.where("quota > 0").select("s", "quota", (F.col("lo") / F.lit(float(max(total, 1)))).alias("lo"), (F.col("hi") / F.lit(float(max(total, 1)))).alias("hi"))
     cells = edges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))))
@@ -90,9 +112,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     """(documents, mix). documents: a row per input row with doc_id, source, size, source_size, target, s, a.
     mix: a row per piece of a block that the mix takes: slot, s, a (names the document), first (its first word), n (words).
     """
-    sized = keep(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
-    per_source = keep(targets(sized, weights, cap), "targets")
+    sized = keep(docs.select("doc_id", "source", n_words().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    per_source = targets(sized, weights, cap)
     rows = keep(streams(sized, per_source, seed), "streams")
+    drop(sized)
     epochs = rows.where("size > 0 and target >= 1").withColumn("whole", F.floor("target"))
     epochs = epochs.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / F.col("source_size")))))
     lo = F.col("epoch") * F.col("source_size") + F.col("a")
@@ -111,16 +134,28 @@ def taken(docs: DataFrame, **params) -> DataFrame:
     return full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The documents of which the mix takes words, with all their columns, and mix_words: how many (repeats counted).
+def mixed_documents(docs: DataFrame, words: str = "mix_words", **params) -> DataFrame:
+    """The documents of which the mix takes words, with all their columns, and how many (repeats counted) in a column
+    named `words`, which takes the place of one of that name.
 
-    Rows that agree in doc_id, source and size share what the mix takes of them evenly.
+    What rows that agree in doc_id, source and size give differs in one such group of a source at most, where its target
+    ends: its rows are numbered, in order of text, and take what the group's places in the stream give in turn.
     """
-    marks = taken(docs, **params).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).cast("long").alias("mix_words")).where("mix_words > 0")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("mix_words").alias("_words"))
-    rows = docs.withColumn("_n", n_words())
-    hit = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    return hit.select(*[docs[c] for c in docs.columns if c != "mix_words"], F.col("_words").alias("mix_words"))
+    marks = taken(docs.select("doc_id", "source", "text"), **params).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("lo"), F.max("taken").alias("hi"), F.count("*").alias("n"), F.sum("taken").alias("sum"))
+    # In a group whose rows differ, some take hi, then one takes part of the difference, the rest lo.
+    whole = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("sum") - F.col("n") * F.col("lo")) / F.greatest(F.col("size"), F.lit(1)))).otherwise(F.col("n"))
+    marks = keep(marks.where("hi > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("lo").alias("_lo"), (F.col("hi") > F.col("lo")).alias("_differ"), whole.alias("_whole"), (F.col("sum") - F.col("n") * F.col("lo")).alias("_extra")), "marks")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    id_, source, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text"))
+    rows = docs.toDF(*names).withColumn("_n", n_words(names[docs.columns.index("text")]))
+    hit = rows.join(marks, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    same = hit.where("not _differ").select(*names, F.col("_lo").alias("_words"))
+    rank = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(text)) - 1
+    apart = hit.where("_differ").withColumn("_r", rank)
+    more = F.when(F.col("_r") < F.col("_whole"), F.col("_size")).when(F.col("_r") == F.col("_whole"), F.col("_extra") - F.col("_whole") * F.col("_size")).otherwise(0)
+    apart = apart.select(*names, (F.col("_lo") + more).alias("_words")).where("_words > 0")
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c != words]
+    return same.unionByName(apart).select(*[F.col(n).alias(c) for n, c in kept], F.col("_words").alias(words))
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

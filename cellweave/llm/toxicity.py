@@ -8,7 +8,9 @@ labelled documents (`most_rows`), which is the one bounded thing here; every doc
 
 Defined results: a null or empty text has no features and gets the models' intercepts; labels that are null, or whose
 document is missing, are not used; several labels of a document count as the largest; without labelled rows of both
-kinds a category's probability is 0 (documents stay); documents are returned row for row with their own columns.
+kinds a category's probability is 0 (documents stay); documents are returned row for row with their own columns, of
+which score_toxicity replaces those named like its results; several rows of a labelled document are examples of their
+own; ids of any type will do; an empty table gives an empty table; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import keep
+from .scratch import drop, keep
 from .words import ALNUM, hashes, mix, slices, spans
 
 CHAIN = ("junk", "toxic")
@@ -77,7 +79,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.nd
 def _labelled(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     """doc_id, text and a 0/1 column for each category, for at most most_rows documents, chosen by hash."""
     good = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    good = good.groupBy("doc_id").agg((1 - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
+    good = good.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("junk"), F.max("toxic").cast("int").alias("toxic"))
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # most_rows bounds what is broadcast
 
@@ -86,16 +88,18 @@ def train_chain(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     """The vocabulary (sorted word hashes) and each category's weights."""
     spark = docs.sparkSession
     sample = _labelled(docs, labels, most_rows)
+    id_ = docs.schema["doc_id"].dataType.simpleString()
 
     def texts_to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [w.view(np.int64) for w in held_words(b.column(1), None)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "junk", "toxic", "words"])
 
-    sample = keep(sample.mapInArrow(texts_to_words, "doc_id long, junk int, toxic int, words array<long>"), "labelled")
+    sample = keep(sample.mapInArrow(texts_to_words, f"doc_id {id_}, junk int, toxic int, words array<long>"), "labelled")
     # Words whose presence goes with a category, by the z score of its share among the documents that hold them.
     base = sample.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in CHAIN]).first()
     if not base["n"]:
+        drop(sample)
         return np.zeros(0, np.uint64), []
     by_word = keep(sample.select("junk", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in CHAIN]).where(F.col("df") >= LEAST_DOCS), "words")
     kept: set[int] = set()
@@ -116,8 +120,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
                 places.append(np.sort(at[known[at] == w]).astype(np.int32) if len(known) else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "junk", "toxic", "places"])
 
-    rows = sample.mapInArrow(to_places, "doc_id long, junk int, toxic int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(n_folds)).cast("int"))
+    rows = sample.mapInArrow(to_places, f"doc_id {id_}, junk int, toxic int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(n_folds)).cast("int"))
     rows = keep(rows, "features")
+    drop(sample, by_word)
     weights: list[np.ndarray] = []
     folds: list[np.ndarray] = []  # for each category, a model without each fold
     for k, category in enumerate(CHAIN):
@@ -126,8 +131,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
         # Model j < n_folds is trained without fold j, model n_folds on all; each is one group of at most most_rows rows.
         models = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(n_folds)))).where("model <> fold")
         fitted = {r.model: np.array(r.w) for r in models.groupBy("model").applyInArrow(_fitter(k, category, earlier, shared), "model int, w array<double>").collect()}
+        earlier.destroy()
         weights.append(fitted[n_folds])
         folds.append(np.array([fitted.get(j, fitted[n_folds]) for j in range(n_folds)]))
+    drop(rows)
+    shared.destroy()
     return vocabulary, weights
 
 
@@ -161,32 +169,39 @@ def logits(at: np.ndarray, cols: np.ndarray, dense: np.ndarray, w: np.ndarray, n
     return 1 / (1 + np.exp(-np.clip(z + (w[each, n_cols:-1] * dense).sum(1) + w[each, -1], -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
-    """docs with p_junk, p_toxic and is_toxic (p_toxic >= threshold)."""
-    vocabulary, weights = train_chain(docs, labels, **params)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    marks = [T.StructField("p_junk", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("is_toxic", T.BooleanType())]
-    names = [n for n in docs.columns if n not in {m.name for m in marks}]
-    schema = T.StructType([docs.schema[n] for n in names] + marks)
+MARKS = [T.StructField("p_junk", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("is_toxic", T.BooleanType())]
+
+
+def _scored(docs: DataFrame, text: str, chain: tuple[np.ndarray, list[np.ndarray]], threshold: float) -> DataFrame:
+    """docs with p_junk, p_toxic and is_toxic of the column `text`."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    names = [n for n in docs.columns if n not in {m.name for m in MARKS}]
+    schema = T.StructType([docs.schema[n] for n in names] + MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         for b in batches:
-            held = list(held_words(b.column(b.schema.get_field_index("text")), vocabulary))
+            held = list(held_words(b.column(b.num_columns - 1), vocabulary))
             at, cols = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)
             p = np.zeros((len(held), 0))
             for w in weights:
                 p = np.column_stack((p, logits(at, cols, p, w, len(vocabulary))))
             p = p if weights else np.zeros((len(held), len(CHAIN)))
-            own = [b.column(b.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("_scanned")).mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+    """docs with p_junk, p_toxic and is_toxic (p_toxic >= threshold)."""
+    return _scored(docs, "text", train_chain(docs, labels, **params), threshold)
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """docs without those that the chain finds toxic."""
-    return score_toxicity(docs, labels, **params).where("not is_toxic").select(*docs.columns)
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+    """docs without those that the chain finds toxic; their columns go by other names through the scan."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    scored = _scored(docs.toDF(*names), names[docs.columns.index("text")], train_chain(docs, labels, **params), threshold)
+    return scored.where("not is_toxic").select(*names).toDF(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
