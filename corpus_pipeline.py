@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import decontaminate, jaccard, mixing, toxicity
-from cellweave.llm.scratch import keep
+from cellweave.llm.scratch import drop, keep
 from cellweave.session import ship_package
 
 
@@ -39,9 +39,10 @@ STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_copies), ("decon
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        drop(before)
     return docs
 
 
-#: A trained classifier decides the first stage, so SQL can't give these rows; tests hold each stage against brute force.
+#: A trained classifier decides the first stage, so SQL can't give these rows; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
