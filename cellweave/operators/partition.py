@@ -1,4 +1,4 @@
-"""Balanced rectangles and strips of a grid: a k-d split level by level over sums by line, without a tree."""
+"""Balanced rectangles and strips of a grid: a k-d split level by level over windows, without a tree."""
 
 from __future__ import annotations
 
@@ -8,37 +8,36 @@ from pyspark.sql import functions as F
 
 
 def kd_split(loads: DataFrame, n: int | str, size: int, by: list[str]) -> DataFrame:
-    """loads (by, r, c, load) of dense grids, with path, r0, r1, c0, c1 of the rectangle of each cell; n: how many, or the
-    column of `by` that says how many.
+    """loads (by, r, c, load) of dense grids, with path, r0, r1, c0, c1 of the rectangle of each cell; n: how many
+    at most, or the column of `by` that says how many.
 
     Rows are cut at even depths, columns at odd ones, after the first line at which twice the running load reaches the
     rectangle's load; in the middle where no line but the last does. A rectangle for one part, or one line thin, stays.
-    A level sums the load by line of a rectangle, cuts on that small table and joins the cuts to the cells: no window
-    goes over cells, and no task holds a grid.
     """
     parts, most = (F.lit(n), n) if isinstance(n, int) else (F.col(n).cast("int"), 32)
-    boxes = loads.select(*by).distinct().select(*by, F.lit("").alias("path"), parts.alias("parts"), *[F.lit(v).alias(k) for k, v in (("r0", 0), ("r1", size), ("c0", 0), ("c1", size))])
-    out = loads.withColumn("path", F.lit(""))
+    out = loads.select("*", F.lit("").alias("path"), parts.alias("parts"), F.lit(0).alias("r0"), F.lit(size).alias("r1"), F.lit(0).alias("c0"), F.lit(size).alias("c1"))
     depth = 0
     while 2**depth < 2 * most:
         x, lo, hi = ("r", "r0", "r1") if depth % 2 == 0 else ("c", "c0", "c1")
-        lines = out.groupBy(*by, "path", x).agg(F.sum("load").alias("load"))
         group = W.partitionBy(*by, "path")
-        lines = lines.withColumn("_run", F.sum("load").over(group.orderBy(x))).withColumn("_all", F.sum("load").over(group)).withColumn("_last", F.max(x).over(group))
-        cuts = lines.groupBy(*by, "path").agg(F.min(F.when((2 * F.col("_run") >= F.col("_all")) & (F.col(x) < F.col("_last")), F.col(x) + 1)).alias("_cut"))
-        boxes = boxes.join(cuts, [*by, "path"]).withColumn("_cut", F.coalesce("_cut", F.floor((F.col(lo) + F.col(hi)) / 2).cast("int")))
+        running = F.sum("load").over(group.orderBy(x).rangeBetween(W.unboundedPreceding, 0))
+        out = out.withColumn("_run", running).withColumn("_all", F.sum("load").over(group))
+        cut = F.min(F.when((2 * F.col("_run") >= F.col("_all")) & (F.col(x) < F.col(hi) - 1), F.col(x) + 1)).over(group)
+        out = out.withColumn("_cut", F.coalesce(cut, F.floor((F.col(lo) + F.col(hi)) / 2).cast("int")))
         leaf = (F.col("parts") <= 1) | (F.col("r1") - F.col("r0") <= 1) | (F.col("c1") - F.col("c0") <= 1)
+        out = out.withColumn("_leaf", leaf).withColumn("_up", F.col(x) >= F.col("_cut"))
         half = F.floor(F.col("parts") / 2).cast("int")
-        low = F.struct(F.concat("path", F.lit("0")).alias("path"), half.alias("parts"), F.col(lo).alias("a"), F.col("_cut").alias("b"))
-        high = F.struct(F.concat("path", F.lit("1")).alias("path"), (F.col("parts") - half).alias("parts"), F.col("_cut").alias("a"), F.col(hi).alias("b"))
-        stay = F.struct("path", F.lit(1).alias("parts"), F.col(lo).alias("a"), F.col(hi).alias("b"))
-        boxes = boxes.select(*by, *[e for e in ("r0", "r1", "c0", "c1") if e not in (lo, hi)], F.col("path").alias("_path"), F.inline(F.when(leaf, F.array(stay)).otherwise(F.array(low, high))))
-        boxes = boxes.select(*by, "_path", "path", "parts", *[F.col({lo: "a", hi: "b"}.get(e, e)).alias(e) for e in ("r0", "r1", "c0", "c1")])
-        moved = boxes.select(*by, F.col("_path").alias("path"), F.col("path").alias("_to"), F.col(lo).alias("_a"), F.col(hi).alias("_b"))
-        out = out.join(moved, [*by, "path"]).where((F.col(x) >= F.col("_a")) & (F.col(x) < F.col("_b"))).drop("path", "_a", "_b").withColumnRenamed("_to", "path")
-        boxes = boxes.drop("_path")
+        out = out.select(
+            *loads.columns,
+            F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.when(F.col("_up"), "1").otherwise("0"))).alias("path"),
+            F.when(F.col("_leaf"), 1).when(F.col("_up"), F.col("parts") - half).otherwise(half).alias("parts"),
+            *[
+                F.when(~F.col("_leaf") & F.col("_up"), F.col("_cut")).otherwise(F.col(e)).alias(e) if e == lo else F.when(~F.col("_leaf") & ~F.col("_up"), F.col("_cut")).otherwise(F.col(e)).alias(e) if e == hi else F.col(e)
+                for e in ("r0", "r1", "c0", "c1")
+            ],
+        )
         depth += 1
-    return out.join(boxes.drop("parts"), [*by, "path"]).select(*loads.columns, "path", "r0", "r1", "c0", "c1")
+    return out
 
 
 def leaves(split: DataFrame, by: list[str]) -> DataFrame:

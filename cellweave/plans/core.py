@@ -61,15 +61,15 @@ def spread_rate_reduced(spark, sf_dir: str) -> DataFrame:
     return fuels(spark).select("fuel", F.round(rates.reduced_rate(F.lit(5.0), F.lit(0.0)), 5).alias("rate"))
 
 
-@query("directional_rate", f"{SQL_RATED}, b AS (SELECT CAST(45 * range AS DOUBLE) AS bearing FROM range(8)) SELECT scenario, r, c, bearing, round(ln(1 + greatest(0.01e0, rate * (1e0 + 0.5e0 * cos(radians(180e0 - bearing))) / 15e-1)), 6) AS source_form, round(ln(1 + greatest(0.001e0, rate * (0.5e0 + 0.5e0 * cos(radians(180e0 - bearing))))), 6) AS even_form FROM rated, b WHERE r = c")
+@query("directional_rate", f"{SQL_RATED}, b AS (SELECT CAST(45 * range AS DOUBLE) AS bearing FROM range(8)) SELECT scenario, r, c, bearing, round(ln(1 + greatest(0.01e0, rate * (1e0 + 0.5e0 * cos(radians(180e0 - bearing))) / 15e-1)), 6) AS source_form, round(ln(1 + greatest(0.001e0, rate * (0.5e0 + 0.5e0 * cos(radians(180e0 - bearing))))), 6) AS even_form FROM rated, b")
 def directional_rate(spark, sf_dir: str) -> DataFrame:
-    return _directional(_rated(spark, sf_dir).where("r = c"))
+    return _directional(_rated(spark, sf_dir))
 
 
-@query("directional_rate_all", SQL["directional_rate"].removesuffix(" WHERE r = c"))
+@query("directional_rate_all", SQL["directional_rate"])
 def directional_rate_all(spark, sf_dir: str) -> DataFrame:
-    """Every cell; directional_rate has those of the diagonal."""
-    return _directional(_rated(spark, sf_dir))
+    """directional_rate by its former name."""
+    return directional_rate(spark, sf_dir)
 
 
 def _directional(rows: DataFrame) -> DataFrame:
@@ -89,14 +89,18 @@ def fbfm40_crosswalk(spark, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select(code.alias("code"), F.coalesce(F.try_element_at(table, code), F.lit(99)).alias("fuel13")).groupBy("fuel13").agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes"))
 
 
+# The octant from signs and sizes: k from 45 k degrees, which belong to it, to 45 (k + 1), which don't; -1 where flat.
+_OCTANT = """CASE WHEN dx = 0 AND dy = 0 THEN -1 WHEN dx < 0 AND dy >= 0 AND dy < -dx THEN 0 WHEN dx < 0 AND dy > 0 THEN 1 WHEN dx >= 0 AND dy > 0 AND dx < dy THEN 2
+  WHEN dx > 0 AND dy > 0 THEN 3 WHEN dx > 0 AND dy <= 0 AND -dy < dx THEN 4 WHEN dx > 0 AND dy < 0 THEN 5 WHEN dx <= 0 AND dy < 0 AND -dx < -dy THEN 6 ELSE 7 END"""
+
+
 @query("slope_aspect", f"""{SQL_CELLS}, d AS (SELECT scenario, r, c,
   CASE WHEN c = 0 THEN lead(elevation) OVER x - elevation WHEN c = {SIZE - 1} THEN elevation - lag(elevation) OVER x ELSE (lead(elevation) OVER x - lag(elevation) OVER x) / 2e0 END / 3e1 AS dx,
   CASE WHEN r = 0 THEN lead(elevation) OVER y - elevation WHEN r = {SIZE - 1} THEN elevation - lag(elevation) OVER y ELSE (lead(elevation) OVER y - lag(elevation) OVER y) / 2e0 END / 3e1 AS dy
   FROM cells WINDOW x AS (PARTITION BY scenario, r ORDER BY c), y AS (PARTITION BY scenario, c ORDER BY r))
-SELECT scenario, r, c, round(100 * sqrt(dx * dx + dy * dy), 5) AS slope_pct, CAST(floor((degrees(atan2(dy, CASE WHEN dx = 0 THEN 0e0 ELSE -dx END)) + 36e1) / 45) AS INTEGER) % 8 AS octant FROM d WHERE dx <> 0 AND dy <> 0 AND abs(dx) <> abs(dy)""")
+SELECT scenario, r, c, round(100 * sqrt(dx * dx + dy * dy), 5) AS slope_pct, CAST({_OCTANT} AS INTEGER) AS octant FROM d""")
 def slope_aspect(spark, sf_dir: str) -> DataFrame:
-    octant = F.floor((F.degrees(F.atan2("dy", -F.col("dx"))) + 360) / 45).cast("int") % 8
-    return _slopes(_gradients(spark, sf_dir).where("dx <> 0 and dy <> 0 and abs(dx) <> abs(dy)"), octant)
+    return _slopes(_gradients(spark, sf_dir), F.expr(_OCTANT).cast("int"))
 
 
 def _gradients(spark, sf_dir: str) -> DataFrame:
@@ -111,15 +115,10 @@ def _slopes(rows: DataFrame, octant: F.Column) -> DataFrame:
     return rows.select("scenario", "r", "c", F.round(100 * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 5).alias("slope_pct"), octant.alias("octant"))
 
 
-# The octant from signs and sizes: k from 45 k degrees, which belong to it, to 45 (k + 1), which don't; -1 where flat.
-_OCTANT = """CASE WHEN dx = 0 AND dy = 0 THEN -1 WHEN dx < 0 AND dy >= 0 AND dy < -dx THEN 0 WHEN dx < 0 AND dy > 0 THEN 1 WHEN dx >= 0 AND dy > 0 AND dx < dy THEN 2
-  WHEN dx > 0 AND dy > 0 THEN 3 WHEN dx > 0 AND dy <= 0 AND -dy < dx THEN 4 WHEN dx > 0 AND dy < 0 THEN 5 WHEN dx <= 0 AND dy < 0 AND -dx < -dy THEN 6 ELSE 7 END"""
-
-
-@query("slope_aspect_all", SQL["slope_aspect"].partition("SELECT scenario, r, c, round(")[0] + f"SELECT scenario, r, c, round(100 * sqrt(dx * dx + dy * dy), 5) AS slope_pct, CAST({_OCTANT} AS INTEGER) AS octant FROM d")
+@query("slope_aspect_all", SQL["slope_aspect"])
 def slope_aspect_all(spark, sf_dir: str) -> DataFrame:
-    """Every cell; slope_aspect leaves out flat cells and those whose gradient runs along an axis or a diagonal."""
-    return _slopes(_gradients(spark, sf_dir), F.expr(_OCTANT).cast("int"))
+    """slope_aspect by its former name."""
+    return slope_aspect(spark, sf_dir)
 
 
 @query("size_class", "SELECT CASE WHEN a < 0.25e0 THEN 'A' WHEN a < 10 THEN 'B' WHEN a < 100 THEN 'C' WHEN a < 300 THEN 'D' WHEN a < 1000 THEN 'E' WHEN a < 5000 THEN 'F' ELSE 'G' END AS size_class, count(*) AS n FROM (SELECT o_totalprice / 1e2 AS a FROM orders) GROUP BY ALL")

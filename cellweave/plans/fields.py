@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, rates
-from ..grid import SIZE, SQL_CELLS, SQL_FUELS, burnable, cells, fuels
-from ..operators import partition, spread
+from ..grid import SIZE, SQL_CELLS, SQL_FUELS, cells, fuels
+from ..operators import partition, regions, spread
 from .core import _DENSITY, _SQL_EDGES, _SQL_FRONTS, _fronts, _ignition, _rated, query
 
 _LAND = ", ".join(f"({k}, {v})" for k, v in geo.LANDCOVER.items())
@@ -43,10 +43,10 @@ def buffered_bounds(spark, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir).groupBy("c_mktsegment").agg(*[F.round(f(c) + by, 6).alias(n) for f, c, by, n in ends])
 
 
-@query("cell_centres", f"{SQL_CELLS} SELECT scenario, CAST(r * {SIZE} + c AS INTEGER) AS cell, 5e5 + (c + 0.5e0) * 30 AS x, 4e6 - (r + 0.5e0) * 30 AS y FROM cells WHERE q > 0")
+@query("cell_centres", f"{SQL_CELLS} SELECT scenario, CAST(r * {SIZE} + c AS INTEGER) AS cell, 5e5 + (c + 0.5e0) * 30 AS x, 4e6 - (r + 0.5e0) * 30 AS y FROM cells")
 def cell_centres(spark, sf_dir: str) -> DataFrame:
     centre = lambda x: (F.col(x) + 0.5) * 30
-    return cells(spark, sf_dir).where("q > 0").select("scenario", (F.col("r") * SIZE + F.col("c")).cast("int").alias("cell"), (5e5 + centre("c")).alias("x"), (4e6 - centre("r")).alias("y"))
+    return cells(spark, sf_dir).select("scenario", (F.col("r") * SIZE + F.col("c")).cast("int").alias("cell"), (5e5 + centre("c")).alias("x"), (4e6 - centre("r")).alias("y"))
 
 
 @query("strips_8", f"{SQL_CELLS}, m AS (SELECT scenario, r, sum(q) AS load FROM cells GROUP BY ALL), s AS (SELECT *, sum(load) OVER (PARTITION BY scenario ORDER BY r) AS run, sum(load) OVER (PARTITION BY scenario) AS tot FROM m), k AS (SELECT unnest(range(1, 8)) AS part) SELECT scenario, CAST(part AS INTEGER) AS part, CAST(count(*) FILTER (WHERE 8 * run < tot * part) AS INTEGER) AS edge FROM s, k GROUP BY ALL")
@@ -54,20 +54,10 @@ def strips_8(spark, sf_dir: str) -> DataFrame:
     return partition.strip_edges(cells(spark, sf_dir).withColumnRenamed("q", "load"), 8, ["scenario"])
 
 
-def _mirror(x: str) -> Column:
-    """The index of a line beyond the border, reflected without repeating the border."""
-    return F.when(F.col(x) < 0, -F.col(x)).when(F.col(x) >= SIZE, 2 * (SIZE - 1) - F.col(x)).otherwise(F.col(x))
-
-
-@query("patches_3", f"{SQL_CELLS}, o AS (SELECT scenario, r, c, a.range AS dr, b.range AS dc FROM cells, range(-1, 2) a, range(-1, 2) b WHERE fuel BETWEEN 1 AND 13), t AS (SELECT scenario, r, c, dr, dc, CASE WHEN r + dr < 0 THEN 1 WHEN r + dr >= {SIZE} THEN {SIZE} - 2 ELSE r + dr END AS pr, CASE WHEN c + dc < 0 THEN 1 WHEN c + dc >= {SIZE} THEN {SIZE} - 2 ELSE c + dc END AS pc FROM o) SELECT t.scenario, t.r, t.c, string_agg(CAST(q AS VARCHAR), ',' ORDER BY dr, dc) AS patch FROM t JOIN cells ON cells.scenario = t.scenario AND cells.r = pr AND cells.c = pc GROUP BY ALL")
+@query("patches_3", f"{SQL_CELLS}, o AS (SELECT scenario, r, c, a.range AS dr, b.range AS dc FROM cells, range(-1, 2) a, range(-1, 2) b), t AS (SELECT scenario, r, c, dr, dc, CASE WHEN r + dr < 0 THEN 1 WHEN r + dr >= {SIZE} THEN {SIZE} - 2 ELSE r + dr END AS pr, CASE WHEN c + dc < 0 THEN 1 WHEN c + dc >= {SIZE} THEN {SIZE} - 2 ELSE c + dc END AS pc FROM o) SELECT t.scenario, t.r, t.c, string_agg(CAST(q AS VARCHAR), ',' ORDER BY dr, dc) AS patch FROM t JOIN cells ON cells.scenario = t.scenario AND cells.r = pr AND cells.c = pc GROUP BY ALL")
 def patches_3(spark, sf_dir: str) -> DataFrame:
-    """Each cell's 3 x 3 patch: a cell sends its value to the places of the patches that it stands in, so one shuffle."""
-    rows, off = cells(spark, sf_dir), F.sequence(F.lit(-1), F.lit(1))
-    wanted = rows.where(burnable(F.col("fuel"))).select("scenario", "r", "c", F.explode(off).alias("dr")).select("*", F.explode(off).alias("dc"))
-    wanted = wanted.withColumn("pr", F.col("r") + F.col("dr")).withColumn("pc", F.col("c") + F.col("dc")).withColumn("pr", _mirror("pr")).withColumn("pc", _mirror("pc"))
-    met = wanted.join(rows.select("scenario", F.col("r").alias("pr"), F.col("c").alias("pc"), "q"), ["scenario", "pr", "pc"])
-    patch = F.transform(F.array_sort(F.collect_list(F.struct("dr", "dc", "q"))), lambda x: x["q"].cast("string"))
-    return met.groupBy("scenario", "r", "c").agg(F.array_join(patch, ",").alias("patch"))
+    rows = regions.patches(cells(spark, sf_dir), 3, SIZE, ["scenario"], "q")
+    return rows.select("scenario", "r", "c", F.array_join(F.transform("patch", lambda x: x.cast("string")), ",").alias("patch"))
 
 
 @query("advance_axis", f"{_SQL_FRONTS} SELECT scenario, step, CAST(CASE WHEN abs(avg(c) - 32) >= abs(avg(r) - 32) THEN 0 ELSE 1 END AS INTEGER) AS axis FROM fr GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, fields  # noqa: F401  (fields adds its queries to those of core)
+from .plans import core, fields, scenarios  # noqa: F401  (these add their queries to those of core)
 
 QUERIES = {**core.QUERIES}
 SQL = {**core.SQL}
