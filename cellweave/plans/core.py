@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rates
 from ..grid import SIZE, SQL_CELLS, SQL_FUELS, burnable, cells, fuels
 from ..operators import partition, rebalance, spread
+from ..session import checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -328,7 +329,7 @@ def _ignition(rows: DataFrame) -> DataFrame:
 
 def _arrivals(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
     rows = _rated(spark, sf_dir)
-    return spread.relax(spread.edges(rows, size=SIZE).persist(), _ignition(rows), rounds)
+    return spread.relax(checkpointed(spread.edges(rows, size=SIZE)), _ignition(rows), rounds)
 
 
 @query("toa_rounds_6", f"{_SQL_EDGES}{_sql_rounds(6)} SELECT scenario, r, c, round(toa, 4) AS toa FROM t6")
@@ -339,7 +340,7 @@ def toa_rounds(spark, sf_dir: str) -> DataFrame:
 @query("toa_fixpoint")
 def toa_fixpoint(spark, sf_dir: str) -> DataFrame:
     rows = _rated(spark, sf_dir)
-    return spread.relax(spread.edges(rows, size=SIZE).persist(), _ignition(rows)).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
+    return spread.relax(checkpointed(spread.edges(rows, size=SIZE)), _ignition(rows)).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
 
 
 _REACHED = f"{_SQL_EDGES}{_sql_rounds(6)}"

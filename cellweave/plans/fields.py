@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, rates
 from ..grid import SIZE, SQL_CELLS, SQL_FUELS, cells, fuels
 from ..operators import partition, regions, spread
+from ..session import checkpointed
 from .core import _DENSITY, _SQL_EDGES, _SQL_FRONTS, _fronts, _ignition, _rated, query
 
 _LAND = ", ".join(f"({k}, {v})" for k, v in geo.LANDCOVER.items())
@@ -96,7 +97,7 @@ def _sql_pull(n: int) -> str:
 def toa_pull_4(spark, sf_dir: str, rounds: int | None = 4) -> DataFrame:
     """Arrival times by the rates of the cells that are reached; only those that burn are."""
     rows = _rated(spark, sf_dir)
-    return spread.relax(spread.pull_edges(rows, size=SIZE).persist(), _ignition(rows), rounds).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
+    return spread.relax(checkpointed(spread.pull_edges(rows, size=SIZE)), _ignition(rows), rounds).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
 
 
 @query("toa_pull_fixpoint")

@@ -26,8 +26,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df through checkpoint(), in the folder of spark.checkpoint.dir; a temporary one where none is named (one machine)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellweave-"))
+    """df through checkpoint(), in the folder of spark.checkpoint.dir; where none is named, in a temporary one on a single
+    machine, and not at all on a cluster, whose executors would write to disks of their own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-"))
     return df.checkpoint()
