@@ -7,7 +7,8 @@ starts, symbols by state) has a fixed size and is summed across partitions.
 
 Defined results: a null or empty text is the end alone; a null doc_id hashes as the empty text, which trains; repeated
 rows count as often as they occur; without training rows every count is 0 and scores follow from add-one alone; an
-empty table gives an empty table; other columns are ignored.
+empty table gives an empty table; other columns are ignored, whatever their names; ids of any type will do; a text of any
+length is scored whole, its alphas held a segment at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep, partitions, release
+from .scratch import keep, release
 from .words import NOT_SPACE, hashes, slices, spans
 
 #: Symbols with emissions of their own; counts known to all tasks (12 bytes each; the rest meet their counts by a join);
@@ -38,19 +39,15 @@ def texts_to_words(column: pa.Array) -> Iterator[np.ndarray]:
             yield words[bounds[k] : bounds[k + 1]]
 
 
-def word_counts(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """(word, c) of every word of the texts, counted in each task before the shuffle, which goes by buckets of the hash."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, c) of every word of the texts, counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             word, n = np.unique(np.concatenate(held) if held else np.zeros(0, _U), return_counts=True)
-            bucket = ((word >> _U(32)) * _U(n_buckets)) >> _U(32)
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            parts = [k for k in range(n_buckets) if cut[k + 1] > cut[k]]
-            cols = [parts, [word[cut[k] : cut[k + 1]].tobytes() for k in parts], [n[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in parts]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "words", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "c"])
 
         for b in batches:
             for words in texts_to_words(b.column(0)):
@@ -61,13 +58,27 @@ def word_counts(texts: DataFrame, n_buckets: int) -> DataFrame:
                     held, size = [], 0
         yield flush()
 
-    def total(table: pa.Table) -> pa.Table:
-        word = np.concatenate([np.frombuffer(x.as_py(), _U) for x in table.column("words")])
-        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("n")])
-        word, of = np.unique(word, return_inverse=True)
-        return pa.table({"word": pa.array(word.view(np.int64)), "c": pa.array(np.bincount(of, weights=n).astype(np.int64))})
+    return texts.mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-    return texts.mapInArrow(count, "bucket int, words binary, n binary").groupBy("bucket").applyInArrow(total, "word long, c long")
+
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (hashes) and counts of the most frequent words, at most `most` of them, by count and hash.
+
+    A histogram over bins of the count, of a bounded number, says from which bin on they are few enough; so no task sorts
+    all words. Words of that bin's count are all in or all out.
+    """
+    bin_ = F.floor(F.log2("c") * 1024).cast("int")
+    sizes = {r.b: r.n for r in counts.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, None
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    top = counts.where(bin_ >= least if least is not None else F.lit(False)).toArrow()
+    word, c = (np.asarray(top.column(k).combine_chunks()).astype(np.int64) for k in range(2))
+    order = np.lexsort((word, -c))
+    return word[order].view(_U), c[order]
 
 
 def encode(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n_symbols: int) -> DataFrame:
@@ -102,10 +113,11 @@ def encode(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], n_symbols: int
                 for o, v in zip(out, [[row] * len(rest), *[[None] * len(rest)] * 7, rest.view(np.int64).tolist(), n.tolist()], strict=True):
                     o.extend(v)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), b.column(0).type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["row", "doc_id", "held_out", "symbols", "n_tokens", "n_known", "log_known", "log_tail", "word", "tf"])
 
-    schema = "row long, doc_id long, held_out boolean, symbols binary, n_tokens long, n_known long, log_known double, log_tail double, word long, tf long"
+    id_ = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {id_}, held_out boolean, symbols binary, n_tokens long, n_known long, log_known double, log_tail double, word long, tf long"
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
@@ -244,7 +256,7 @@ def baum_welch(coded: DataFrame, share: np.ndarray, states: int, iterations: int
         emit = np.concatenate([parts.get(k + 1, np.zeros((cut[k + 1] - cut[k]) * states)) for k in range(n_parts)]).reshape(len(share), states)
         logs.append(float(head[-1]))
         model = Model.from_counts(head[:states], head[states:-1].reshape(states, states), emit, share)
-        shared.unpersist()
+        shared.destroy()
     return model, logs
 
 
@@ -254,15 +266,12 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select("doc_id", (F.crc32(name.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"), "text")
     training = docs.where("not held_out")
-    counts = keep(word_counts(training.select("text"), 4 * partitions(spark)), "counts")
+    counts = keep(word_counts(training.select("text")), "counts")
     release(spark)
     n_docs = training.count()
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v = row.n + n_docs, row.v + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(n_known)
-    top = top.toArrow()
-    word, c = (np.asarray(top.column(k).combine_chunks()).astype(np.int64) for k in range(2))
-    word = word.view(_U)
+    word, c = most_frequent(counts, n_known)
     order = np.argsort(word)
     n_symbols = min(n_symbols, len(word))
     coded = keep(encode(docs, (word[order], c[order]), n_symbols), "coded")
@@ -285,7 +294,8 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
             log_tail = np.asarray(b.column(b.schema.get_field_index("log_tail")))
             yield pa.RecordBatch.from_arrays([*keep_, pa.array(logs + log_tail - n_tail * tail_log)], ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_known", "log"])
 
-    scored = texts.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, log double")
+    id_ = docs.schema["doc_id"].dataType.simpleString()
+    scored = texts.mapInArrow(score, f"row long, doc_id {id_}, held_out boolean, n_tokens long, n_known long, log_known double, log double")
     rest = coded.where("word is not null").select("row", "word", "tf").join(counts, "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("log_more"))
     full = scored.join(rest, "row", "left").withColumn("log_more", F.coalesce("log_more", F.lit(0.0)))
     end = float(np.log10(n_docs + 1.0))

@@ -11,7 +11,8 @@ heaviest words (its keys) a line cannot reach `least` with a template, whatever
 
 Defined results: a null, empty or wordless text declares nothing; equal cosines go to the first licence by name;
 several licence files of a directory: the highest cosine, then the first licence by name; null parts of a path are
-left out; repeated rows are rows of their own; an empty table gives an empty table; other columns are kept.
+left out; repeated rows are rows of their own; an empty table gives an empty table; other columns are kept, those named
+like the results are replaced; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LEAST = 0.6
+#: Columns of these names are replaced.
+RESULTS = ("declared", "cosine", "is_license_file", "license", "inherited_from", "distance")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -116,7 +119,7 @@ def declared(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: s
     """docs with declared, cosine (of the best unit, where it reaches `least`) and is_license_file, without the text."""
     idf, unseen = inverse_frequencies(docs, templates, text)
     vectors = weighed(templates, idf)
-    names = [c for c in docs.columns if c not in (text, "declared", "cosine", "is_license_file")]
+    names = [c for c in docs.columns if c not in (text, *RESULTS)]
     keys = F.array(*map(F.lit, key_words(vectors, least)))
     words = words_of(F.col(text))
     found = F.when(F.arrays_overlap(words, keys), F.filter(_units(vectors, idf, unseen, keys, F.col(text)), lambda u: u["cosine"] >= F.lit(least)))

@@ -3,15 +3,16 @@
 Vectors that agree in label and components form one node with a count. Every node starts with the best neighbours of
 its cell in some random-hyperplane partitions of its label. Rounds then join, at every node, all nodes that name it or
 that it names, and keep each node's K best. A node whose whole list reaches the threshold is saturated, and links beyond
-its K best may be cut. So a group compares its saturated nodes for links between the parts that their lists leave
+its K best may be cut. Its list then grows twofold a round, up to LONGER times. A group compares its saturated nodes for links between the parts that their lists leave
 apart, links that join parts of the graph outlive the cut, and saturated nodes meet again in partitions of their own
 until no turn joins more. The components that the links span are compared in full, in blocks. An audit compares a
 bounded number of nodes, chosen by hash, with all vectors; while it finds less than the wanted share of their links,
-further rounds follow, and a warning where the last of them still finds less.
+further rounds follow, then a warning, and an error where it finds less than LEAST_RECALL.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, have a null label, or differ
 in length link with nothing; equal vectors of one label link with each other; null vec_ids take part, their own id
-never names a component; an empty table gives an empty table; other columns are ignored.
+never names a component; an empty table gives an empty table; other columns are ignored, whatever their names;
+ties of similarity go to the lesser node.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .words import groups
 #: Least cosine; length of neighbour lists; hyperplane partitions at the start; cells of about that many nodes; nodes
 #: compared at once; rounds at least and at most; audited nodes; the share of their links that must be found.
 THRESHOLD, K, TABLES, CELL, BLOCK, ROUNDS, MOST_ROUNDS, AUDIT, RECALL = 0.98, 12, 8, 64, 256, 2, 8, 256, 0.999
+#: How many times as long the lists of saturated nodes get; the recall under which the result is refused.
+LONGER, LEAST_RECALL = 4, 0.9
 
 
 def _is_usable():
@@ -150,15 +153,17 @@ def _start(nodes: DataFrame, n_by_label: DataFrame, tables: int, seed: int, k: i
     return _best_in_groups(rows, "cell", k, threshold)
 
 
-def _top(edges: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each node's k best distinct neighbours, and links that join what these leave apart; its components; all as kept tables,
-    the last one only to be dropped.
+def _top(edges: DataFrame, k: int, threshold: float, longer: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each node's k best distinct neighbours, of saturated nodes (k of them reach the threshold) `longer` times as many; and
+    links that join what these leave apart; its components; all as kept tables, the last one only to be dropped.
 
     Every link of edges has both its ends in one component, be it cut or not.
     """
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
     edges = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    best = edges.withColumn("_r", rank).where(F.col("_r") <= k).select("a", "b", "sim", F.lit(False).alias("any"))
+    ranked = edges.withColumn("_r", rank).where(F.col("_r") <= k * longer)
+    # Ranks go by similarity: a node whose k-th neighbour reaches the threshold keeps those beyond it that do, too.
+    best = ranked.where((F.col("_r") <= k) | (F.col("sim") >= threshold)).select("a", "b", "sim", F.lit(False).alias("any"))
     both = keep(best.unionByName(edges.where(F.col("sim") >= threshold).withColumn("any", F.lit(True))), "graph")
     graph, links = both.where("not any").drop("any"), both.where("any").drop("any")
     labels = keep(components(graph.where(F.col("sim") >= threshold)), "labels")
@@ -230,9 +235,12 @@ def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float)
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """The share of the links of AUDIT nodes, compared with all nodes, that were found. 1 where there are none."""
+    """The share of the links of AUDIT nodes, compared with all nodes, that were found; half of them are nodes with links, half
+    any. 1 where there are none."""
     spark = nodes.sparkSession
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(AUDIT).collect()
+    order = [F.xxhash64("node", F.lit("audit")), F.col("node")]
+    linked = nodes.join(found.where("n > 0").select("node"), "node", "left_semi").orderBy(*order).limit(AUDIT // 2).collect()
+    chosen = list({r.node: r for r in linked + nodes.orderBy(*order).limit(AUDIT // 2).collect()}.values())
     if not chosen:
         return 1.0
     by_kind: dict[tuple[str, int], list] = {}
@@ -277,7 +285,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         if turn > ROUNDS and seen < recall:  # the audit found too little: new partitions as well
             more = more.unionByName(_start(nodes, n_by_label, TABLES, turn, k, threshold))
         before = made, labels
-        graph, labels, made = _top(graph.unionByName(more), k, threshold)
+        graph, labels, made = _top(graph.unionByName(more), k, threshold, min(LONGER, 2**turn) if saturated else 1)
         drop(*before, full)
         release(spark)
         row = labels.agg(F.count("*"), F.count_distinct("component")).first()
@@ -289,6 +297,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         if settled and (seen >= recall or turn >= MOST_ROUNDS):
             break
         drop(found)
+    if seen < LEAST_RECALL:
+        raise RuntimeError(f"the audit found {seen:.6f} of the links after {turn} rounds")
     if seen < recall:
         warnings.warn(f"the audit found {seen:.6f} of the links, fewer than {recall}, after {turn} rounds", stacklevel=2)
     drop(made)
@@ -302,7 +312,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
 
 
 def op9_nn_descent(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept", "audit_recall")
 
 
 SQL: dict[str, str] = {}

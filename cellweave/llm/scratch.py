@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is named (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is named, on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
 from cellweave.llm import hmm
 
@@ -62,3 +63,35 @@ def test_base_score_and_counts(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(train[w] > 0 for w in tokens), n)
         assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens), rel_tol=1e-9)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0
+
+
+def test_score_against_a_plain_recursion(spark):
+    """Twenty texts, string ids: the score is the plain forward sum under the trained model; likelihoods rise."""
+    rng = np.random.default_rng(8)
+    rows = [(f"d{k}", " ".join(rng.choice(list("abcdefgh"), 12))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 row", "2 symbols", "3 word")
+    models, logs, train = [], [], hmm.baum_welch
+
+    def watched(*args):
+        model, log = train(*args)
+        models.append(model)
+        logs.extend(log)
+        return model, log
+
+    hmm.baum_welch = watched
+    try:
+        got = {r.doc_id: r for r in hmm.score_texts(docs, states=3, iterations=5).collect()}
+    finally:
+        hmm.baum_welch = train
+    assert all(b >= a - 1e-6 * abs(a) for a, b in itertools.pairwise(logs[1:]))
+    held = [t for i, t in rows if not got[i].held_out]
+    counts = {w: sum(t.split().count(w) for t in held) for w in "abcdefgh"}
+    hashed = {w: next(iter(hmm.texts_to_words(pa.array([w]))))[0] for w in counts}
+    order = sorted(counts, key=lambda w: (-counts[w], int(hashed[w])))
+    m = models[0]
+    for i, t in rows:
+        symbols = [order.index(w) for w in t.split()] + [len(order) + 1]
+        alpha = m.start * m.emit[symbols[0]]
+        for s in symbols[1:]:
+            alpha = (alpha @ m.move) * m.emit[s]
+        assert np.isclose(got[i].score, np.log10(alpha.sum()))
