@@ -116,12 +116,6 @@ def fire_masks(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("scenario", "tenths").agg(F.count_if(reached).alias("reached"), F.count_if(reached & (F.col("q") >= at - 0.05 * F.col("tmax"))).alias("front"))
 
 
-@query("flood_fill", f"{SQL_CELLS.replace('WITH agg', 'WITH RECURSIVE agg')}, m AS MATERIALIZED (SELECT scenario, r, c FROM cells WHERE q % 5 < 3 AND q > 0), f AS (SELECT scenario, r, c FROM m WHERE r % 16 = 3 AND c % 16 = 5 UNION SELECT m.scenario, m.r, m.c FROM f JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) d(dr, dc) ON true JOIN m ON m.scenario = f.scenario AND m.r = f.r + dr AND m.c = f.c + dc), g AS (SELECT * FROM f UNION ALL SELECT * FROM m WHERE scenario NOT IN (SELECT scenario FROM f)) SELECT scenario, r, c FROM g")
-def flood_fill(spark, sf_dir: str) -> DataFrame:
-    mask = cells(spark, sf_dir).where("q % 5 < 3 and q > 0")
-    return regions.flood_fill(mask, mask.where("r % 16 = 3 and c % 16 = 5"), ["scenario"])
-
-
 for _axis, _other in (("r", "c"), ("c", "r")):
 
     @query(
