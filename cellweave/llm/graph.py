@@ -1,4 +1,5 @@
-"""Connected components of an edge table: forests of what a task holds, then alternating large-star and small-star steps."""
+"""Connected components of an edge table: forests of BATCH edges a task, then large-star and small-star steps where several
+tasks were needed."""
 
 from __future__ import annotations
 
@@ -65,13 +66,19 @@ def _state(edges: DataFrame) -> tuple:
 def _settled(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Edges (u, v) of every node to the least one of its component, a kept table.
 
-    Each round rewrites the edges as stars around smaller nodes and is written to the shared folder; rounds end when the
-    edges no longer change.
+    Tasks take BATCH edges each and return the stars of their components. Those of a single task are the result. Those of
+    several are rewritten as stars around smaller nodes, written to the shared folder each round, until they no longer
+    change.
     """
-    sided = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = keep(sided.repartition("u").mapInArrow(_stars, "u long, v long").distinct(), "edges")
-    seen = _state(now)
-    for _ in range(most_rounds if seen[0] else 0):
+    sided = keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "sided")
+    tasks = -(-sided.count() // BATCH)
+    dealt = sided.repartition(tasks, "u") if tasks > 1 else sided.coalesce(1)
+    now = keep(dealt.mapInArrow(_stars, "u long, v long"), "edges")
+    drop(sided)
+    if tasks <= 1:
+        return now
+    seen = None
+    for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, first = _with_least(both)
         large = large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -80,12 +87,9 @@ def _settled(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFra
         drop(now, first, second)
         now, state = new, _state(new)
         if state == seen:
-            break
+            return now
         seen = state
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def _labels(stars: DataFrame) -> DataFrame:
