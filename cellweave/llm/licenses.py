@@ -1,13 +1,16 @@
-"""License scans: sparse TF-IDF cosine of lines and whole texts to templates, then inheritance from directories.
+"""License scans: sparse TF-IDF cosine of lines, paragraphs and whole texts to templates, then inheritance from directories.
 
-The units of a text are its lines and the whole of it. A unit's vector has a weight tf * idf for each word of the
-templates' vocabulary; idf comes from counts over all documents. A word of no template counts as a rare word of its
-own. A document declares the licence of its best unit, if that reaches `least`. A document at least half of whose words
-stand in such lines, or whose whole text reaches `least`, is a licence file and speaks for its directory; a document
-that declares nothing takes the licence of the nearest directory above it, found by joins of paths.
+Templates are notices, titles, licence texts and the paragraphs of those that no other licence shares. The units of a
+text are its lines, its paragraphs of several lines (lines without a word part them) and the whole of it, so that a header
+wrapped over lines is one unit, apart from the body. A unit's vector has a weight tf * idf for each word of the templates'
+vocabulary; idf comes from counts over all documents. A word of no template counts as a rare word of its own. A document
+declares the licence of its best unit, if that reaches `least`. A document is a licence file and speaks for its directory
+if at least half of its words stand in such lines, or in such paragraphs, if its whole text reaches `least`, or if it
+declares a licence and is named like a licence file; a document that declares nothing takes the licence of the nearest
+directory above it, found by joins of paths.
 
-Words are digits and ASCII letters, A-Z folded. Only texts and lines with a key word are compared: without any of its
-heaviest words (its keys) a line cannot reach `least` with a template, whatever else it holds (Cauchy-Schwarz).
+Words are digits and ASCII letters, A-Z folded. Only texts and units with a key word are compared: without any of a
+template's words (its keys, rare ones first) a unit cannot reach `least` with a template, whatever else it holds (Cauchy-Schwarz).
 
 Defined results: a null, empty or wordless text declares nothing; equal cosines go to the first licence by name;
 several licence files of a directory: the highest cosine, then the first licence by name; null parts of a path are
@@ -23,8 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices and grants of public licences.
-TEMPLATES = (
+# Notices, titles and texts of public licences.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -34,7 +37,60 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+TITLES = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+)
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_ENDORSEMENT = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEXTS = (
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("BSD-2-Clause", "\n\n".join((BSD_CONDITIONS, BSD_WARRANTY))),
+    ("BSD-3-Clause", "\n\n".join((BSD_CONDITIONS, BSD_ENDORSEMENT, BSD_WARRANTY))),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+)
+
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    """Notices, titles, whole texts, and the paragraphs that stand in one licence's text alone and name no address only."""
+    pieces = [(licence, p) for licence, t in TEXTS for p in t.split("\n\n")]
+    shared = Counter(p for _, p in pieces)
+    own = [(licence, p) for licence, p in pieces if shared[p] == 1 and " " in p]
+    return tuple(sorted({*NOTICES, *TITLES, *TEXTS, *own}))
+
+
+#: Least cosine of a declaration; names of licence files.
 LEAST = 0.6
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)[^/]*$"
+#: What parts paragraphs: lines without a word.
+GAP = r"\n[^0-9A-Za-z]*\n"
 #: Columns of these names are replaced.
 RESULTS = ("declared", "cosine", "is_license_file", "license", "inherited_from", "distance")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +104,9 @@ def _template_words(text: str) -> Counter:
     return Counter("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
 
 
+TEMPLATES = _templates()
+
+
 def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, t in templates for w in _template_words(t)})
 
@@ -74,12 +133,12 @@ def weighed(templates, idf: dict[str, float]) -> list[tuple[str, float, dict[str
     return out
 
 
-def key_words(vectors: list[tuple[str, float, dict[str, float]]], least: float) -> list[str]:
-    """For each template its heaviest words, until the others alone cannot reach `least`."""
+def key_words(vectors: list[tuple[str, float, dict[str, float]]], idf: dict[str, float], least: float) -> list[str]:
+    """For each template its rarest words, until the others alone cannot reach `least`."""
     keys: set[str] = set()
     for _, norm, weights in vectors:
         rest = norm**2
-        for w, x in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
+        for w, x in sorted(weights.items(), key=lambda p: (-idf[p[0]], -p[1], p[0])):
             if math.sqrt(max(rest, 0.0)) < 0.999 * least * norm:
                 break
             keys.add(w)
@@ -88,31 +147,42 @@ def key_words(vectors: list[tuple[str, float, dict[str, float]]], least: float)
 
 
 def _units(vectors, idf: dict[str, float], unseen: float, keys: Column, text: Column) -> Column:
-    """An array of (cosine, licence, words, whole) for the units of a text with a key word, each with its best template."""
-    table = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(norm).alias("norm"), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x).alias("x")) for w, x in sorted(weights.items())]).alias("terms")) for licence, norm, weights in vectors])
+    """An array of (cosine, licence, n, kind) for the units of a text with a key word, each with its best template.
+
+    n: words; kind: 0 a line, 1 a paragraph of several lines, 2 the whole.
+    """
+    table = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(norm).alias("norm"), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x * idf[w]).alias("x")) for w, x in sorted(weights.items())]).alias("terms")) for licence, norm, weights in vectors])
     idfs = F.create_map(*[F.lit(v) for pair in sorted(idf.items()) for v in pair])
     known = F.array(*[F.lit(w) for w in sorted(idf)])
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(words_of(text).alias("words"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<words:array<string>,whole:boolean>>"))
-    units = F.concat(F.transform(lines, lambda line: F.struct(words_of(line).alias("words"), F.lit(False).alias("whole"))), whole)
+    text = F.coalesce(text, F.lit(""))
+    lines, paragraphs = F.split(text, "\n"), F.split(text, GAP)
+    several = F.filter(paragraphs, lambda p: p.contains("\n") & (F.size(paragraphs) > 1))
+    whole = F.filter(F.array(text), lambda t: t.contains("\n"))
+
+    def of_kind(parts: Column, kind: int) -> Column:
+        return F.transform(parts, lambda t: F.struct(words_of(t).alias("words"), F.lit(kind).alias("kind")))
+
+    units = F.concat(of_kind(lines, 0), of_kind(several, 1), of_kind(whole, 2))
     units = F.filter(units, lambda u: F.arrays_overlap(u["words"], keys))
-    units = F.transform(units, lambda u: F.struct(F.filter(u["words"], lambda w: F.array_contains(known, w)).alias("shared"), F.size(u["words"]).alias("n"), u["whole"].alias("whole")))
+    units = F.transform(units, lambda u: F.struct(F.filter(u["words"], lambda w: F.array_contains(known, w)).alias("shared"), F.size(u["words"]).alias("n"), u["kind"].alias("kind")))
 
-    def tf(shared: Column, word: Column) -> Column:
-        return F.size(F.filter(shared, lambda x: x == word)).cast("double")
+    def counted(u: Column) -> Column:
+        each = F.transform(F.array_sort(F.array_distinct(u["shared"])), lambda w: F.struct(w.alias("w"), F.size(F.filter(u["shared"], lambda x: x == w)).cast("double").alias("tf")))
+        return F.struct(F.map_from_entries(each).alias("tf"), F.size(u["shared"]).alias("shared"), u["n"].alias("n"), u["kind"].alias("kind"))
 
     def squared(u: Column) -> Column:
-        own = F.aggregate(F.array_sort(F.array_distinct(u["shared"])), F.lit(0.0), lambda acc, w: acc + F.pow(tf(u["shared"], w) * F.element_at(idfs, w), F.lit(2.0)))
-        return own + (u["n"] - F.size(u["shared"])) * F.lit(unseen * unseen)
+        own = F.aggregate(F.map_entries(u["tf"]), F.lit(0.0), lambda acc, e: acc + F.pow(e["value"] * F.element_at(idfs, e["key"]), F.lit(2.0)))
+        return own + (u["n"] - u["shared"]) * F.lit(unseen * unseen)
 
     def best(u: Column) -> Column:
-        dots = F.transform(table, lambda t: F.struct(F.aggregate(t["terms"], F.lit(0.0), lambda acc, p: acc + p["x"] * tf(u["shared"], p["w"]) * F.element_at(idfs, p["w"])).alias("dot"), t["licence"].alias("licence"), t["norm"].alias("norm")))
+        dots = F.transform(table, lambda t: F.struct(F.aggregate(t["terms"], F.lit(0.0), lambda acc, p: acc + p["x"] * F.coalesce(F.try_element_at(u["tf"], p["w"]), F.lit(0.0))).alias("dot"), t["licence"].alias("licence"), t["norm"].alias("norm")))
         cosines = F.transform(dots, lambda d: F.struct((-F.round(d["dot"] / (d["norm"] * F.sqrt(u["square"])), 9)).alias("c"), d["licence"].alias("licence")))
         return F.array_min(cosines)
 
-    units = F.transform(units, lambda u: F.struct(u["shared"].alias("shared"), u["n"].alias("n"), u["whole"].alias("whole"), squared(u).alias("square")))
-    units = F.transform(units, lambda u: F.struct(best(u).alias("best"), u["n"].alias("n"), u["whole"].alias("whole")))
-    return F.transform(units, lambda u: F.struct((-u["best"]["c"]).alias("cosine"), u["best"]["licence"].alias("licence"), u["n"].alias("n"), u["whole"].alias("whole")))
+    units = F.transform(units, counted)
+    units = F.transform(units, lambda u: F.struct(u["tf"].alias("tf"), u["n"].alias("n"), u["kind"].alias("kind"), squared(u).alias("square")))
+    units = F.transform(units, lambda u: F.struct(best(u).alias("best"), u["n"].alias("n"), u["kind"].alias("kind")))
+    return F.transform(units, lambda u: F.struct((-u["best"]["c"]).alias("cosine"), u["best"]["licence"].alias("licence"), u["n"].alias("n"), u["kind"].alias("kind")))
 
 
 def declared(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
@@ -120,13 +190,13 @@ def declared(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: s
     idf, unseen = inverse_frequencies(docs, templates, text)
     vectors = weighed(templates, idf)
     names = [c for c in docs.columns if c not in (text, *RESULTS)]
-    keys = F.array(*map(F.lit, key_words(vectors, least)))
+    keys = F.array(*map(F.lit, key_words(vectors, idf, least)))
     words = words_of(F.col(text))
     found = F.when(F.arrays_overlap(words, keys), F.filter(_units(vectors, idf, unseen, keys, F.col(text)), lambda u: u["cosine"] >= F.lit(least)))
     marked = docs.select(*names, F.when(F.arrays_overlap(words, keys), F.size(words)).alias("_n"), found.alias("_units"))
     top = F.array_min(F.transform("_units", lambda u: F.struct((-u["cosine"]).alias("c"), u["licence"].alias("licence"))))
-    in_lines = F.aggregate("_units", F.lit(0), lambda acc, u: acc + F.when(u["whole"], F.lit(0)).otherwise(u["n"]))
-    is_file = (F.size("_units") > 0) & ((2 * in_lines >= F.col("_n")) | F.exists("_units", lambda u: u["whole"]))
+    held = lambda kind: F.aggregate("_units", F.lit(0), lambda acc, u: acc + F.when(u["kind"] == kind, u["n"]).otherwise(0))
+    is_file = (F.size("_units") > 0) & ((2 * held(0) >= F.col("_n")) | (2 * held(1) >= F.col("_n")) | F.exists("_units", lambda u: u["kind"] == 2))
     return marked.select(*names, top["licence"].alias("declared"), (-top["c"]).alias("cosine"), F.coalesce(is_file, F.lit(False)).alias("is_license_file"))
 
 
@@ -148,6 +218,8 @@ def scan_licenses(docs: DataFrame, path: str = "path", templates=TEMPLATES, leas
     small side; a directory that holds many documents is split by the adaptive skew join where it isn't broadcast.
     """
     marked = declared(docs, templates, least, text)
+    named = F.col("declared").isNotNull() & F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+    marked = marked.withColumn("is_license_file", F.col("is_license_file") | named)
     marked = marked.withColumn("_dir", F.array_join(F.filter(F.split(parent(F.coalesce(F.col(path), F.lit(""))), "/"), lambda p: p != ""), "/"))
     speaks = marked.where("is_license_file").groupBy("_dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("declared").alias("licence"))).alias("m")).select(F.col("_dir").alias("above"), F.col("m.licence").alias("said"))
     above = marked.where("declared is null").select("_dir").distinct().select("_dir", F.inline(ancestors(F.col("_dir"))))
@@ -169,30 +241,31 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "path", "declared", F.round("cosine", 6).alias("cosine"), "is_license_file", "license", "inherited_from", "distance")
 
 
-_VALUES = ", ".join(f"('{licence}', '{w}', {n})" for licence, text in TEMPLATES for w, n in sorted(_template_words(text).items()))
+_VALUES = ", ".join(f"({k}, '{licence}', '{w}', {n})" for k, (licence, text) in enumerate(TEMPLATES) for w, n in sorted(_template_words(text).items()))
 _WORDS = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+'), lambda x: x <> '')"
 SQL = {
     "op1_license_scan": rf"""
-WITH tpl(licence, w, tf) AS (VALUES {_VALUES}),
+WITH tpl(tid, licence, w, tf) AS (VALUES {_VALUES}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, CAST(CAST(floor(doc_id / 1e2) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents),
 dw AS (SELECT r, {_WORDS.format("text")} AS ws FROM d),
 tot AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
 df AS (SELECT v.w, count(x.r) AS df FROM (SELECT DISTINCT w FROM tpl) v LEFT JOIN (SELECT DISTINCT r, unnest(ws) AS w FROM dw) x ON x.w = v.w GROUP BY v.w),
 idf AS (SELECT w, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, tot),
-tn AS (SELECT licence, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tpl JOIN idf USING (w) GROUP BY licence),
-un AS (SELECT r, k AS u, false AS whole, ls[k] AS t FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d))
-  UNION ALL SELECT r, 0, true, text FROM d WHERE contains(text, chr(10))),
-uw AS (SELECT r, u, whole, {_WORDS.format("t")} AS ws FROM un),
-us AS (SELECT r, u, whole, len(ws) AS n, ws FROM uw WHERE len(ws) > 0),
+tn AS (SELECT tid, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tpl JOIN idf USING (w) GROUP BY tid),
+un AS (SELECT r, k AS u, 0 AS kind, ls[k] AS t FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d))
+  UNION ALL SELECT r, -k, 1, ps[k] FROM (SELECT r, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT r, string_split_regex(text, '{GAP}') AS ps FROM d) WHERE len(ps) > 1) WHERE contains(ps[k], chr(10))
+  UNION ALL SELECT r, 0, 2, text FROM d WHERE contains(text, chr(10))),
+uw AS (SELECT r, u, kind, {_WORDS.format("t")} AS ws FROM un),
+us AS (SELECT r, u, kind, len(ws) AS n, ws FROM uw WHERE len(ws) > 0),
 uf AS (SELECT r, u, w, count(*) AS tf FROM (SELECT r, u, unnest(ws) AS w FROM us) WHERE w IN (SELECT w FROM idf) GROUP BY r, u, w),
-sq AS (SELECT us.r, us.u, any_value(us.n) AS n, any_value(us.whole) AS whole, sum(uf.tf * idf * uf.tf * idf) + (any_value(us.n) - sum(uf.tf)) * pow(ln(1 + any_value(tot.n)) + 1, 2) AS sq
+sq AS (SELECT us.r, us.u, any_value(us.n) AS n, any_value(us.kind) AS kind, sum(uf.tf * idf * uf.tf * idf) + (any_value(us.n) - sum(uf.tf)) * pow(ln(1 + any_value(tot.n)) + 1, 2) AS sq
   FROM us JOIN uf ON us.r = uf.r AND us.u = uf.u JOIN idf USING (w), tot GROUP BY us.r, us.u),
-cs AS (SELECT uf.r, uf.u, tpl.licence, sum(uf.tf * idf * tpl.tf * idf) AS dot FROM uf JOIN tpl USING (w) JOIN idf USING (w) GROUP BY uf.r, uf.u, tpl.licence),
-co AS (SELECT cs.r, cs.u, licence, n, whole, round(dot / (norm * sqrt(sq)), 9) AS c FROM cs JOIN tn USING (licence) JOIN sq ON cs.r = sq.r AND cs.u = sq.u),
+cs AS (SELECT uf.r, uf.u, tid, any_value(tpl.licence) AS licence, sum(uf.tf * idf * tpl.tf * idf) AS dot FROM uf JOIN tpl USING (w) JOIN idf USING (w) GROUP BY uf.r, uf.u, tid),
+co AS (SELECT cs.r, cs.u, licence, n, kind, round(dot / (norm * sqrt(sq)), 9) AS c FROM cs JOIN tn USING (tid) JOIN sq ON cs.r = sq.r AND cs.u = sq.u),
 ub AS (SELECT * FROM co WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY r, u ORDER BY c DESC, licence) = 1),
 best AS (SELECT * FROM ub QUALIFY row_number() OVER (PARTITION BY r ORDER BY c DESC, licence) = 1),
-fl AS (SELECT ub.r, bool_or(whole) OR 2 * sum(CASE WHEN whole THEN 0 ELSE n END) >= any_value(len(dw.ws)) AS f FROM ub JOIN dw USING (r) GROUP BY ub.r),
-m AS (SELECT d.r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, best.licence AS declared, best.c AS cosine, coalesce(fl.f, false) AS is_license_file FROM d LEFT JOIN best USING (r) LEFT JOIN fl USING (r)),
+fl AS (SELECT ub.r, bool_or(kind = 2) OR 2 * greatest(sum(CASE WHEN kind = 0 THEN n ELSE 0 END), sum(CASE WHEN kind = 1 THEN n ELSE 0 END)) >= any_value(len(dw.ws)) AS f FROM ub JOIN dw USING (r) GROUP BY ub.r),
+m AS (SELECT d.r, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, best.licence AS declared, best.c AS cosine, coalesce(fl.f, false) OR (best.licence IS NOT NULL AND coalesce(regexp_matches(path, '{FILE_NAME}'), false)) AS is_license_file FROM d LEFT JOIN best USING (r) LEFT JOIN fl USING (r)),
 sp AS (SELECT dir AS above, declared AS said FROM m WHERE is_license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, declared) = 1),
 an AS (SELECT dir, k AS distance, array_to_string(ps[1 : len(ps) - k], '/') AS above FROM (SELECT dir, ps, unnest(range(0, len(ps) + 1)) AS k FROM (SELECT DISTINCT dir, list_filter(string_split(dir, '/'), lambda x: x <> '') AS ps FROM m))),
 nr AS (SELECT dir, above, distance, said FROM an JOIN sp USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY distance) = 1)
