@@ -26,6 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 # Notices, titles and texts of public licences.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -193,7 +195,8 @@ def declared(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: s
     keys = F.array(*map(F.lit, key_words(vectors, idf, least)))
     words = words_of(F.col(text))
     found = F.when(F.arrays_overlap(words, keys), F.filter(_units(vectors, idf, unseen, keys, F.col(text)), lambda u: u["cosine"] >= F.lit(least)))
-    marked = docs.select(*names, F.when(F.arrays_overlap(words, keys), F.size(words)).alias("_n"), found.alias("_units"))
+    # Kept, as all that follows reads it several times: the texts are compared once.
+    marked = keep(docs.select(*names, F.when(F.arrays_overlap(words, keys), F.size(words)).alias("_n"), found.alias("_units")), "units")
     top = F.array_min(F.transform("_units", lambda u: F.struct((-u["cosine"]).alias("c"), u["licence"].alias("licence"))))
     held = lambda kind: F.aggregate("_units", F.lit(0), lambda acc, u: acc + F.when(u["kind"] == kind, u["n"]).otherwise(0))
     is_file = (F.size("_units") > 0) & ((2 * held(0) >= F.col("_n")) | (2 * held(1) >= F.col("_n")) | F.exists("_units", lambda u: u["kind"] == 2))
