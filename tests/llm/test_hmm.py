@@ -1,9 +1,11 @@
 """The hidden Markov model against sums over all state paths, and counts that don't depend on segments."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cellweave.llm import hmm
 
@@ -11,10 +13,8 @@ from cellweave.llm import hmm
 def model(symbols=5, states=3):
     rng = np.random.default_rng(3)
     share = rng.random(symbols)
-    m = hmm.Model.first(share / share.sum(), states)
-    m.move = rng.random((states, states))
-    m.move /= m.move.sum(1, keepdims=True)
-    return m
+    emit, move = share[:, None] * (0.5 + rng.random((symbols, states))), rng.random((states, states))
+    return hmm.Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def test_forward_sums_over_all_paths():
@@ -45,7 +45,6 @@ def test_counts_do_not_depend_on_segments(monkeypatch):
 def test_base_score_and_counts(spark):
     import math
     import re
-    import zlib
     from collections import Counter
 
     rows = [(k, t) for k, t in enumerate(["a b c a", "", None, "B c d", "z z z", "a é a", "new words here", "a b", "q" * 500 + " a", "c"])]
@@ -65,33 +64,66 @@ def test_base_score_and_counts(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score < 0
 
 
-def test_score_against_a_plain_recursion(spark):
-    """Twenty texts, string ids: the score is the plain forward sum under the trained model; likelihoods rise."""
+@pytest.mark.parametrize("n_known", [0, 3, 100])
+def test_training_and_scores_against_plain_recursions(spark, monkeypatch, n_known):
+    """Thirty texts, string ids, words never seen: three iterations of a plain Baum-Welch over all words give the counts and
+    scores, wherever rows of words are looked up; likelihoods rise."""
     rng = np.random.default_rng(8)
-    rows = [(f"d{k}", " ".join(rng.choice(list("abcdefgh"), 12))) for k in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 row", "2 symbols", "3 word")
-    models, logs, train = [], [], hmm.baum_welch
-
-    def watched(*args):
-        model, log = train(*args)
-        models.append(model)
-        logs.extend(log)
-        return model, log
-
-    hmm.baum_welch = watched
-    try:
-        got = {r.doc_id: r for r in hmm.score_texts(docs, states=3, iterations=5).collect()}
-    finally:
-        hmm.baum_welch = train
-    assert all(b >= a - 1e-6 * abs(a) for a, b in itertools.pairwise(logs[1:]))
-    held = [t for i, t in rows if not got[i].held_out]
-    counts = {w: sum(t.split().count(w) for t in held) for w in "abcdefgh"}
-    hashed = {w: next(iter(hmm.texts_to_words(pa.array([w]))))[0] for w in counts}
-    order = sorted(counts, key=lambda w: (-counts[w], int(hashed[w])))
-    m = models[0]
-    for i, t in rows:
-        symbols = [order.index(w) for w in t.split()] + [len(order) + 1]
-        alpha = m.start * m.emit[symbols[0]]
-        for s in symbols[1:]:
-            alpha = (alpha @ m.move) * m.emit[s]
-        assert np.isclose(got[i].score, np.log10(alpha.sum()))
+    words = [f"w{k}" for k in range(12)]
+    rows = [(f"d{k}", " ".join(rng.choice(words, 14, p=np.arange(1, 13) / 78))) for k in range(28)] + [("d28", ""), ("d30", "w1 neverseen w2 neverseen")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 row", "2 symbols", "3 word", "4 c", "5 found", "6 kind")
+    kept, train = [], hmm.baum_welch
+
+    def watched(coded, table, *args):
+        first = {r.word: [r[n] for n in hmm.states_of(table)] for r in table.collect()}
+        kept.append((first, *train(coded, table, *args)))
+        return kept[0][1:4]
+
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    got = {r.doc_id: r for r in hmm.score_texts(docs, states=3, iterations=4, n_known=n_known).collect()}
+    first, _, _, logs = kept[0]
+    assert len(logs) == 4 and all(b >= a for a, b in itertools.pairwise(logs))
+
+    def name(w):
+        return int(next(iter(hmm.texts_to_words(pa.array([w]))))[0].view(np.int64))
+
+    texts = {i: [*map(name, t.split()), "end"] for i, t in rows}
+    held = [i for i in texts if not got[i].held_out]
+    counts = {w: np.array(n) for w, n in first.items()} | {"end": np.full(3, len(held) / 3)}
+    start, move = np.ones(3), np.where(np.eye(3, dtype=bool), 0.98, 0.01) * (1e6 + len(held))
+    for turn in range(5):
+        worth = 1 / (sum(counts.values()) + (len(counts) + 1) / 3)
+        start, move = (start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True)
+        alphas = {}
+        for i, text in texts.items():
+            e = [(counts.get(w, np.zeros(3)) + 1 / 3) * worth for w in text]
+            a = [start * e[0]]
+            for x in e[1:]:
+                a.append((a[-1] @ move) * x)
+            alphas[i] = (e, a)
+        if turn == 4:
+            break
+        new, new_start, new_move, log = {w: np.zeros(3) for w in counts}, np.zeros(3), np.zeros((3, 3)), 0.0
+        for i in held:
+            e, a = alphas[i]
+            p, beta = a[-1].sum(), np.ones(3)
+            log += np.log10(p)
+            for t in range(len(e) - 1, -1, -1):
+                new[texts[i][t]] += a[t] * beta / p
+                if t:
+                    new_move += np.outer(a[t - 1], e[t] * beta) * move / p
+                    beta = move @ (e[t] * beta)
+                else:
+                    new_start += a[0] * beta / p
+        assert np.isclose(log, logs[turn], rtol=1e-5)
+        counts, start, move = new, new_start, new_move
+    for i in texts:
+        assert np.isclose(got[i].score, np.log10(alphas[i][1][-1].sum()), rtol=1e-4)
+    assert got["d30"].n_tokens == 5
+
+
+def test_without_training_rows(spark):
+    held = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    docs = spark.createDataFrame([(k, "a b") for k in held], "doc_id long, text string")
+    for r in hmm.score_texts(docs).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and np.isclose(r.score, r.base_score)
