@@ -1,14 +1,13 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact scores by the scaled forward recursion.
 
-Tokens are words with folded ASCII letters, then one end. Every word of the training texts is a symbol with emissions of
-its own, so what the model gathers grows with the corpus: a table of expected counts by word and state, summed across
-partitions. The most frequent words' rows are broadcast (their number is a parameter, which changes where rows are looked
-up and no result); a text meets the rows of its other words by a join before each pass. Emissions are add-one smoothed:
-each state gets an equal share of one more count a word, and of one word never seen, which all unseen words share.
+Tokens are words with folded ASCII letters, then one end. The most frequent words, as many as a parameter says, and the
+end are symbols with emissions of their own; the other words share the symbol of the tail, told apart by their exact
+counts. Expected counts by symbol and state are summed in each task, then across partitions. Emissions are add-one
+smoothed: each state gets an equal share of one more count a word, and of one word never seen, which stands in the tail.
 
 Defined results: a null or empty text is the end alone; a null doc_id hashes as the empty text, which trains; repeated
-rows count as often as they occur; without training rows every count is 0 and scores follow from add-one alone; an
-empty table gives an empty table; other columns are ignored, whatever their names; ids of any type will do; a text of any
+rows count as often as they occur; without training rows every count is 0 and the model gives the end and the tail half each;
+an empty table gives an empty table; other columns are ignored, whatever their names; ids of any type will do; a text of any
 length is scored whole, its alphas held a segment at a time.
 """
 
@@ -22,15 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, keep, release
+from .scratch import keep, release
 from .words import NOT_SPACE, hashes, slices, spans
 
-#: Words whose rows are broadcast (their hash, count and 4 bytes a state); states; iterations; tokens of a batch; positions
-#: held of a forward pass; words a task holds before it sums them.
-KNOWN, STATES, ITERATIONS, BATCH, HELD, FLUSH = 1 << 18, 8, 3, 1 << 18, 1 << 18, 1 << 22
+#: Words with emissions of their own (40 bytes each in the driver and every task); states; iterations; tokens of a batch;
+#: positions held of a forward pass; words a task holds before it counts them.
+SYMBOLS, STATES, ITERATIONS, BATCH, HELD, FLUSH = 1 << 19, 8, 3, 1 << 18, 1 << 18, 1 << 22
 HELD_OUT, FOLDS = 2, 7
-#: Kinds of rows of expected counts: other words, words that are broadcast, and sums over all texts (moves: one row a state).
-OTHER, FREQUENT, START, END, LOG, MOVE = range(6)
 _U = np.uint64
 
 
@@ -84,58 +81,55 @@ def frequent(counts: DataFrame, most: int) -> Column:
 def encode(docs: DataFrame, word: np.ndarray, c: np.ndarray) -> DataFrame:
     """A row per text: row, doc_id, held_out, symbols, others, n_tokens, n_known, log_known.
 
-    word, c: hashes, sorted, and counts of the words that are broadcast. A symbol is such a word's place, then the end,
-    then places in `others`, the text's distinct other words. n_known and log_known (sum of log10(c + 1)) leave those out.
+    word, c: hashes and counts of the words that are symbols, the most frequent first. A symbol is such a word's place,
+    then the end, then the tail; `others` holds the text's words of the tail and how often each occurs. n_known and
+    log_known (sum of log10(c + 1)) leave those out. Symbols are held as their low 16 bits, then their high ones, which
+    are mostly zero and pack well.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((word, c))
+    order = np.argsort(word)
+    shared = docs.sparkSession.sparkContext.broadcast((word[order], order, np.log10(c + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, c = shared.value
-        log_c = np.log10(c + 1.0)
+        word, place_of, log_c = shared.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            symbols, others, sizes = [], [], []
+            symbols, others, times, sizes = [], [], [], []
             for words in texts_to_words(b.column(2)):
                 at = np.minimum(np.searchsorted(word, words), max(0, len(word) - 1))
                 hit = word[at] == words if len(word) else np.zeros(len(words), bool)
-                rest, place = np.unique(words[~hit], return_inverse=True)
-                own = np.full(len(words) + 1, len(word), np.int32)
-                own[:-1][hit] = at[hit]
-                own[:-1][~hit] = len(word) + 1 + place
-                symbols.append(own.tobytes())
+                own = np.full(len(words) + 1, len(word) + 1, np.int32)
+                own[:-1][hit] = place_of[at[hit]]
+                own[-1] = len(word)
+                rest, n = np.unique(words[~hit], return_counts=True)
+                symbols.append(own.view(np.uint16).reshape(-1, 2).T.tobytes())
                 others.append(rest.view(np.int64))
-                sizes.append((row, len(words) + 1, int(hit.sum()), float(log_c[at[hit]].sum())))
+                times.append(n)
+                sizes.append((row, len(words) + 1, int(hit.sum()), float(log_c[own[:-1][hit]].sum())))
                 row += 1
             rows, n_tokens, n_known, log_known = zip(*sizes, strict=True) if sizes else ((),) * 4
-            edges = np.cumsum([0, *map(len, others)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(others) if others else np.zeros(0, np.int64)))
+            edges = pa.array(np.cumsum([0, *map(len, others)]).astype(np.int32))
+            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (others, times)]
+            lists = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(x) for x in flat], ["word", "tf"]))
             columns = [pa.array(rows, pa.int64()), b.column(0), b.column(1), pa.array(symbols, pa.binary()), lists, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_known, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "symbols", "others", "n_tokens", "n_known", "log_known"])
 
     id_ = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_}, held_out boolean, symbols binary, others array<long>, n_tokens long, n_known long, log_known double"
+    schema = f"row long, doc_id {id_}, held_out boolean, symbols binary, others array<struct<word: long, tf: long>>, n_tokens long, n_known long, log_known double"
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
 class Model:
-    """start (S), move (S x S), emit (symbols x S) and worth (S): what one expected count is worth in emit, by state.
-    Rows of start and move sum to 1; columns of emit do over all words, one word never seen among them."""
+    """start (S), move (S x S) and emit (symbols x S); rows of start and move sum to 1, columns of emit too."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, worth: np.ndarray | None = None):
-        self.start, self.move, self.emit, self.worth = start, move, emit, worth
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     @classmethod
-    def from_counts(cls, start: np.ndarray, move: np.ndarray, total: np.ndarray, words: np.ndarray, end: np.ndarray, distinct: int) -> Model:
-        """From expected counts: by first state, by move, of all tokens by state, of the words that are broadcast, of the
-        end; distinct: tokens that differ."""
-        start, move, worth = start + 0.1, move + 0.1, 1 / (total + (distinct + 1) / len(total))
-        model = cls(start / start.sum(), move / move.sum(1, keepdims=True), np.zeros(0), worth)
-        model.emit = model.emissions(np.concatenate((words, end[None]))).astype(np.float32)
-        return model
-
-    def emissions(self, counts: np.ndarray) -> np.ndarray:
-        """Of words (rows) with these expected counts by state."""
-        return (counts + 1 / len(self.worth)) * self.worth
+    def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, n_tail: int) -> Model:
+        """From expected counts by first state, by move and by symbol; n_tail: words that the last symbol stands for."""
+        start, move, emit = start + 0.1, move + 0.1, emit + 1 / len(start)
+        emit[-1] += n_tail / len(start)
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), (emit / emit.sum(0)).astype(np.float32))
 
 
 def batches_of(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,130 +218,65 @@ def expect(model: Model, padded: np.ndarray, lengths: np.ndarray, start: np.ndar
     return total
 
 
-def with_others(coded: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """The coded texts with `found`: place in `others` and these columns of the table's row, for each other word it has.
-
-    Texts without other words need no join and aren't moved. A word that isn't broadcast is rarer than all that are, so
-    no key of the join is frequent.
-    """
-    some = F.size("others") > 0
-    pairs = coded.where(some).select("row", F.posexplode("others").alias("place", "word")).join(table.where(F.col("kind") == OTHER).select("word", *columns), "word")
-    found = pairs.groupBy("row").agg(F.collect_list(F.struct("place", *columns)).alias("found"))
-    none = F.lit(None).cast(found.schema["found"].dataType).alias("found")
-    return coded.where(some).join(found, "row", "left").unionByName(coded.where(~some).select("*", none))
-
-
-def texts_of(model: Model, batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
-    """Batches of texts for the recursions: which texts, symbols padded, lengths, a model whose emissions are those of this
-    batch's words alone, places of its first words among those broadcast, hashes of the others, and their found rows.
-
-    Other words stand once a text; expected counts of equal words meet when they are summed."""
-    column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-    symbols = [np.frombuffer(x, np.int32) for x in column["symbols"].to_pylist()]
-    edges, words = np.asarray(column["others"].offsets), np.asarray(column["others"].values)
-    found = column["found"]
-    rows = np.zeros((len(words), len(names)))
-    text = np.repeat(np.arange(batch.num_rows), np.asarray(found.value_lengths().fill_null(0)))
-    parts = found.flatten()
-    at = edges[text] + np.asarray(parts.field("place"))
-    for k, name in enumerate(names):
-        rows[at, k] = np.asarray(parts.field(name))
-    n_broadcast = len(model.emit)
-    place = np.zeros(n_broadcast, np.int64)
+def texts_of(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Model]]:
+    """Batches of texts for the recursions: which texts, symbols padded, lengths, the symbols that occur (padded ones are
+    places among these), and the model with their emissions alone."""
+    column = batch.column(batch.schema.get_field_index("symbols")).to_pylist()
+    symbols = [np.frombuffer(x, np.uint16).reshape(2, -1).T.astype(np.uint16, order="C").view(np.int32)[:, 0] for x in column]
+    place = np.zeros(len(model.emit), np.int64)
     for own, padded, lengths in batches_of(symbols):
         valid = padded >= 0
-        here = np.flatnonzero(np.bincount(padded[valid & (padded < n_broadcast)], minlength=n_broadcast))
+        here = np.flatnonzero(np.bincount(padded[valid], minlength=len(place)))
         place[here] = np.arange(len(here))
-        sizes = edges[own + 1] - edges[own]
-        first = len(here) + np.cumsum(sizes) - sizes  # where each text's other words start
-        other = padded >= n_broadcast
-        padded = np.where(other, padded - n_broadcast + first, place[np.minimum(padded, n_broadcast - 1)])
-        padded[~valid] = -1
-        which = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in own.tolist()])
-        emit = np.concatenate((model.emit[here], model.emissions(rows[which][:, : len(model.start)])))
-        yield own, padded, lengths, Model(model.start, model.move, emit), here, words[which], rows[which]
-
+        padded = np.where(valid, place[padded], -1)
+        yield own, padded, lengths, here, Model(model.start, model.move, model.emit[here].astype(float))
 
-def states_of(table: DataFrame) -> list[str]:
-    return [n for n in table.columns if n.startswith("n_state_")]
 
+def expected_counts(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts by first state, by move and by symbol, and the log10 likelihood, summed over the texts: the E-step.
 
-def expected_counts(coded: DataFrame, table: DataFrame, model: Model, word: np.ndarray) -> DataFrame:
-    """(kind, word, counts by state) summed over the texts: the E-step. A task sums each word before rows are shuffled."""
-    names, states = states_of(table), len(model.start)
-    shared = coded.sparkSession.sparkContext.broadcast((model, word))
+    A task sums its texts and sends a row for each symbol it met, then the sums without symbol under keys below 0."""
+    states, n_symbols = len(model.start), len(model.emit)
+    names = [f"n{s}" for s in range(states)]
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, word = shared.value
-        start, move, log = np.zeros(states), np.zeros((states, states)), 0.0
-        own_counts = np.zeros((len(word) + 1, states))
-        others, counts, size = [], [], 0
-
-        def rows(kind: np.ndarray, word: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(word.view(np.int64)), *(pa.array(c.astype(np.float32)) for c in counts.T)], ["kind", "word", *names])
-
-        def flush() -> pa.RecordBatch:
-            which, at = np.unique(np.concatenate(others), return_inverse=True)
-            n = np.concatenate(counts)
-            return rows(np.full(len(which), OTHER), which, np.stack([np.bincount(at, weights=n[:, s], minlength=len(which)) for s in range(states)], 1))
-
+        model = shared.value
+        start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((n_symbols, states)), 0.0
         for b in batches:
-            for _, padded, lengths, local, here, words, _ in texts_of(model, b, names):
+            for _, padded, lengths, here, local in texts_of(model, b):
                 n = np.zeros(local.emit.shape)
                 log += expect(local, padded, lengths, start, move, n)
-                own_counts[here] += n[: len(here)]
-                if len(words):
-                    others.append(words)
-                    counts.append(n[len(here) :])
-                    size += len(words)
-                if size >= FLUSH // states:
-                    yield flush()
-                    others, counts, size = [], [], 0
-        if others:
-            yield flush()
-        seen = np.flatnonzero(own_counts[:-1].any(1))
-        yield rows(np.full(len(seen), FREQUENT), word[seen], own_counts[seen])
-        sums = np.stack((start, own_counts[-1], np.eye(1, states)[0] * log, *move))
-        yield rows(np.arange(START, MOVE + states), np.zeros(MOVE - START + states, np.int64), sums)
-
-    done = with_others(coded, table, names).select("symbols", "others", "found").mapInArrow(count, "kind int, word long, " + ", ".join(f"{n} float" for n in names))
-    return done.groupBy("kind", "word").agg(*(F.sum(n).alias(n) for n in names))
-
-
-def broadcast_rows(table: DataFrame, word: np.ndarray) -> np.ndarray:
-    """Expected counts of the words that are broadcast, in their order."""
-    names = states_of(table)
-    got = table.where(F.col("kind") == FREQUENT).select("word", *names).toArrow()
-    out = np.zeros((len(word), len(names)))
-    out[np.searchsorted(word, np.asarray(got.column("word")).view(_U))] = np.stack([np.asarray(got.column(n)) for n in names], 1)
-    return out
-
-
-def baum_welch(coded: DataFrame, table: DataFrame, word: np.ndarray, n_docs: int, distinct: int, iterations: int) -> tuple[Model, DataFrame, list[float]]:
-    """The model after some iterations over the coded texts from a first table of counts, its table of all words, and the
-    log10 likelihood before each iteration. word: hashes, sorted, of the words that are broadcast."""
-    names, logs = states_of(table), []
-    states = len(names)
+                emit[here] += n
+        met = np.flatnonzero(emit.any(1))
+        sums = np.stack((start, np.eye(1, states)[0] * log, *move))
+        keys = np.concatenate((np.arange(-len(sums), 0), met)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x.astype(np.float32)) for x in np.concatenate((sums, emit[met])).T)], ["key", *names])
+
+    sent = coded.select("symbols").mapInArrow(count, "key int, " + ", ".join(f"{n} float" for n in names))
+    table = sent.groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    shared.destroy()
+    out = np.zeros((2 + states + n_symbols, states))
+    out[np.asarray(table.column("key")) + 2 + states] = np.stack([np.asarray(table.column(n)) for n in names], 1)
+    return out[0], out[2 : 2 + states], out[2 + states :], float(out[1, 0])
+
+
+def baum_welch(coded: DataFrame, counts: np.ndarray, n_tail: int, states: int, iterations: int) -> tuple[Model, list[float]]:
+    """The model after some iterations over the coded texts, and the log10 likelihood before each. counts: of the symbols
+    (words, end, tail); n_tail: words that differ in the tail."""
+    part, logs = 0.5 + np.random.default_rng(1).random((len(counts), states)), []
     move = np.full((states, states), 0.02 / max(1, states - 1))
     np.fill_diagonal(move, 0.98)
-    end = np.full(states, n_docs / states)
-    total = np.array(table.agg(*(F.coalesce(F.sum(n), F.lit(0.0)) for n in names)).first()) + end
-    model = Model.from_counts(np.ones(states), move * (1e6 + n_docs), total, broadcast_rows(table, word), end, distinct)
+    model = Model.from_counts(np.ones(states), move * 1e6, counts[:, None] * part / part.sum(1, keepdims=True), n_tail)
     for _ in range(iterations):
-        before, table = table, keep(expected_counts(coded, table, model, word), "expected")
-        drop(before)
+        start, move, emit, log = expected_counts(coded, model)
         release(coded.sparkSession)
-        sums = {r.kind: np.array([r[n] for n in names]) for r in table.where(F.col("kind") >= START).collect()}
-        zero = np.zeros(states)
-        move = np.stack([sums.get(MOVE + s, zero) for s in range(states)])
-        start, end = sums.get(START, zero), sums.get(END, zero)
-        total = np.array(table.where(F.col("kind") <= FREQUENT).agg(*(F.coalesce(F.sum(n), F.lit(0.0)) for n in names)).first()) + end
-        logs.append(float(sums.get(LOG, zero)[0]))
-        model = Model.from_counts(start, move, total, broadcast_rows(table, word), end, distinct)
-    return model, table, logs
+        logs.append(log)
+        model = Model.from_counts(start, move, emit, n_tail)
+    return model, logs
 
 
-def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, n_known: int = KNOWN) -> DataFrame:
+def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, n_symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -358,47 +287,42 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
     n_docs = training.count()
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v = row.n + n_docs, row.v + (n_docs > 0)
-    often = frequent(counts, n_known)
-    top = counts.where(often).toArrow()
+    top = counts.where(frequent(counts, n_symbols)).toArrow()
     word, c = (np.asarray(top.column(k)).astype(np.int64) for k in range(2))
     word = word.view(_U)
-    order = np.argsort(word)
+    order = np.lexsort((word, -c))
     word, c = word[order], c[order]
     coded = keep(encode(docs, word, c), "coded")
-    # The first counts: each word's own, dealt to the states by its hash.
-    part = [0.5 + F.pmod(F.xxhash64("word", F.lit(s)), F.lit(1 << 20)) / (1 << 20) for s in range(states)]
-    whole = sum(part[1:], part[0])
-    first = counts.select(F.when(often, FREQUENT).otherwise(OTHER).alias("kind"), "word", *((F.col("c") * p / whole).alias(f"n_state_{s}") for s, p in enumerate(part)))
-    model, table, _ = baum_welch(coded.where("not held_out"), first, word, n_docs, v, iterations)
+    tail_n, tail_v = int(row.n - c.sum()), int(row.v - len(c))
+    model, _ = baum_welch(coded.where("not held_out"), np.concatenate((c, [n_docs, tail_n])).astype(float), tail_v, states, iterations)
     shared = spark.sparkContext.broadcast(model)
-    names = states_of(table)
+    tail, tail_log = len(c) + 1, float(np.log10(tail_n + tail_v + 1.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            logs, more, log_more = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for own, padded, lengths, local, here, words, rows in texts_of(model, b, [*names, "c"]):
-                logs[own] = likelihoods(local, padded, lengths)
-                step, column = np.nonzero(padded >= len(here))
-                c = rows[padded[step, column] - len(here), -1]
-                np.add.at(more, own[column], (c > 0).astype(np.int64))
-                np.add.at(log_more, own[column], np.log10(c + 1))
-            kept = ["doc_id", "held_out", "n_tokens", "n_known", "log_known"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), pa.array(logs), pa.array(more), pa.array(log_more)], [*kept, "log", "more", "log_more"])
+            logs = np.zeros(b.num_rows)
+            for own, padded, lengths, here, local in texts_of(model, b):
+                in_tail = (padded >= 0) & (here[padded] == tail)
+                logs[own] = likelihoods(local, padded, lengths) - tail_log * in_tail.sum(0)
+            kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_known"]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), pa.array(logs)], [*kept, "log"])
 
     id_ = docs.schema["doc_id"].dataType.simpleString()
-    last = table.where(F.col("kind") == OTHER).join(counts, "word")
-    scored = with_others(coded, last, [*names, "c"]).drop("row").mapInArrow(score, f"doc_id {id_}, held_out boolean, n_tokens long, n_known long, log_known double, log double, more long, log_more double")
+    scored = coded.drop("others").mapInArrow(score, f"row long, doc_id {id_}, held_out boolean, n_tokens long, n_known long, log_known double, log double")
+    rest = coded.select("row", F.explode("others").alias("o")).select("row", "o.*").join(counts, "word")
+    rest = rest.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("log_more"))
+    full = scored.join(rest, "row", "left").withColumn("log_more", F.coalesce("log_more", F.lit(0.0)))
     end = float(np.log10(n_docs + 1.0))
     base = F.col("log_known") + F.col("log_more") + end - F.col("n_tokens") * F.lit(float(np.log10(n_train + v + 1.0)))
-    return scored.select(
+    return full.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.col("more") + int(n_docs > 0)).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more", F.lit(0)) + int(n_docs > 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        F.col("log").alias("score"),
+        (F.col("log") + F.col("log_more")).alias("score"),
     )
 
 
