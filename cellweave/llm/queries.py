@@ -1,6 +1,6 @@
 """The training-data queries by name, with their SQL where there is one."""
 
-from . import chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, toxicity
+from . import alignment, chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, resampling, sharding, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_nn_descent": neighbours.op9_nn_descent,
     "op10_hmm_language_model": hmm.op10_hmm_language_model,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_hilbert_sharding": sharding.op13_hilbert_sharding,
 }
-SQL = {k: v for m in (chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, toxicity) for k, v in m.SQL.items()}
+SQL = {k: v for m in (alignment, chat, decontaminate, fixity, hmm, html_text, jaccard, licenses, mixing, neighbours, resampling, sharding, toxicity) for k, v in m.SQL.items()}

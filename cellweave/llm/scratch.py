@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start from the files, not from df's lineage."""
     path = f"{shared_folder(df.sparkSession)}/cellweave/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cellweave_path = path
     return out
