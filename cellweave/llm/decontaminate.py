@@ -1,8 +1,9 @@
-"""Benchmark decontamination with Aho-Corasick automata over normalised benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
 
-A text is normalised to its words (digits, ASCII letters folded to lower case, non-ASCII characters), joined by one
-space; the automaton runs over that once, and the words that a match covers are mapped back to code points of the
-original text. Windows are runs of `width` words of an item; a shorter item is one window.
+A text is normalised to its words (digits, ASCII letters folded to lower case, non-ASCII characters). Each word that the
+benchmark knows is one character, all others share one that no window holds; the automaton runs over these characters
+once, so that it has a state for each word of a window and not for each byte. The words that a match covers are mapped
+back to code points of the original text. Windows are runs of `width` words of an item; a shorter item is one window.
 
 Defined results: a null or wordless text has no words, hits or items; an item without words has no window; items that
 repeat a window all count; repeated item ids count once; a null item id counts as the empty string; an empty benchmark
@@ -12,6 +13,7 @@ those named like its results; a text of any length is scanned as a whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from .words import ALNUM
 
 _CLEAN = bytes((c + 32 if 65 <= c < 91 else c) if ALNUM[c] else 32 for c in range(256))
 _WORD = bytes(255 if ALNUM[c] else 32 for c in range(256))
-#: Bytes of windows at most (an automaton holds about 50 times as many): a benchmark of some millions of words.
+#: Bytes of windows at most: a benchmark of about a million words, whose automaton takes some 0.7 GB in a Python worker.
 MOST_BYTES = 1 << 26
+#: Characters that stand for words: all code points but surrogates, the first of which stands for unknown words.
+MOST_WORDS, UNKNOWN = 0x110000 - 0x800 - 1, "\0"
 
 FOUND = T.StructType(
     [
@@ -41,44 +46,54 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
 
 
-def windows(items: Iterator[tuple[str, str | None]], width: int) -> Iterator[tuple[str, str]]:
-    """(window, item id); a window is its words between single spaces, one character a byte."""
+def windows(items: Iterator[tuple[str, str | None]], width: int) -> Iterator[tuple[tuple[bytes, ...], str]]:
+    """(window, item id); a window is its words."""
     for item, text in items:
         words = words_of(text)
         for k in range(max(1, len(words) - width + 1) if words else 0):
-            yield (b" " + b" ".join(words[k : k + width]) + b" ").decode("latin-1"), item
+            yield tuple(words[k : k + width]), item
+
+
+class Machine:
+    """The automaton and the characters of the benchmark's words."""
 
+    def __init__(self, found: list[tuple[tuple[bytes, ...], str]]):
+        self.letters: dict[bytes, str] = {}
+        owners: dict[str, set[str]] = {}
+        for window, item in found:
+            for w in window:
+                if w not in self.letters:
+                    k = len(self.letters) + 1
+                    self.letters[w] = chr(k if k < 0xD800 else k + 0x800)
+            owners.setdefault("".join(map(self.letters.__getitem__, window)), set()).add(item)
+        self.states = ahocorasick.Automaton()
+        while owners:
+            window, ids = owners.popitem()
+            self.states.add_word(window, (len(window), tuple(sorted(ids))))
+        self.states.make_automaton()
 
-def automaton(block: list[tuple[str, str]]) -> ahocorasick.Automaton:
-    """Each window leads to (its length in words, its item ids)."""
-    owners: dict[str, set[str]] = {}
-    for window, item in block:
-        owners.setdefault(window, set()).add(item)
-    out = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        out.add_word(window, (window.count(" ") - 1, tuple(sorted(ids))))
-    out.make_automaton()
-    return out
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, str]]:
+        """(first word, number of words, item id) of each occurrence of a window."""
+        if not words or not len(self.states):
+            return []
+        letter = self.letters.get
+        line = "".join([letter(w, UNKNOWN) for w in words])
+        return [(end + 1 - n, n, item) for end, (n, ids) in self.states.iter(line) for item in ids]
 
 
-def normalised(text: str | None) -> str:
-    """The text's words between single spaces, one character a byte; empty without words."""
-    words = words_of(text)
-    return (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
+_built: dict[str, Machine] = {}
 
 
-def matches(clean: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(first word, number of words, item id) of each occurrence of a window."""
-    out, at, word = [], 0, -1
-    for end, (n, ids) in machine.iter(clean) if clean and len(machine) else ():
-        word, at = word + clean.count(" ", at, end + 1), end + 1  # spaces up to a match's end number the words before it
-        out += [(word - n, n, item) for item in ids]
-    return out
+def _machine(key: str, shared) -> Machine:
+    """The machine of a broadcast, built once in a Python worker, which keeps the last one."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Machine(shared.value)
+    return _built[key]
 
 
-def resolve(text: str | None, clean: str, found: list[tuple[int, int, str]]) -> tuple[int, int, list[str], list[dict]]:
+def resolve(text: str | None, total: int, found: list[tuple[int, int, str]]) -> tuple[int, int, list[str], list[dict]]:
     """Words, words hit, item ids sorted as strings, and the hit runs as code point offsets of the text."""
-    total = max(0, clean.count(" ") - 1)
     if not found:
         return total, 0, [], []
     cover = np.zeros(total + 1, np.int32)
@@ -98,34 +113,39 @@ def resolve(text: str | None, clean: str, found: list[tuple[int, int, str]]) ->
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_bytes: int = MOST_BYTES, text: str = "text") -> DataFrame:
     """docs with n_words, n_hit, item_ids and hit_spans (runs of hit words as code point offsets of the text).
 
-    The windows are broadcast, every task builds the automaton of all of them once and scans its texts once. A benchmark
-    of more than most_bytes of windows is refused: its automaton would not fit a task.
+    The windows are broadcast, every Python worker builds the automaton of all of them once, every task scans its texts
+    once. A benchmark of more than most_bytes of windows is refused: its automaton would not fit a worker.
     """
     spark = docs.sparkSession
-    found, size = [], 0
+    found, known, size = [], set(), 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("text")).distinct()
     for pair in windows(((r.item, r.text) for r in rows.toLocalIterator()), width):
         found.append(pair)
-        size += len(pair[0])
-        if size > most_bytes:
-            raise ValueError(f"the benchmark has more than {most_bytes} bytes of windows, too many for one automaton")
-    shared = spark.sparkContext.broadcast(found)
-    names = [n for n in docs.columns if n not in FOUND.names]
-    schema = T.StructType([docs.schema[n] for n in names] + FOUND.fields)
+        known.update(pair[0])
+        size += sum(map(len, pair[0])) + len(pair[0])
+        if size > most_bytes or len(known) > MOST_WORDS:
+            raise ValueError(f"the benchmark has more than {most_bytes} bytes of windows or {MOST_WORDS} words, too many for one automaton")
+    shared, key = spark.sparkContext.broadcast(found), uuid.uuid4().hex
+    base = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    own = [k for k, n in enumerate(docs.columns) if n not in FOUND.names]
+    schema = T.StructType([docs.schema[k] for k in own] + FOUND.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(shared.value)
+        machine = _machine(key, shared)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(batch.num_columns - 1))
-            results = [resolve(t, c := normalised(t), matches(c, machine)) for t in texts]
+            results = []
+            for cell in batch.column(batch.num_columns - 1):
+                words = words_of(text := cell.as_py())
+                results.append(resolve(text, len(words), machine.matches(words)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[k] for r in results], kind) for k, kind in enumerate(kinds))], schema.names)
 
-    return docs.select(*names, F.col(text).alias("_scanned")).mapInArrow(run, schema)
+    scanned = base.select(*[f"c{k}" for k in own], F.col(f"c{docs.columns.index(text)}").alias("scanned"))
+    return scanned.mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """docs without the documents that hold a benchmark window; their columns go by other names through the scan."""
+    """docs without the documents that hold a benchmark window; their columns go by other names, as none is replaced."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     found = find_leaks(docs.toDF(*names), benchmark, text=names[docs.columns.index("text")], **params)
     return found.where("n_hit = 0").select(*names).toDF(*docs.columns)

@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the blocks
 before and after it, whether it is a heading, in the page's article (1), outside of it (-1) or on a page without one (0),
-and whether it stands in a region named as boilerplate. The tree is grown here, by Gini impurity, on the small labelled
-table below: example pages, whose rows are each other's neighbours.
+whether it stands in a region named as boilerplate, and whether it is short and speaks of the site and not of its matter.
+The tree is grown here, by Gini impurity, on the small labelled table below: example pages, whose rows are each other's
+neighbours. It asks for region and article first, so that no neighbour overrules these, and then for counts and densities,
+in leaves of five rows at least.
 
 A named region that holds the article, or most of the page's unlinked words and isn't made of comments, is a wrapper
 and names nothing. Tags are scanned in one pass, in time proportional to the page; end tags that HTML leaves out are
@@ -55,8 +57,12 @@ IMPLIED = {
 }
 CELLS = {"td", "th", "caption"}
 
+# What notices say. A block of more than NOTICE_WORDS words is none.
+NOTICE = re.compile(r"\bcookies?\b|©|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)|\bnewsletter\b|\bsubscribe\b|\bsign (?:up|in)\b|\blog ?in\b|\bfollow us\b|\bpowered by\b|\badvertisement\b", re.I)
+NOTICE_WORDS = 40
+
 #: Blocks of example pages, labelled by hand, pages apart by an empty line: words, link %, in a named region, in the
-#: article, heading; then 1 for main text.
+#: article, heading, 1 for main text; n behind it for a notice.
 LABELLED = """
 1 100 1 -1 0  0
 1 100 1 -1 0  0
@@ -186,25 +192,227 @@ LABELLED = """
 52  2 0  0 0  1
 2   0 1  0 1  0
 48  0 1  0 0  0
+
+1 100 1 -1 0  0
+1 100 1 -1 0  0
+50  0 0  1 0  1
+62  3 0  1 0  1
+1 100 1 -1 0  0
+
+2 100 1 -1 0  0
+7 100 0  1 1  1
+10  0 0  1 0  1
+22  0 0  1 0  1
+9 100 1 -1 0  0
+
+5 100 0  1 1  1
+12  0 0  1 0  1
+8   0 0  1 0  1
+15 20 0  1 0  1
+6   0 1 -1 0  0
+
+1 100 1 -1 0  0
+8 100 0  1 1  1
+3   0 0  1 0  1
+11  0 0  1 0  1
+48  0 0  1 0  1
+3 100 1 -1 0  0
+
+55  0 0  1 0  1
+1 100 1  1 0  0
+58  0 0  1 0  1
+2 100 1  1 0  0
+9   0 1  1 0  0
+50  0 0  1 0  1
+
+4   0 0  1 1  1
+66  0 0  1 0  1
+5 100 0  1 0  0
+4 100 0  1 0  0
+6 100 0  1 0  0
+8 100 0  1 0  0
+
+6   0 0  1 1  1
+30  0 0  1 0  1
+9 100 0  1 0  1
+44  0 0  1 0  1
+11 100 0  1 0  1
+37  5 0  1 0  1
+14  0 0 -1 0  0 n
+
+3 100 0  1 0  0
+2 100 0  1 0  0
+4 100 0  1 0  0
+7   0 0  1 1  1
+51  0 0  1 0  1
+29  0 0  1 0  1
+
+18 15 0 -1 0  0 n
+5   0 0  1 1  1
+2   0 0  1 0  1
+3   0 0  1 0  1
+2   0 0  1 0  1
+33 10 0  1 0  1
+12  0 0 -1 0  0
+40  0 0 -1 0  0
+55  0 0 -1 0  0
+
+1 100 0  0 0  0
+2 100 0  0 0  0
+17 10 0  0 0  0 n
+5   0 0  0 1  1
+47  0 0  0 0  1
+36  4 0  0 0  1
+8  12 0  0 0  0 n
+
+14  0 0  0 0  0 n
+9   0 0  0 1  1
+24  0 0  0 0  1
+31  0 0  0 0  1
+7   0 0  0 0  0 n
+
+2 100 0  0 0  0
+2 100 0  0 0  0
+6   0 0  0 1  1
+11  0 0  0 0  1
+9   0 0  0 0  1
+60  0 0  0 0  1
+12  8 0  0 0  0 n
+2 100 0  0 0  0
+
+95  2 0  0 0  1
+4   0 0  0 0  1
+77  0 0  0 0  1
+6   0 0  0 0  1
+42  9 0  0 0  1
+5   0 0  0 0  0 n
+
+3 100 0  0 0  0
+1 100 0  0 0  0
+4 100 0  0 0  0
+15  0 0  0 0  1
+20  0 0  0 0  1
+18 11 0  0 0  1
+2 100 0  0 0  0
+3 100 0  0 0  0
+10 10 0  0 0  0 n
+
+1 100 0  0 0  0
+1 100 0  0 0  0
+3   0 0  0 0  0
+1 100 0  0 0  0
+4   0 0  0 0  0
+2 100 0  0 0  0
+8   0 0  0 1  1
+54  0 0  0 0  1
+3   0 0  0 0  0
+4 100 0  0 0  0
+5 100 0  0 0  0
+
+7   0 0  0 1  1
+5  40 0  0 0  0
+39  0 0  0 0  1
+2   0 0  0 0  1
+71  3 0  0 0  1
+6  83 0  0 0  0
+4 100 0  0 0  0
+
+6 100 0  0 1  1
+44  0 0  0 0  1
+29  7 0  0 0  1
+5 100 0  0 1  1
+50  0 0  0 0  1
+2 100 0  0 0  0
+2 100 0  0 0  0
+
+4 100 0  0 0  0
+9  78 0  0 0  0
+3 100 0  0 0  0
+4   0 0  0 1  1
+26 30 0  0 0  1
+41 12 0  0 0  1
+7  57 0  0 0  0
+11 64 0  0 0  0
+2 100 0  0 0  0
+
+25  0 1  0 0  0
+6   0 0  0 1  1
+34  0 0  0 0  1
+3   0 1  0 1  0
+48  0 1  0 0  0
+2 100 1  0 0  0
+
+1 100 1 -1 0  0
+80  0 1 -1 0  0
+7   0 0  1 1  1
+1   0 0  1 0  1
+9  33 0  1 0  1
+28 21 0  1 0  1
+66  0 1 -1 0  0
+16  0 1 -1 0  0
+
+40  0 0  1 0  1
+3   0 0  1 1  1
+7  43 0  1 0  1
+6  50 0  1 0  1
+8  38 0  1 0  1
+50  0 0  1 0  1
+6 100 0  1 0  0
+5 100 0  1 0  0
+
+3 100 0  0 0  0
+6 100 0  0 0  0
+8 100 0  0 0  0
+7 100 0  0 0  0
+4   0 0  0 1  0
+6 100 0  0 0  0
+9 100 0  0 0  0
+5   0 0  0 0  0 n
+
+2 100 0  0 0  0
+1 100 0  0 0  0
+88  0 0  0 0  1
+64  3 0  0 0  1
+2 100 0  0 0  0
+
+1 100 0  0 0  0
+3 100 0  0 0  0
+53  0 0  0 0  1
+49  6 0  0 0  1
+16 12 0  0 0  0 n
+
+2 100 0  0 0  0
+4  60 0  0 0  0
+110 0 0  0 0  1
+1 100 0  0 0  0
+75  0 0  0 0  1
+1 100 0  0 0  0
+1 100 0  0 0  0
 """
 #: Page, place and label of the features in the order of a tree's questions.
-FEATURES = ("words", "links", "region", "article", "heading", "words before", "links before", "words after", "links after")
+FEATURES = ("words", "links", "region", "article", "heading", "notice", "words before", "links before", "words after", "links after")
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|[!?/])")
 _STOP = re.compile(r"""=\s*+["']|>""")
 _MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MAIN_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?(?:main|article)["']?(?:\s|$)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW_TAGS}
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> tuple:
-    """A binary tree: (feature, threshold, tree of rows up to it, tree of the others), or (share of ones,)."""
+FIRST = (FEATURES.index("region"), FEATURES.index("article"))
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 5) -> tuple:
+    """A binary tree: (feature, threshold, tree of rows up to it, tree of the others), or (share of ones,). The features of
+    FIRST are asked for as long as rows differ in them."""
     share = y.mean()
     if depth == 0 or share in (0, 1):
         return (float(share),)
     best = None
-    for f in range(x.shape[1]):
+    open_ = [f for f in FIRST if len(np.unique(x[:, f])) > 1]
+    for f in open_[:1] or range(x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             left = x[:, f] <= t
@@ -222,7 +430,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> tuple:
 
 
 def _numbers(table: str) -> list[list[float]]:
-    return [[float(v) for v in line.split()] for line in table.strip().splitlines()]
+    """Features without neighbours, then the label, of each line."""
+    rows = [line.split() for line in table.strip().splitlines()]
+    return [[*map(float, r[:5]), float(r[6:] == ["n"]), float(r[5])] for r in rows]
 
 
 def with_neighbours(rows: list[tuple]) -> list[tuple]:
@@ -239,7 +449,7 @@ def trained_tree(neighbours: bool = True) -> tuple:
         x += with_neighbours([tuple(r[:-1]) for r in rows])
         y += [r[-1] for r in rows]
     x = np.array(x)
-    return grow(x if neighbours else np.where(np.arange(x.shape[1]) < 5, x, 0), np.array(y))
+    return grow(x if neighbours else np.where(np.arange(x.shape[1]) < 6, x, 0), np.array(y))
 
 
 def is_text(tree: tuple, features: tuple) -> bool:
@@ -283,8 +493,8 @@ class _Open:
         self.article, self.region, self.silent, self.link, self.heading = (above.article, above.region, above.silent, above.link, above.heading) if above else (False, -1, False, False, False)
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link %, in a named region, in the article, heading) of each block with text, in page order."""
+def blocks(page: str) -> list[tuple[str, int, float, int, int, int, int]]:
+    """(text, words, link %, in a named region, in the article, heading, notice) of each block with text, in page order."""
     found: list[tuple] = []
     parts: list[tuple[str, bool]] = []
     opened: list[_Open] = []
@@ -365,7 +575,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         own = _Open(tag, opened[-1] if opened else None)
         marks = [named("".join(x)) for x in _MARKS.findall(attributes)] if attributes else ()
         by_mark, comments = any(x for x, _ in marks), any(x for _, x in marks)
-        if tag in ARTICLE_TAGS and not comments:
+        if (tag in ARTICLE_TAGS or attributes and _MAIN_ROLE.search(attributes)) and not comments:
             own.article = True
             if own.region >= 0:
                 regions[own.region][3] = True
@@ -392,7 +602,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         wrapper = holds or not comments and not by_tag and 2 * words > plain
         names.append(not wrapper or around >= 0 and names[around])
     has_article = any(article and not (region >= 0 and names[region]) for _, _, _, region, article, _ in found)
-    return [(text, words, links, int(region >= 0 and names[region]), (1 if article else -1) if has_article else 0, int(heading)) for text, words, links, region, article, heading in found]
+    return [(text, words, links, int(region >= 0 and names[region]), (1 if article else -1) if has_article else 0, int(heading), int(words <= NOTICE_WORDS and bool(NOTICE.search(text)))) for text, words, links, region, article, heading in found]
 
 
 def main_text(page: str | None, tree: tuple) -> str:

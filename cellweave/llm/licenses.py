@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of lines, paragraphs and whole texts to templates, then inheritance from directories.
 
-Templates are notices, titles, licence texts and the paragraphs of those that no other licence shares. The units of a
+Templates are notices, titles, SPDX tags, licence texts and the paragraphs of those that no other licence shares. The units of a
 text are its lines, its paragraphs of several lines (lines without a word part them) and the whole of it, so that a header
 wrapped over lines is one unit, apart from the body. A unit's vector has a weight tf * idf for each word of the templates'
 vocabulary; idf comes from counts over all documents. A word of no template counts as a rare word of its own. A document
@@ -46,6 +46,25 @@ TITLES = (
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
 )
+#: Tags by the licence's identifier, those of one licence's variants under its name.
+TAGGED = (
+    ("MIT", ("MIT",)),
+    ("Apache-2.0", ("Apache-2.0",)),
+    ("GPL-2.0", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")),
+    ("GPL-3.0", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")),
+    ("LGPL-2.1", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later")),
+    ("LGPL-3.0", ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")),
+    ("AGPL-3.0", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")),
+    ("BSD-2-Clause", ("BSD-2-Clause",)),
+    ("BSD-3-Clause", ("BSD-3-Clause",)),
+    ("ISC", ("ISC",)),
+    ("MPL-2.0", ("MPL-2.0",)),
+    ("Unlicense", ("Unlicense",)),
+    ("CC-BY-4.0", ("CC-BY-4.0",)),
+    ("CC0-1.0", ("CC0-1.0",)),
+)
+#: A tag of another identifier is nearest to the tag alone.
+TAGS = (*((name, f"SPDX-License-Identifier: {tag}") for name, tags in TAGGED for tag in tags), ("NOASSERTION", "SPDX-License-Identifier:"))
 BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -81,11 +100,11 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 
 
 def _templates() -> tuple[tuple[str, str], ...]:
-    """Notices, titles, whole texts, and the paragraphs that stand in one licence's text alone and name no address only."""
+    """Notices, titles, tags, whole texts, and the paragraphs that stand in one licence's text alone and name no address only."""
     pieces = [(licence, p) for licence, t in TEXTS for p in t.split("\n\n")]
     shared = Counter(p for _, p in pieces)
     own = [(licence, p) for licence, p in pieces if shared[p] == 1 and " " in p]
-    return tuple(sorted({*NOTICES, *TITLES, *TEXTS, *own}))
+    return tuple(sorted({*NOTICES, *TITLES, *TAGS, *TEXTS, *own}))
 
 
 #: Least cosine of a declaration; names of licence files.
@@ -187,11 +206,24 @@ def _units(vectors, idf: dict[str, float], unseen: float, keys: Column, text: Co
     return F.transform(units, lambda u: F.struct((-u["best"]["c"]).alias("cosine"), u["best"]["licence"].alias("licence"), u["n"].alias("n"), u["kind"].alias("kind")))
 
 
+def _numbered(docs: DataFrame, *special: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with numbered columns in place of its names, and the names of those that stay: all but the text (the first of
+    special) and those named like results."""
+    base = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return base, {f"c{k}": n for k, n in enumerate(docs.columns) if n != special[0] and n not in RESULTS}
+
+
 def declared(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
     """docs with declared, cosine (of the best unit, where it reaches `least`) and is_license_file, without the text."""
+    base, own = _numbered(docs, text)
+    found = _declared(base, templates, least, f"c{docs.columns.index(text)}", list(own))
+    return found.select(*[F.col(c).alias(n) for c, n in own.items()], *RESULTS[:3])
+
+
+def _declared(docs: DataFrame, templates, least: float, text: str, names: list[str]) -> DataFrame:
+    """declared for columns by number."""
     idf, unseen = inverse_frequencies(docs, templates, text)
     vectors = weighed(templates, idf)
-    names = [c for c in docs.columns if c not in (text, *RESULTS)]
     keys = F.array(*map(F.lit, key_words(vectors, idf, least)))
     words = words_of(F.col(text))
     found = F.when(F.arrays_overlap(words, keys), F.filter(_units(vectors, idf, unseen, keys, F.col(text)), lambda u: u["cosine"] >= F.lit(least)))
@@ -220,15 +252,18 @@ def scan_licenses(docs: DataFrame, path: str = "path", templates=TEMPLATES, leas
     Ancestors are listed for distinct directories, not for documents. The last join has one row a directory on its
     small side; a directory that holds many documents is split by the adaptive skew join where it isn't broadcast.
     """
-    marked = declared(docs, templates, least, text)
-    named = F.col("declared").isNotNull() & F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+    base, own = _numbered(docs, text)
+    place = f"c{docs.columns.index(path)}"
+    marked = _declared(base, templates, least, f"c{docs.columns.index(text)}", [*own, *({place} - {*own})])
+    named = F.col("declared").isNotNull() & F.coalesce(F.col(place).rlike(FILE_NAME), F.lit(False))
     marked = marked.withColumn("is_license_file", F.col("is_license_file") | named)
-    marked = marked.withColumn("_dir", F.array_join(F.filter(F.split(parent(F.coalesce(F.col(path), F.lit(""))), "/"), lambda p: p != ""), "/"))
+    marked = marked.withColumn("_dir", F.array_join(F.filter(F.split(parent(F.coalesce(F.col(place), F.lit(""))), "/"), lambda p: p != ""), "/"))
     speaks = marked.where("is_license_file").groupBy("_dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("declared").alias("licence"))).alias("m")).select(F.col("_dir").alias("above"), F.col("m.licence").alias("said"))
     above = marked.where("declared is null").select("_dir").distinct().select("_dir", F.inline(ancestors(F.col("_dir"))))
     nearest = above.join(speaks, "above").groupBy("_dir").agg(F.min(F.struct("distance", "above", "said")).alias("near"))
     return marked.join(nearest, "_dir", "left").select(
-        *[c for c in marked.columns if c != "_dir"],
+        *[F.col(c).alias(n) for c, n in own.items()],
+        *RESULTS[:3],
         F.coalesce("declared", "near.said").alias("license"),
         F.when(F.col("declared").isNull(), F.col("near.above")).alias("inherited_from"),
         F.when(F.col("declared").isNull(), F.col("near.distance")).cast("long").alias("distance"),

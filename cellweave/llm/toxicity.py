@@ -175,8 +175,8 @@ MARKS = [T.StructField("p_junk", T.DoubleType()), T.StructField("p_toxic", T.Dou
 def _scored(docs: DataFrame, text: str, chain: tuple[np.ndarray, list[np.ndarray]], threshold: float) -> DataFrame:
     """docs with p_junk, p_toxic and is_toxic of the column `text`."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    names = [n for n in docs.columns if n not in {m.name for m in MARKS}]
-    schema = T.StructType([docs.schema[n] for n in names] + MARKS)
+    own = [k for k, n in enumerate(docs.columns) if n not in {m.name for m in MARKS}]
+    schema = T.StructType([docs.schema[k] for k in own] + MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
@@ -189,7 +189,8 @@ def _scored(docs: DataFrame, text: str, chain: tuple[np.ndarray, list[np.ndarray
             p = p if weights else np.zeros((len(held), len(CHAIN)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], schema.names)
 
-    return docs.select(*names, F.col(text).alias("_scanned")).mapInArrow(run, schema)
+    base = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return base.select(*[f"c{k}" for k in own], F.col(f"c{docs.columns.index(text)}").alias("scanned")).mapInArrow(run, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
