@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 class Ellipsoid(NamedTuple):
     a: float
@@ -53,15 +55,10 @@ def _q(s, e2: float, of):
     return (1 - e2) * (s / (1 - e2 * s * s) - log((1 - e * s) / (1 + e * s)) / (2 * e))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), where value is worked out once however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def albers(lon: Column, lat: Column, to: Albers = Albers()) -> Column:  # noqa: B008
     """A struct of x and y in metres; null in, null out."""
     n, c, rho0 = to.constants()
-    q = _let(F.sin(F.radians(lat)), lambda s: _q(s, to.ellipsoid.e2, F))
+    q = let(F.sin(F.radians(lat)), lambda s: _q(s, to.ellipsoid.e2, F))
     rho = to.ellipsoid.a * F.sqrt(c - n * q) / n
     theta = n * F.radians(lon - to.lon0)
     return F.struct((rho * F.sin(theta)).alias("x"), (rho0 - rho * F.cos(theta)).alias("y"))
@@ -79,7 +76,7 @@ def albers_inverse(x: Column, y: Column, to: Albers = Albers(), steps: int = 5)
         curve = 1 - e2 * s * s
         return lat + curve * curve / (2 * F.cos(lat)) * ((goal - _q(s, e2, F)) / (1 - e2))
 
-    lat = _let(q, lambda goal: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.asin(goal / 2), lambda lat, _: nearer(lat, goal)))
+    lat = let(q, lambda goal: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.asin(goal / 2), lambda lat, _: nearer(lat, goal)))
     return F.struct((to.lon0 + F.degrees(F.atan2(sign * x, sign * up)) / n).alias("lon"), F.degrees(lat).alias("lat"))
 
 
@@ -103,7 +100,7 @@ def transverse_mercator(lon: Column, lat: Column, lon0: Column, ellipsoid: Ellip
     """A struct of x and y in metres; y is negative south of the equator."""
     radius, forward, _, _ = _series(ellipsoid)
     e = math.sqrt(ellipsoid.e2)
-    t = _let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
+    t = let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
     away = F.radians(lon - lon0)
 
     def of(tau: Column) -> Column:
@@ -115,9 +112,9 @@ def transverse_mercator(lon: Column, lat: Column, lon0: Column, ellipsoid: Ellip
             y = u + sum(a * F.sin(2 * k * u) * F.cosh(2 * k * v) for k, a in enumerate(forward, 1))
             return F.struct((east + scale * radius * x).alias("x"), (scale * radius * y).alias("y"))
 
-        return _let(F.struct(xi.alias("u"), eta.alias("v")), summed)
+        return let(F.struct(xi.alias("u"), eta.alias("v")), summed)
 
-    return _let(t, of)
+    return let(t, of)
 
 
 def transverse_mercator_inverse(x: Column, y: Column, lon0: Column, ellipsoid: Ellipsoid = WGS84, scale: float = 0.9996, east: float = 500_000.0) -> Column:
@@ -132,7 +129,7 @@ def transverse_mercator_inverse(x: Column, y: Column, lon0: Column, ellipsoid: E
 
     def of(p: Column) -> Column:
         conformal = F.asin(F.sin(p["u"]) / F.cosh(p["v"]))
-        lat = _let(conformal, lambda chi: chi + sum(d * F.sin(2 * k * chi) for k, d in enumerate(latitude, 1)))
+        lat = let(conformal, lambda chi: chi + sum(d * F.sin(2 * k * chi) for k, d in enumerate(latitude, 1)))
         return F.struct((lon0 + F.degrees(F.atan2(F.sinh(p["v"]), F.cos(p["u"])))).alias("lon"), F.degrees(lat).alias("lat"))
 
-    return _let(_let(plane, unwound), of)
+    return let(let(plane, unwound), of)

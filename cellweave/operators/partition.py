@@ -1,49 +1,73 @@
-"""Balanced rectangles and strips of a grid: a k-d split level by level over windows, without a tree."""
+"""Balanced rectangles and strips of a grid: a k-d split level by level over prefix sums, without a tree."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 
-def kd_split(loads: DataFrame, n: int | str, size: int, by: list[str]) -> DataFrame:
-    """loads (by, r, c, load) of dense grids, with path, r0, r1, c0, c1 of the rectangle of each cell; n: how many
-    at most, or the column of `by` that says how many.
+
+def kd_rectangles(loads: DataFrame, n: int | str, size: int, by: list[str]) -> DataFrame:
+    """(by, leaf, path, r0, r1, c0, c1, load) of balanced rectangles of dense grids of loads (by, r, c, load); n: how many
+    at most, or the column of `by` that says how many; leaf: their number in preorder.
 
     Rows are cut at even depths, columns at odd ones, after the first line at which twice the running load reaches the
     rectangle's load; in the middle where no line but the last does. A rectangle for one part, or one line thin, stays.
+
+    A grid's prefix sums, as many as it has cells, stand in one row. Any rectangle's load is four of them, so all levels
+    are one expression on that row, and no level reads cells again or moves anything.
     """
     parts, most = (F.lit(n), n) if isinstance(n, int) else (F.col(n).cast("int"), 32)
-    out = loads.select("*", F.lit("").alias("path"), parts.alias("parts"), F.lit(0).alias("r0"), F.lit(size).alias("r1"), F.lit(0).alias("c0"), F.lit(size).alias("c1"))
+    total = F.sum("line").over(W.partitionBy(*by, "c").orderBy("r"))
+    lines = loads.withColumn("line", F.sum("load").over(W.partitionBy(*by, "r").orderBy("c")))
+    grids = lines.select(*by, F.struct("r", "c", total.alias("sum")).alias("at")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["sum"]).alias("sums"))
+
+    def corner(r: Column, c: Column) -> Column:
+        return F.when((r > 0) & (c > 0), F.get("sums", (r - 1) * size + c - 1)).otherwise(0)
+
+    def load(r0: Column, r1: Column, c0: Column, c1: Column) -> Column:
+        return corner(r1, c1) - corner(r0, c1) - corner(r1, c0) + corner(r0, c0)
+
+    def split(box: Column, lo: str, hi: str) -> Column:
+        def running(line: Column) -> Column:
+            return load(*[line + 1 if e == hi else box[e] for e in ("r0", "r1", "c0", "c1")])
+
+        def halves(cut: Column) -> Column:
+            small = F.floor(box["parts"] / 2).cast("int")
+            of = lambda mark, parts, **ends: F.struct(F.concat(box["path"], F.lit(mark)).alias("path"), parts.alias("parts"), *[ends.get(e, box[e]).alias(e) for e in ("r0", "r1", "c0", "c1")])
+            return F.array(of("0", small, **{hi: cut}), of("1", box["parts"] - small, **{lo: cut}))
+
+        lines = F.filter(F.sequence(box[lo], box[hi] - 2), lambda line: 2 * running(line) >= running(box[hi] - 1))
+        cut = F.coalesce(F.get(lines, 0) + 1, F.floor((box[lo] + box[hi]) / 2).cast("int"))
+        return let(cut, halves)
+
+    def next_level(lo: str, hi: str):
+        def of(box: Column) -> Column:
+            whole = (box["parts"] <= 1) | (box["r1"] - box["r0"] <= 1) | (box["c1"] - box["c0"] <= 1)
+            return F.when(whole, F.array(box.withField("parts", F.lit(1)))).otherwise(split(box, lo, hi))
+
+        return of
+
+    boxes = F.array(F.struct(F.lit("").alias("path"), parts.alias("parts"), F.lit(0).alias("r0"), F.lit(size).alias("r1"), F.lit(0).alias("c0"), F.lit(size).alias("c1")))
     depth = 0
     while 2**depth < 2 * most:
-        x, lo, hi = ("r", "r0", "r1") if depth % 2 == 0 else ("c", "c0", "c1")
-        group = W.partitionBy(*by, "path")
-        running = F.sum("load").over(group.orderBy(x).rangeBetween(W.unboundedPreceding, 0))
-        out = out.withColumn("_run", running).withColumn("_all", F.sum("load").over(group))
-        cut = F.min(F.when((2 * F.col("_run") >= F.col("_all")) & (F.col(x) < F.col(hi) - 1), F.col(x) + 1)).over(group)
-        out = out.withColumn("_cut", F.coalesce(cut, F.floor((F.col(lo) + F.col(hi)) / 2).cast("int")))
-        leaf = (F.col("parts") <= 1) | (F.col("r1") - F.col("r0") <= 1) | (F.col("c1") - F.col("c0") <= 1)
-        out = out.withColumn("_leaf", leaf).withColumn("_up", F.col(x) >= F.col("_cut"))
-        half = F.floor(F.col("parts") / 2).cast("int")
-        out = out.select(
-            *loads.columns,
-            F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.when(F.col("_up"), "1").otherwise("0"))).alias("path"),
-            F.when(F.col("_leaf"), 1).when(F.col("_up"), F.col("parts") - half).otherwise(half).alias("parts"),
-            *[
-                F.when(~F.col("_leaf") & F.col("_up"), F.col("_cut")).otherwise(F.col(e)).alias(e) if e == lo else F.when(~F.col("_leaf") & ~F.col("_up"), F.col("_cut")).otherwise(F.col(e)).alias(e) if e == hi else F.col(e)
-                for e in ("r0", "r1", "c0", "c1")
-            ],
-        )
+        ends = ("r0", "r1") if depth % 2 == 0 else ("c0", "c1")
+
+        boxes = F.flatten(F.transform(boxes, next_level(*ends)))
         depth += 1
-    return out
+    found = grids.select(*by, "sums", boxes.alias("boxes"))
+    loaded = F.transform("boxes", lambda b: b.withField("load", load(b["r0"], b["r1"], b["c0"], b["c1"]).cast("long")))
+    one = found.select(*by, F.posexplode(loaded).alias("leaf", "b"))
+    return one.select(*by, "leaf", "b.path", "b.r0", "b.r1", "b.c0", "b.c1", "b.load")
 
 
-def leaves(split: DataFrame, by: list[str]) -> DataFrame:
-    """One row a rectangle: by, leaf (in preorder), its bounds and its load."""
-    one = split.groupBy(*by, "path", "r0", "r1", "c0", "c1").agg(F.sum("load").cast("long").alias("load"))
-    return one.select(*by, (F.dense_rank().over(W.partitionBy(*by).orderBy("path")) - 1).cast("int").alias("leaf"), "r0", "r1", "c0", "c1", "load")
+def kd_split(loads: DataFrame, n: int | str, size: int, by: list[str]) -> DataFrame:
+    """loads with leaf, path, r0, r1, c0, c1 of the rectangle of each cell, met line by line."""
+    lines = kd_rectangles(loads, n, size, by).drop("load").withColumn("r", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)))
+    met = loads.join(lines, [*by, "r"]).where((F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1")))
+    return met.select(*loads.columns, "leaf", "path", "r0", "r1", "c0", "c1")
 
 
 def strip_edges(loads: DataFrame, n: int, by: list[str], axis: str = "r", size: int = 64) -> DataFrame:

@@ -80,7 +80,13 @@ def _directional(rows: DataFrame) -> DataFrame:
 
 
 # Fuel codes of the 40-model system with their code of 13; all others are 99.
-CROSSWALK = {91: 91, 92: 92, 93: 93, 98: 98, 99: 99, 101: 1, 102: 1, **dict.fromkeys(range(103, 110), 3), 121: 1, **dict.fromkeys((122, 123, 124), 2), 141: 5, 142: 5, **dict.fromkeys(range(143, 149), 6), 149: 4, **dict.fromkeys((161, 162, 163), 8), 164: 10, 165: 10, **dict.fromkeys((181, 182, 183, 187), 8), **dict.fromkeys((184, 185, 186, 188, 189), 9), 201: 11, 202: 11, 203: 12, 204: 13}
+CROSSWALK = {
+    91: 91, 92: 92, 93: 93, 98: 98, 99: 99, 101: 1, 102: 1, 103: 3, 104: 3,
+    105: 3, 106: 3, 107: 3, 108: 3, 109: 3, 121: 1, 122: 2, 123: 2, 124: 2,
+    141: 5, 142: 5, 143: 6, 144: 6, 145: 6, 146: 6, 147: 6, 148: 6, 149: 4,
+    161: 8, 162: 8, 163: 8, 164: 10, 165: 10, 181: 8, 182: 8, 183: 8, 184: 9,
+    185: 9, 186: 9, 187: 8, 188: 9, 189: 9, 201: 11, 202: 11, 203: 12, 204: 13,
+}
 
 
 @query("fbfm40_crosswalk", f"{SQL_CELLS}, x(a, b) AS (VALUES {', '.join(map(str, CROSSWALK.items()))}) SELECT coalesce(b, 99) AS fuel13, count(*) AS n, count(DISTINCT 90 + q % 120) AS codes FROM cells LEFT JOIN x ON a = 90 + q % 120 GROUP BY ALL")
@@ -248,13 +254,13 @@ for _n in (2, 3, 4, 8, 16, 32):
 
     @query(f"kd_leaves_{_n}", f"{_SQL_LOADS}, {partition.sql_kd(_n, SIZE, 'ld')} {_SQL_LEAVES}")
     def kd_leaves(spark, sf_dir: str, n: int = _n) -> DataFrame:
-        return partition.leaves(partition.kd_split(_loads(spark, sf_dir), n, SIZE, ["scenario"]), ["scenario"])
+        return partition.kd_rectangles(_loads(spark, sf_dir), n, SIZE, ["scenario"]).drop("path")
 
 
 @query("partition_map", f"{_SQL_LOADS}, {partition.sql_kd(8, SIZE, 'ld')} SELECT scenario, r, c, CAST(dense_rank() OVER (PARTITION BY scenario ORDER BY path) - 1 AS INTEGER) AS partition_id FROM kd")
 def partition_map(spark, sf_dir: str) -> DataFrame:
     split = partition.kd_split(_loads(spark, sf_dir), 8, SIZE, ["scenario"])
-    return split.select("scenario", "r", "c", (F.dense_rank().over(W.partitionBy("scenario").orderBy("path")) - 1).cast("int").alias("partition_id"))
+    return split.select("scenario", "r", "c", F.col("leaf").alias("partition_id"))
 
 
 @query("band_split", f"{_SQL_LOADS} SELECT scenario, CAST(floor(r / 8e0) AS INTEGER) AS band, CAST(sum(load) AS BIGINT) AS load FROM ld GROUP BY ALL")
@@ -264,7 +270,7 @@ def band_split(spark, sf_dir: str) -> DataFrame:
 
 @query("imbalance_ratio", f"{_SQL_LOADS}, {partition.sql_kd(8, SIZE, 'ld')}, p AS (SELECT scenario, path, sum(load) AS load FROM kd GROUP BY ALL) SELECT scenario, CAST(min(load) AS BIGINT) AS lo, CAST(max(load) AS BIGINT) AS hi, round(avg(load), 6) AS mean, round(max(load) / CASE WHEN min(load) > 0 THEN min(load) ELSE 1e0 END, 8) AS imbalance FROM p GROUP BY ALL")
 def imbalance_ratio(spark, sf_dir: str) -> DataFrame:
-    p = partition.leaves(partition.kd_split(_loads(spark, sf_dir), 8, SIZE, ["scenario"]), ["scenario"])
+    p = partition.kd_rectangles(_loads(spark, sf_dir), 8, SIZE, ["scenario"])
     return p.groupBy("scenario").agg(F.min("load").alias("lo"), F.max("load").alias("hi"), F.round(F.avg("load"), 6).alias("mean"), F.round(F.max("load") / F.when(F.min("load") > 0, F.min("load")).otherwise(1), 8).alias("imbalance"))
 
 

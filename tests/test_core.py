@@ -2,6 +2,7 @@
 
 import heapq
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ LEAVES = [
 @pytest.mark.parametrize("load, n, want", LEAVES)
 def test_golden_leaves(spark, load, n, want):
     grid = spark.createDataFrame([(1, r, c, load(r, c)) for r in range(4) for c in range(4)], "scenario int, r int, c int, load long")
-    got = partition.leaves(partition.kd_split(grid, n, 4, ["scenario"]), ["scenario"]).orderBy("leaf").collect()
+    got = partition.kd_rectangles(grid, n, 4, ["scenario"]).orderBy("leaf").collect()
     assert [(x.r0, x.r1, x.c0, x.c1, x.load) for x in got] == want
 
 
@@ -64,3 +65,38 @@ def test_relaxation_is_dijkstra(spark, small):
 def test_grid_is_dense(spark, small):
     n = cells(spark, small).groupBy("scenario").count().collect()
     assert len(n) == 7 and all(r["count"] == 64 * 64 for r in n)
+
+
+def by_recursion(load, n, r0, r1, c0, c1, depth=0):
+    """Rectangles in preorder, cut where the running load of lines first reaches half."""
+    if n <= 1 or r1 - r0 <= 1 or c1 - c0 <= 1:
+        return [(r0, r1, c0, c1, int(load[r0:r1, c0:c1].sum()))]
+    lines = load[r0:r1, c0:c1].sum(1 - depth % 2)
+    lo, hi = (r0, r1) if depth % 2 == 0 else (c0, c1)
+    run, cut = 0, (lo + hi) // 2
+    for k in range(lo, hi - 1):
+        run += lines[k - lo]
+        if 2 * run >= lines.sum():
+            cut = k + 1
+            break
+    low, high = ((r0, cut, c0, c1), (cut, r1, c0, c1)) if depth % 2 == 0 else ((r0, r1, c0, cut), (r0, r1, cut, c1))
+    return by_recursion(load, n // 2, *low, depth + 1) + by_recursion(load, n - n // 2, *high, depth + 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 16, 32])
+def test_rectangles_by_recursion(spark, n):
+    rng = np.random.default_rng(n)
+    grids = {0: rng.integers(0, 9, (12, 12)), 1: np.zeros((12, 12), int), 2: (rng.uniform(size=(12, 12)) < 0.03) * 50, 3: np.eye(12, dtype=int)}
+    rows = [(g, r, c, int(v)) for g, grid in grids.items() for (r, c), v in np.ndenumerate(grid)]
+    loads = spark.createDataFrame(rows, "g int, r int, c int, load long")
+    got = partition.kd_rectangles(loads, n, 12, ["g"]).collect()
+    split = partition.kd_split(loads, n, 12, ["g"])
+    for g, grid in grids.items():
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.leaf)
+        assert [(r.r0, r.r1, r.c0, r.c1, r.load) for r in own] == by_recursion(grid, n, 0, 12, 0, 12)
+    assert split.count() == len(rows) and split.where("r < r0 or r >= r1 or c < c0 or c >= c1").isEmpty()
+
+
+def test_levels_move_nothing(spark):
+    plan = partition.kd_rectangles(spark.createDataFrame([(0, 0, 0, 1)], "g int, r int, c int, load long"), 32, 64, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
