@@ -2,40 +2,97 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed
 
 
-def flood_fill(mask: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
-    """Cells (by, r, c) of mask that a seed reaches by steps along rows and columns inside it; all of mask where a grid has
-    no seed inside it.
+class _Joined:
+    """Sets of numbers that grow together, each named by its least number."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = x
+        while self.above.get(top, top) != top:
+            top = self.above[top]
+        while self.above.get(x, x) != top:
+            self.above[x], x = top, self.above[x]
+        return top
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.above[max(x, y)] = min(x, y)
+
+
+def _label_tile(table: pa.Table, width: int) -> np.ndarray:
+    """For each cell (r, c) of a tile the least r * width + c of those it touches, step by step: runs of a row, joined to
+    those they touch in the row before."""
+    at = np.asarray(table.column("r")).astype(np.int64) * width + np.asarray(table.column("c"))
+    order = np.argsort(at, kind="stable")
+    sorted_ = at[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (np.diff(sorted_) > 1) | (sorted_[1:] // width != sorted_[:-1] // width)
+    run = np.cumsum(fresh) - 1  # a cell met twice is in its run twice
+    first = sorted_[fresh]
+    up = np.searchsorted(sorted_, sorted_ - width)
+    touches = (up < len(at)) & (sorted_[np.minimum(up, len(at) - 1)] == sorted_ - width)
+    sets = _Joined()
+    for x, y in np.unique(np.stack((run[touches], run[up[touches]]), 1), axis=0).tolist():
+        sets.join(x, y)
+    least = first[[sets.find(k) for k in range(len(first))]] if len(first) else first
+    out = np.empty(len(at), np.int64)
+    out[order] = least[run]
+    return out
+
+
+def components(mask: DataFrame, by: list[str], tile: int = 64, width: int = 1 << 20) -> DataFrame:
+    """Cells (by, r, c) of mask with label, the same for cells that steps along rows and columns inside it connect: the
+    least r * width + c of them. No column may be as large as width; equal cells count once.
 
-    Cells of a row that touch form a run first. Runs of neighbouring rows that touch are linked, and labels (least run of
-    the neighbours, then of the label's own label) go over links until none changes; each turn is checkpointed.
+    Tiles are labelled one by one, each in one task. Labels that face each other across a border between tiles are links
+    of a graph of tiles' labels, which is settled grid by grid: it has as many links as the grid has cells along such
+    borders at most. So cells move twice, however far a region winds.
     """
-    row = W.partitionBy(*by, "r").orderBy("c")
-    runs = mask.select(*by, "r", "c").distinct().withColumn("start", F.col("c") - F.row_number().over(row))
-    first = F.min("c").over(W.partitionBy(*by, "r", "start"))
-    runs = checkpointed(runs.select(*by, "r", "c", F.struct("r", first.alias("c")).alias("run")))
-    below = runs.select(*by, (F.col("r") - 1).alias("r"), "c", F.col("run").alias("other"))
-    links = runs.join(below, [*by, "r", "c"]).select(*by, "run", "other").distinct()
-    links = checkpointed(links.unionByName(links.select(*by, F.col("other").alias("run"), F.col("run").alias("other"))))
-    labels = runs.select(*by, "run", F.col("run").alias("label")).distinct()
-    while True:
-        near = links.join(labels.select(*by, F.col("run").alias("other"), "label"), [*by, "other"]).groupBy(*by, "run").agg(F.min("label").alias("near"))
-        least = labels.join(near, [*by, "run"], "left").withColumn("near", F.least("label", "near"))
-        jump = least.select(*by, F.col("run").alias("near"), F.col("near").alias("far"))
-        new = least.join(jump, [*by, "near"], "left").select(*by, "run", F.least("near", "far").alias("new"), (F.least("near", "far") != F.col("label")).alias("moved"))
-        new = checkpointed(new)
-        labels = new.select(*by, "run", F.col("new").alias("label"))
-        if new.where("moved").isEmpty():
-            break
-    cells = runs.join(labels, [*by, "run"])
-    hit = cells.join(seeds.select(*by, "r", "c").distinct(), [*by, "r", "c"], "left_semi")
-    filled = cells.join(hit.select(*by, "label").distinct(), [*by, "label"], "left_semi")
+    cells = mask.select(*by, "r", "c").distinct()
+    tiled = cells.withColumns({"_tr": F.floor(F.col("r") / tile), "_tc": F.floor(F.col("c") / tile)})
+    kinds = T.StructType([*(cells.schema[c] for c in (*by, "r", "c")), T.StructField("label", T.LongType())])
+
+    def label(table: pa.Table) -> pa.Table:
+        return table.select([*by, "r", "c"]).append_column("label", pa.array(_label_tile(table, width)))
+
+    labelled = checkpointed(tiled.groupBy(*by, "_tr", "_tc").applyInArrow(label, kinds))
+    sides = []
+    for x in ("r", "c"):
+        near = labelled.where(F.pmod(F.col(x), F.lit(tile)) == tile - 1).select(*by, "r", "c", F.col("label").alias("a"))
+        far = labelled.where(F.pmod(F.col(x), F.lit(tile)) == 0).withColumn(x, (F.col(x) - 1).cast(labelled.schema[x].dataType)).select(*by, "r", "c", F.col("label").alias("b"))
+        sides.append(near.join(far, [*by, "r", "c"]).select(*by, "a", "b"))
+    links = sides[0].unionByName(sides[1]).distinct()
+
+    def settle(table: pa.Table) -> pa.Table:
+        sets = _Joined()
+        pairs = list(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
+        for x, y in pairs:
+            sets.join(x, y)
+        names = sorted({x for pair in pairs for x in pair})
+        keys = {c: table.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(names))) for c in by}
+        return pa.table(keys | {"label": pa.array(names, pa.int64()), "least": pa.array([sets.find(x) for x in names], pa.int64())})
+
+    settled = links.groupBy(*by).applyInArrow(settle, T.StructType([*(cells.schema[c] for c in by), *(T.StructField(c, T.LongType()) for c in ("label", "least"))]))
+    return labelled.join(settled, [*by, "label"], "left").select(*by, "r", "c", F.coalesce("least", "label").alias("label"))
+
+
+def flood_fill(mask: DataFrame, seeds: DataFrame, by: list[str], tile: int = 64) -> DataFrame:
+    """Cells (by, r, c) of mask that a seed reaches by steps along rows and columns inside it; all of mask where a grid has
+    no seed inside it."""
+    cells = components(mask, by, tile)
+    hit = checkpointed(cells.join(seeds.select(*by, "r", "c").distinct(), [*by, "r", "c"], "left_semi").select(*by, "label").distinct())
+    filled = cells.join(hit, [*by, "label"], "left_semi")
     empty = cells.join(hit.select(*by).distinct(), by, "left_anti")
     return filled.unionByName(empty).select(*by, "r", "c")
 

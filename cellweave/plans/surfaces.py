@@ -1,5 +1,5 @@
 """Queries over documents as features, places and cells of a growing grid: paged reads, mosaics of tiles, rectangles,
-projections."""
+projections, regions, seeded weather, files that are written once."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import projection
+from ..functions import projection, seeded
+from ..grid import SQL_CELLS, burnable, cells
 from ..lattice import SIDE, SQL_LATTICE, document_cells
+from ..operators import partition, regions, spread
 from ..operators.spatial import range_join
 from ..session import shared_folder
-from ..sources import paged, rasters
+from ..sources import paged, rasters, restartable
 from .core import query
 
 STEP, GAP, ACROSS = 30, 12, 8
@@ -147,3 +149,52 @@ def utm_places(spark, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", "lon0", projection.transverse_mercator(lon, lat, lon0).alias("m"))
     rows = rows.select("doc_id", "lon0", "m.x", "m.y", projection.transverse_mercator_inverse(F.col("m.x"), F.col("m.y"), lon0).alias("g"))
     return rows.select("doc_id", "lon0", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("g.lon", 8).alias("lon"), F.round("g.lat", 8).alias("lat"))
+
+
+_WEATHER = ", ".join(f"('{n}', CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for n, lo, hi in seeded.WEATHER)
+
+
+@query("scenario_weather", f"{SQL_LATTICE}, w(parameter, lo, hi) AS (VALUES {_WEATHER}), d AS (SELECT scenario, parameter, lo, hi, CAST('0x' || substr(md5('7:' || CAST(scenario AS VARCHAR) || ':' || parameter), 1, 8) AS BIGINT) AS drawn FROM (SELECT DISTINCT scenario FROM lattice), w) SELECT scenario, parameter, drawn, round(lo + (hi - lo) * (drawn / 4294967296e0), 9) AS value FROM d")
+def scenario_weather(spark, sf_dir: str) -> DataFrame:
+    """Constants of each scenario, from its number and a seed."""
+    table = F.array(*[F.struct(F.lit(n).alias("parameter"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in seeded.WEATHER])
+    rows = document_cells(spark, sf_dir).select("scenario").distinct().select("scenario", F.inline(table))
+    key, stream = F.col("scenario"), F.col("parameter")
+    return rows.select("scenario", "parameter", seeded.drawn(7, key, stream).alias("drawn"), F.round(seeded.uniform(7, key, stream, F.col("lo"), F.col("hi")), 9).alias("value"))
+
+
+def _sql_fill(ctes: str, mask: str, seeds: str) -> str:
+    steps = "SELECT scenario, r + dr AS r, c + dc AS c FROM f, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(dr, dc)"
+    filled = f"f AS (SELECT scenario, r, c FROM m JOIN s USING (scenario, r, c) UNION SELECT m.scenario, m.r, m.c FROM ({steps}) g JOIN m USING (scenario, r, c))"
+    return f"{ctes.replace('WITH ', 'WITH RECURSIVE ', 1)}, m AS ({mask}), s AS ({seeds}), {filled} SELECT scenario, r, c FROM f UNION ALL SELECT scenario, r, c FROM m WHERE scenario NOT IN (SELECT scenario FROM f)"
+
+
+@query("flood_fill_documents", _sql_fill(SQL_LATTICE, "SELECT scenario, r, c FROM lattice WHERE fuel BETWEEN 1 AND 13", "SELECT scenario, r, c FROM lattice WHERE q % 50 = 7"))
+def flood_fill_documents(spark, sf_dir: str) -> DataFrame:
+    """Cells that burn and that a cell with a certain quantity reaches, over the growing grid, in tiles of an odd size."""
+    rows = document_cells(spark, sf_dir)
+    return regions.flood_fill(rows.where(burnable(F.col("fuel"))), rows.where(F.col("q") % 50 == 7), ["scenario"], 6)
+
+
+@query("flood_fill", _sql_fill(SQL_CELLS, "SELECT scenario, r, c FROM cells WHERE fuel BETWEEN 1 AND 13", "SELECT scenario, r, c FROM cells WHERE fuel BETWEEN 1 AND 13 QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY greatest(abs(r - 32), abs(c - 32)), r, c) = 1"))
+def flood_fill(spark, sf_dir: str) -> DataFrame:
+    """Cells that burn and that the one nearest to the middle reaches, over all grids."""
+    rows = cells(spark, sf_dir)
+    return regions.flood_fill(rows.where(burnable(F.col("fuel"))), spread.nearest_burnable(rows), ["scenario"], 16)
+
+
+@query("kd_documents", f"{SQL_LATTICE}, ld AS (SELECT scenario, r, c, q AS load FROM lattice), {partition.sql_kd(8, SIDE, 'ld')} SELECT scenario, CAST(dense_rank() OVER (PARTITION BY scenario ORDER BY path) - 1 AS INTEGER) AS leaf, r0, r1, c0, c1, CAST(sum(load) AS BIGINT) AS load FROM kd GROUP BY scenario, path, r0, r1, c0, c1")
+def kd_documents(spark, sf_dir: str) -> DataFrame:
+    """Balanced rectangles of every scenario of the growing grid."""
+    return partition.kd_rectangles(document_cells(spark, sf_dir).withColumnRenamed("q", "load"), 8, SIDE, ["scenario"]).drop("path")
+
+
+@query("written_once", f"{SQL_LATTICE}, n AS (SELECT count(DISTINCT scenario) AS n FROM lattice) SELECT scenario, count(*) AS n_cells, CAST(sum(q) AS BIGINT) AS load, any_value(n) AS written, 0 AS skipped, 0 AS again_written, any_value(n) AS again_skipped FROM lattice, n GROUP BY scenario")
+def written_once(spark, sf_dir: str) -> DataFrame:
+    """A cube written scenario by scenario, and once more, which writes nothing; the files' own cells."""
+    path, rows = _folder(spark, "cube"), document_cells(spark, sf_dir)
+    first = restartable.write_missing(rows, path, ["scenario"])
+    again = restartable.write_missing(rows, path, ["scenario"])
+    told = [F.lit(v).cast(k).alias(n) for v, k, n in ((first["written"], "long", "written"), (first["skipped"], "int", "skipped"), (again["written"], "int", "again_written"), (again["skipped"], "long", "again_skipped"))]
+    back = spark.read.parquet(path).groupBy(F.col("scenario").cast("long").alias("scenario")).agg(F.count("*").alias("n_cells"), F.sum("q").cast("long").alias("load"))
+    return back.select("*", *told)
