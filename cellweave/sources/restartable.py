@@ -62,7 +62,8 @@ def write_missing(rows: DataFrame, path: str, by: list[str]) -> dict[str, int]:
 def scan_files(wanted: DataFrame, key: str, folder: str, pattern: str, name: str, decode: Callable[[bytes], Iterator[dict]], schema: str) -> tuple[DataFrame, Observation]:
     """The rows that decode makes of the content of each file that `wanted` names, and an observation of counts.
 
-    name: an expression over `file` that gives the key in its path. A key without a file is missing, one whose content
+    name: an expression over `file` that gives the key in its path. A key without a file, or with an empty one, which
+    Spark does not list, is missing, one whose content
     decode refuses by an exception has failed: both are left out and counted. After any one action on the whole result
     the observation has n_wanted, n_missing, n_failed and n_read, files each, and n_rows. The result has the key and the
     columns of `schema`.
