@@ -53,7 +53,7 @@ def reported_times(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", features.reported_number(said).alias("seconds"))
 
 
-@query("spread_table_rate", f"{SQL_CELLS}, t AS (SELECT scenario, r, c, slope, (q % 120) / 1e2 AS f, [0.02e0, 0.05e0, 0.15e0, 0.12e0, 0.08e0, 0.10e0, 0.08e0, 0.03e0, 0.04e0, 0.06e0, 0.05e0, 0.10e0, 0.20e0] AS k FROM cells) SELECT scenario, r, c, round(CASE WHEN f < 0.001e0 THEN 0e0 ELSE k[greatest(1, least(13, CAST(floor(f * 12) AS INTEGER) + 1))] * (1 + 0.4e0 * (5e0 / 10) + 0.1e0 * (slope / 1e2)) END, 8) AS rate, fuel IN (0, 91, 92, 93, 98, 99) AS never FROM t JOIN cells USING (scenario, r, c)".replace("slope / 1e2)) END", "t.slope / 1e2)) END"))
+@query("spread_table_rate", f"{SQL_CELLS}, t AS (SELECT scenario, r, c, slope, fuel, (q % 120) / 1e2 AS f, [0.02e0, 0.05e0, 0.15e0, 0.12e0, 0.08e0, 0.10e0, 0.08e0, 0.03e0, 0.04e0, 0.06e0, 0.05e0, 0.10e0, 0.20e0] AS k FROM cells) SELECT scenario, r, c, round(CASE WHEN f < 0.001e0 THEN 0e0 ELSE k[greatest(1, least(13, CAST(floor(f * 12) AS INTEGER) + 1))] * (1 + 0.4e0 * (5e0 / 10) + 0.1e0 * (slope / 1e2)) END, 8) AS rate, fuel IN (0, 91, 92, 93, 98, 99) AS never FROM t")
 def spread_table_rate(spark, sf_dir: str) -> DataFrame:
     rate = features.table_rate(F.col("q") % 120 / 100.0, F.col("slope").cast("double"), F.lit(5.0))
     return cells(spark, sf_dir).select("scenario", "r", "c", F.round(rate, 8).alias("rate"), F.col("fuel").isin(0, 91, 92, 93, 98, 99).alias("never"))
