@@ -5,9 +5,11 @@ row are its place in a cube; rows are sorted by the cube's Hilbert index and the
 of rows, a shard each. Neighbours on the curve are neighbours in every column, so a shard spans few values of each.
 
 Defined results: nulls of a column are its least value; a column with one value adds nothing; equal values always share a
-cell, so a frequent value fills several cells' share alone; rows of one cell follow each other by `ties` (copies of a
-text, where these begin with its hash) and then in any order, which only rows equal in all of `ties` can tell; repeated
-rows are rows of their own; fewer rows than shards leave shards empty; an empty table gives an empty table; columns named
+cell, so a frequent value fills several cells' share alone; rows that agree in all of `together` (copies of a text, where
+these are its hash and size) take the place of the least of their values in each column and follow each other, so that a
+group is in one shard or, where a cut falls into it, in neighbours; rows of one cell follow each other by `together`, then
+`ties`, then in any order, which only rows equal in all of these can tell; repeated rows are rows of their own; fewer rows
+than shards leave shards empty; an empty table gives an empty table; columns named
 like results (curve, shard, slot) are replaced, all others kept; a null text counts as empty.
 """
 
@@ -76,16 +78,28 @@ def cell_of(column: Column, edges: list[tuple[object, int]]) -> Column:
     return steps
 
 
-def hilbert_shards(rows: DataFrame, dims: list[str], shards: int = SHARDS, bits: int = BITS, ties: tuple[str, ...] = ()) -> DataFrame:
+def _least_of_groups(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """rows with the least value of each of columns ({new: old}) among the rows that agree in keys. Groups are counted
+    first; those of one row, most of them, are not joined."""
+    least = rows.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.count("*").alias("n"), *[F.min(old).alias(f"m_{new}") for new, old in columns.items()]).where("n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    met = rows.join(least, same, "left")
+    # A group without any value of a column has no least one, nor have its rows.
+    return met.select(*rows.columns, *[F.coalesce(F.col(f"m_{new}"), F.col(old)).alias(new) for new, old in columns.items()])
+
+
+def hilbert_shards(rows: DataFrame, dims: list[str], shards: int = SHARDS, bits: int = BITS, ties: tuple[str, ...] = (), together: tuple[str, ...] = ()) -> DataFrame:
     """rows with curve (the Hilbert index), shard (0 to shards - 1) and slot (the place in the shard, from 0)."""
     if not 2 <= len(dims) <= MOST_DIMS:
         raise ValueError(f"a curve takes 2 to {MOST_DIMS} columns")
     names = [f"c{k}" for k in range(len(rows.columns))]
     own = dict(zip(rows.columns, names, strict=True))
     base = rows.toDF(*names)
-    cells = [cell_of(F.col(own[d]), cell_edges(base, own[d], 1 << bits)) for d in dims]
-    placed = base.withColumn("_curve", curve_index(cells, bits))
-    order = [F.col("_curve").asc(), *[F.col(own[t]).asc_nulls_last() for t in ties]]
+    placed_by = {f"d{k}": own[d] for k, d in enumerate(dims)}
+    base = keep(_least_of_groups(base, [own[t] for t in together], placed_by), "grouped") if together else base.withColumns({n: F.col(c) for n, c in placed_by.items()})
+    cells = [cell_of(F.col(n), cell_edges(base, n, 1 << bits)) for n in placed_by]
+    placed = base.withColumn("_curve", curve_index(cells, bits)).drop(*placed_by)
+    order = [F.col("_curve").asc(), *[F.col(own[t]).asc_nulls_last() for t in (*together, *ties)]]
     total = base.count()
     at = ranked(placed, order, "_at").withColumn("_shard", F.expr(f"_at * {shards} div {max(total, 1)}").cast("int"))
     # The first row of shard k is the least that is not under k * total / shards, so that counts are one apart at most.
@@ -107,11 +121,11 @@ def shard_bounds(sharded: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def op13_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
-    """Documents along a curve through source, language and size; copies of a text lie side by side within a cell."""
+    """Documents along a curve through source, language and size; copies of a text lie side by side, whatever their source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    narrow = keep(docs.select("doc_id", "source", "lang", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32")), "sized")
-    sharded = hilbert_shards(narrow, ["source", "lang", "size"], ties=("text_crc32", "size", "doc_id"))
+    narrow = keep(docs.select("doc_id", "source", "lang", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("text_hash")), "sized")
+    sharded = hilbert_shards(narrow, ["source", "lang", "size"], ties=("doc_id",), together=("text_crc32", "size", "text_hash"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

@@ -24,8 +24,14 @@ def cell(values, v, cells=16):
     return 0 if v is None else cells * sum(x is None or x < v for x in values) // len(values)
 
 
-def by_hand(rows, dims, ties, shards):
+def by_hand(rows, dims, ties, shards, together=()):
     """The row numbers of each shard in order, from a recursive walk through the curve's cube."""
+    groups = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[tuple(r[t] for t in together) if together else k].append(r)
+    least = {g: {d: min((r[d] for r in own if r[d] is not None), default=None) for d in dims} for g, own in groups.items()}
+    rows = [{**r, **least[tuple(r[t] for t in together) if together else k]} for k, r in enumerate(rows)]
+    ties = [*together, *ties]
     columns = [[r[d] for r in rows] for d in dims]
     own = [collections.Counter(c) for c in columns]
     least = [dict(zip(c, (cell(values, v) for v in c), strict=True)) for c, values in zip(own, columns, strict=True)]
@@ -46,9 +52,14 @@ def by_hand(rows, dims, ties, shards):
 def test_query_against_sort(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet").collect()
     rows = [{"doc_id": r.doc_id, "source": r.source, "lang": r.lang, "size": len((r.text or "").encode()) + 8, "crc": zlib.crc32((r.text or "").encode())} for r in docs]
-    want = {rows[k]["doc_id"]: (rows[k]["size"], rows[k]["crc"], "rows", s, slot, None) for s, own in enumerate(by_hand(rows, ["source", "lang", "size"], ["crc", "size", "doc_id"], 24)) for slot, k in enumerate(own)}
+    want = {rows[k]["doc_id"]: (rows[k]["size"], rows[k]["crc"], "rows", s, slot, None) for s, own in enumerate(by_hand(rows, ["source", "lang", "size"], ["doc_id"], 24, ("crc", "size"))) for slot, k in enumerate(own)}
     got = sharding.op13_hilbert_sharding(spark, medium).collect()
     assert {r.doc_id: tuple(r)[1:7] for r in got} == want and len(got) == len(docs)
+    shards_of = collections.defaultdict(set)
+    for r in got:
+        shards_of[r.text_crc32, r.size].add(r.shard)
+    split = [s for s in shards_of.values() if len(s) > 1]
+    assert len(split) <= 23 and all(max(s) - min(s) == len(s) - 1 for s in split)  # copies are apart only where a cut falls among them
 
 
 def test_edges(spark):
@@ -67,6 +78,17 @@ def test_edges(spark):
         sharding.hilbert_shards(table, ["x"])
 
 
+def test_groups_stay_together(spark):
+    """Copies with other sources, nulls in keys and in columns, a group of a third of all rows."""
+    rows = [(k, f"text{k % 40}" if k % 3 else "hot", None if k % 7 == 0 else f"s{k % 11}", k % 5) for k in range(600)] + [(1000 + k, None, f"s{k}", None) for k in range(9)]
+    table = spark.createDataFrame(rows, "id long, text string, source string, size int")
+    got = sharding.hilbert_shards(table, ["source", "size"], shards=30, ties=("id",), together=("text",)).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    order = [r.text for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert sum(a != b for a, b in zip(order, order[1:], strict=False)) == len({r[1] for r in rows}) - 1
+
+
 def test_readers_skip_shards_by_every_column(spark, tmp_path):
     rows = spark.range(6000).select("id", *[F.pmod(F.xxhash64("id", F.lit(d)), F.lit(1000)).alias(d) for d in "abc"])
     sharded = sharding.hilbert_shards(rows, ["a", "b", "c"], shards=64)
