@@ -80,15 +80,16 @@ def format_trees(nodes: DataFrame, branches: int | None = None, loss_role: str =
 
     loss_spans are the code point offsets in formatted of the texts of loss_role, in order.
     """
-    paths = root_to_leaf_paths(nodes).join(nodes, ["conv", "node"])
-    scores = paths.groupBy("conv", "leaf").agg(F.sum("score").alias("total"))
+    paths = root_to_leaf_paths(nodes)
+    # Branches are ranked on ids and scores; texts meet the chosen ones alone.
+    scores = paths.join(nodes.select("conv", "node", "score"), ["conv", "node"]).groupBy("conv", "leaf").agg(F.sum("score").alias("total"))
     scores = scores.withColumn("rank", F.row_number().over(W.partitionBy("conv").orderBy(F.desc("total"), "leaf")))
     if branches is not None:
         scores = scores.where(F.col("rank") <= branches)
     head = F.concat(F.lit(START), escape(F.col("role"), role=True), F.lit("\n"))
     body = escape(F.col("text"))
     turn = F.struct((-F.col("steps")).alias("at"), F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("head"), F.char_length(body).alias("body"), (F.col("role") == loss_role).alias("loss"))
-    rows = paths.join(scores.select("conv", "leaf", "rank"), ["conv", "leaf"])
+    rows = paths.join(scores.select("conv", "leaf", "rank"), ["conv", "leaf"]).join(nodes.drop("score"), ["conv", "node"])
     # Pieces of runs of CHUNK turns first, then those of a path.
     runs = rows.groupBy("conv", "leaf", "rank", F.floor(F.col("steps") / CHUNK).alias("run")).agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
