@@ -5,7 +5,8 @@ its cell in some random-hyperplane partitions of its label. Rounds then join, at
 that it names, and keep each node's K best. A node whose whole list reaches the threshold is saturated, and links beyond
 its K best may be cut. Its list then grows twofold a round, up to LONGER times. A group compares its saturated nodes for links between the parts that their lists leave
 apart, links that join parts of the graph outlive the cut, and saturated nodes meet again in partitions of their own
-until no turn joins more. The components that the links span are compared in full, in blocks. An audit compares a
+until no turn joins more. Links are counted within the components that they span, by blocks: most pairs of blocks by the
+angles between them, the rest vector by vector. An audit compares a
 bounded number of nodes, chosen by hash, with all vectors; while it finds less than the wanted share of their links,
 further rounds follow, then a warning, and an error where it finds less than LEAST_RECALL.
 
@@ -195,21 +196,66 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold
     return _best_in_groups(rows.join(nodes.select("node", "v"), "node"), "group", k, threshold)
 
 
-def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): for each node of a component the vectors of other nodes of it that reach the threshold, by blocks.
+def _codes(rows: DataFrame) -> DataFrame:
+    """rows (component, node, v, count, n) with code, the sides of 16 random planes on which a vector lies."""
 
-    A component is cut into blocks of BLOCK nodes; every block meets every other one of its component in a group of
-    its own, which returns counts only, so that no list or task holds a whole component.
-    """
-    rows = nodes.join(labels, "node")
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # Block i as the left side of (i, j) for all j, and as the right side of (j, i) for all j.
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    left = rows.select("component", "node", "v", "count", F.col("block").alias("i"), every, F.lit(True).alias("left")).withColumnRenamed("other", "j")
-    right = rows.where("blocks > 1").select("component", "node", "v", "count", F.col("block").alias("j"), every, F.lit(False).alias("left")).withColumnRenamed("other", "i").where("i <> j")
-    both = left.unionByName(right.select(*left.columns)).withColumn("group", F.xxhash64("component", "i", "j"))
-    both = both.repartition(partitions(nodes.sparkSession), "group").sortWithinPartitions("group").select("group", "node", "v", "count", "left", (F.col("i") == F.col("j")).alias("same"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, dim = np.zeros(b.num_rows, np.int64), np.diff(np.asarray(b.column("v").offsets))
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                planes = np.random.default_rng([7, d]).standard_normal((d, 16))
+                code[at] = (_matrix(b.column("v").take(pa.array(at))) @ planes > 0) @ (1 << np.arange(16))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code)], [*b.schema.names, "code"])
+
+    return rows.mapInArrow(run, "component long, node long, v array<double>, count long, n long, code long")
+
+
+def _cones(blocked: DataFrame) -> DataFrame:
+    """(component, block, total, radius, centre): a block's rows, counted, lie within that angle of its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "block"):
+            x = _matrix(table.column("v"))
+            middle = x.mean(0)
+            middle = middle / np.linalg.norm(middle) if np.linalg.norm(middle) > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip((x @ middle).min(), -1, 1)))
+            keys = [table.column(c).slice(0, 1).combine_chunks() for c in ("component", "block")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([int(np.asarray(table.column("count")).sum())]), pa.array([radius]), pa.array([middle.tolist()])], ["component", "block", "total", "radius", "centre"])
+
+    rows = blocked.repartition(partitions(blocked.sparkSession), "block").sortWithinPartitions("block").select("component", "block", "v", "count")
+    return rows.mapInArrow(run, "component long, block long, total long, radius double, centre array<double>")
+
+
+def _judged(cones: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, total_a, total_b, all): pairs of blocks of a component, a <= b, whose vectors all link, or of which only a
+    comparison can tell; those of which none can link are left out. Blocks of a component meet in groups of 64 by all."""
+    salts = cones.groupBy("component").agg(F.ceil(F.count("*") / 64).alias("salts"))
+    rows = cones.join(salts, "component")
+    left = rows.select("component", F.pmod("block", F.col("salts")).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("block", "total", "radius", "centre")])
+    right = rows.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("block", "total", "radius", "centre")])
+    names = ["block_a", "block_b", "total_a", "total_b", "radius_a", "radius_b", "centre_a", "centre_b"]
+    margin, limit = 1e-6, float(np.arccos(threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.asarray(b.column(k).flatten(), float).reshape(b.num_rows, -1) for k in (6, 7))
+            angle = np.arccos(np.clip((x * y).sum(1), -1, 1))
+            reach = np.asarray(b.column(4)) + np.asarray(b.column(5))
+            surely, open_ = angle + reach <= limit - margin, angle - reach < limit + margin
+            kept = pa.array(open_)
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in [*b.columns[:4], pa.array(surely)]], ["a", "b", "total_a", "total_b", "all"])
+
+    met = left.join(right, ["component", "salt"]).where("block_a <= block_b").select(*names)
+    return met.mapInArrow(run, "a long, b long, total_a long, total_b long, all boolean")
+
+
+def _compared(both: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): the vectors of the other side of a group (group, node, v, count, left, same) that reach the threshold, for
+    each node of the left side; with same, of the other nodes of the left side."""
+    both = both.repartition(partitions(both.sparkSession), "group").sortWithinPartitions("group").select("group", "node", "v", "count", "left", "same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, size = [], [], 0
@@ -223,9 +269,12 @@ def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float)
             hit = (x[own] @ x[other].T >= threshold).astype(np.int64)
             if same[0]:
                 np.fill_diagonal(hit, 0)
-            a.append(node[own])
-            n.append(hit @ count[other])
-            size += len(own)
+                a.append(node[own])
+                n.append(hit @ count[other])
+            else:
+                a += [node[own], node[other]]
+                n += [hit @ count[other], count[own] @ hit]
+            size += len(table)
             if size > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(n))], ["node", "n"])
                 a, n, size = [], [], 0
@@ -234,6 +283,38 @@ def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float)
     return both.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _links_in_components(nodes: DataFrame, labels: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(node, n): for each node of a component the vectors of other nodes of it that reach the threshold.
+
+    A component of at most `block` nodes is compared in one group. A larger one is cut into blocks of vectors on the same
+    sides of some planes; a block has a centre and an angle that holds it, so that most pairs of blocks are decided by
+    three angles: all of them link, which is counted without a look at vectors, or none does. Only what is left is compared,
+    a group for each pair of blocks, which returns counts. A group of near copies, however large, costs its pairs of
+    blocks, and vectors move once.
+    """
+    rows = nodes.join(labels, "node").select("component", "node", "v", "count")
+    rows = keep(rows.join(rows.groupBy("component").agg(F.count("*").alias("n")), "component"), "members")
+    small = rows.where(F.col("n") <= block).select(F.col("component").alias("group"), "node", "v", "count", F.lit(True).alias("left"), F.lit(True).alias("same"))
+    large = rows.where(F.col("n") > block)
+    if large.isEmpty():
+        return _compared(small, threshold)
+    bits = F.least(F.lit(16), F.floor(F.log2(F.col("n") / block))).cast("int")
+    celled = _codes(large.select("component", "node", "v", "count", "n")).withColumn("cell", F.col("code") % F.pow(F.lit(2.0), bits).cast("long"))
+    parts = celled.groupBy("component", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    blocked = celled.join(parts, ["component", "cell"]).withColumn("block", F.xxhash64("component", "cell", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    blocked = keep(blocked.select("component", "node", "v", "count", "block"), "blocked")
+    judged = keep(_judged(keep(_cones(blocked), "cones"), threshold), "judged")
+    sure = judged.where("all")
+    given = sure.select(F.col("a").alias("block"), F.col("total_b").alias("more"), (F.col("a") == F.col("b")).cast("long").alias("own"))
+    given = given.unionByName(sure.where("a <> b").select(F.col("b").alias("block"), F.col("total_a").alias("more"), F.lit(0).cast("long").alias("own")))
+    given = given.groupBy("block").agg(F.sum("more").alias("more"), F.sum("own").alias("own"))
+    open_ = judged.where("not all").select("a", "b", (F.col("a") == F.col("b")).alias("same"), F.xxhash64("a", "b").alias("group"))
+    side = lambda end, left, pairs: pairs.join(blocked.select(F.col("block").alias(end), "node", "v", "count"), end).select("group", "node", "v", "count", F.lit(left).alias("left"), "same")
+    compared = _compared(small.unionByName(side("a", True, open_)).unionByName(side("b", False, open_.where("not same"))), threshold)
+    counted = blocked.select("node", "count", "block").join(given, "block").select("node", (F.col("more") - F.col("own") * F.col("count")).alias("n"))
+    return compared.unionByName(counted).groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
     """The share of the links of AUDIT nodes, compared with all nodes, that were found; half of them are nodes with links, half
     any. 1 where there are none."""

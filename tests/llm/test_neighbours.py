@@ -2,6 +2,9 @@
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 from cellweave.llm import neighbours
 
 
@@ -33,3 +36,31 @@ def test_two_tight_groups_are_one_component(spark):
 
 def test_a_row_of_tight_groups_is_one_component(spark):
     check(spark, tight_groups(5, 30, 0.985))
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_links_by_blocks(spark, block):
+    """Counts of links within components by blocks of any size: a tight group, a row of groups, a cloud, a small one."""
+    rng = np.random.default_rng(2)
+    cloud = rng.standard_normal(64) + 0.12 * rng.standard_normal((90, 64))
+    parts = {1: tight_groups(1, 80, 0.985), 2: tight_groups(4, 20, 0.985, 6), 3: cloud, 4: tight_groups(1, 3, 0.985, 7)}
+    rows, want = [], {}
+    for component, x in parts.items():
+        count = rng.integers(1, 4, len(x))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hit = unit @ unit.T >= 0.98
+        np.fill_diagonal(hit, False)
+        for k in range(len(x)):
+            rows.append((1000 * component + k, x[k].tolist(), int(count[k]), component))
+            want[1000 * component + k] = int(hit[k] @ count)
+    table = spark.createDataFrame(rows, "node long, v array<double>, count long, component long")
+    got = neighbours._links_in_components(table.drop("component"), table.select("node", "component"), 0.98, block)
+    assert {r.node: r.n for r in got.collect() if r.n} == {k: n for k, n in want.items() if n}
+
+
+def test_a_tight_group_is_never_compared(spark):
+    x = tight_groups(1, 200, 0.985)
+    table = spark.createDataFrame([(1, k, v, 1, k // 10) for k, v in enumerate(x.tolist())], "component long, node long, v array<double>, count long, block long")
+    judged = neighbours._judged(neighbours._cones(table), 0.98)
+    assert judged.count() == 20 * 21 // 2 and judged.where("not all").isEmpty()
+    assert judged.agg(F.sum("total_a")).first()[0] == 10 * 210
