@@ -13,7 +13,7 @@ from ..grid import SQL_CELLS, burnable, cells
 from ..lattice import SIDE, SQL_LATTICE, document_cells
 from ..operators import partition, regions, spread
 from ..operators.spatial import range_join
-from ..session import shared_folder
+from ..session import checkpointed, shared_folder
 from ..sources import paged, rasters, restartable
 from .core import query
 
@@ -198,3 +198,21 @@ def written_once(spark, sf_dir: str) -> DataFrame:
     told = [F.lit(v).cast(k).alias(n) for v, k, n in ((first["written"], "long", "written"), (first["skipped"], "int", "skipped"), (again["written"], "int", "again_written"), (again["skipped"], "long", "again_skipped"))]
     back = spark.read.parquet(path).groupBy(F.col("scenario").cast("long").alias("scenario")).agg(F.count("*").alias("n_cells"), F.sum("q").cast("long").alias("load"))
     return back.select("*", *told)
+
+
+@query("scanned_labels", f"{SQL_LATTICE}, n AS (SELECT count(DISTINCT scenario) AS n_wanted, count(DISTINCT scenario) FILTER (WHERE scenario % 5 = 1) AS n_missing FROM lattice) SELECT scenario, count(*) AS n_cells, CAST(sum(q) AS BIGINT) AS load, any_value(n_wanted) AS n_wanted, any_value(n_missing) AS n_missing, any_value(n_wanted - n_missing) AS n_read, CAST(0 AS BIGINT) AS n_failed FROM lattice, n WHERE scenario % 5 <> 1 GROUP BY scenario")
+def scanned_labels(spark, sf_dir: str) -> DataFrame:
+    """Labels of all scenarios from a file each, of which every fifth was never made: their cells, and how many files were
+    read, missing and failed."""
+    rows, folder = document_cells(spark, sf_dir), _folder(spark, "labels")
+    made = rows.where("scenario % 5 <> 1").select(F.col("scenario").cast("string").alias("tile"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(1).alias("step"), "r", "c", F.col("q").alias("v"))
+    rasters.write_tiles(made, folder).agg(F.sum("bytes")).collect()
+
+    def labels(content: bytes):
+        values = rasters.decode_tiff(content)[0]
+        return [{"n_cells": values.size, "load": int(values.sum())}]
+
+    found, counts = restartable.scan_files(rows.select("scenario"), "scenario", folder, "*.tif", "regexp_extract(file, '([^/]+)[.]tif$', 1)", labels, "n_cells long, load long")
+    found = checkpointed(found)
+    told = counts.get
+    return found.select("scenario", "n_cells", "load", *[F.lit(told[c]).cast("long").alias(c) for c in ("n_wanted", "n_missing", "n_read", "n_failed")])
