@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, fields, models, reports, scenarios, surfaces  # noqa: F401  (these add their queries to those of core)
+from .plans import core, fields, files, models, reports, scenarios, surfaces  # noqa: F401  (these add their queries to those of core)
 
 QUERIES = {**core.QUERIES}
 SQL = {**core.SQL}

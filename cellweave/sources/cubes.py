@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,36 @@ def read_cubes(spark: SparkSession, path: str, layers: int, most: int = 4096) ->
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "file string, r int, c int, layers array<float>")
 
 
+def write_cubes(cells: DataFrame, folder: str, layers: list[str]) -> DataFrame:
+    """A binary cube for each scenario of dense cells (scenario, r, c, layers), as read_cubes reads them; one row a file
+    (scenario, bytes). A task that runs again writes the same files again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        for batch in batches:
+            names, sizes = [], []
+            for name, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, cols = max(x["r"] for x in cells) + 1, max(x["c"] for x in cells) + 1
+                values = np.zeros((rows, cols, len(layers)), "<f4")
+                for x in cells:
+                    values[x["r"], x["c"]] = [0 if v is None else v for v in x["v"]]
+                data = np.array(values.shape, "<i4").tobytes() + values.tobytes()
+                with system.open_output_stream(f"{root.rstrip('/')}/{name}.bin") as out:
+                    out.write(data)
+                names.append(name)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["scenario", "bytes"])
+
+    one = F.struct("r", "c", F.array(*[F.col(x).cast("float") for x in layers]).alias("v"))
+    return cells.groupBy(F.col("scenario").cast("string").alias("scenario")).agg(F.collect_list(one).alias("cells")).mapInArrow(write, "scenario string, bytes long")
+
+
+def write_partition_map(split: DataFrame, path: str, mode: str = "error") -> None:
+    """(scenario, r, c, partition_id) as CSV in order of scenario, row and column over the files."""
+    split.select("scenario", "r", "c", "partition_id").orderBy("scenario", "r", "c").write.mode(mode).csv(path, header=True)
+
+
 def write_cube(cells: DataFrame, path: str, by: list[str], mode: str = "error") -> None:
     """Cells as Parquet, partitioned by split and scenario or the like; mode "ignore" leaves what is there."""
     cells.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
