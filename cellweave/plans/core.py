@@ -343,7 +343,17 @@ def toa_rounds(spark, sf_dir: str) -> DataFrame:
     return _arrivals(spark, sf_dir).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
 
 
-@query("toa_fixpoint")
+def sql_fixpoint(ctes: str, edges: str = "e") -> str:
+    """The least times t over the edges, in as many rounds as it takes: a round carries the cells that got earlier."""
+    begin = ctes.replace("WITH ", "WITH RECURSIVE ", 1).replace(f"{edges} AS (", f"{edges} AS MATERIALIZED (", 1)
+    reached = f"SELECT {edges}.scenario, to_r AS r, to_c AS c, min(toa + seconds) AS toa FROM t JOIN {edges} ON {edges}.scenario = t.scenario AND {edges}.r = t.r AND {edges}.c = t.c GROUP BY ALL"
+    return f"{begin}, t(scenario, r, c, toa) USING KEY (scenario, r, c) AS (SELECT scenario, r, c, toa FROM ig UNION SELECT n.* FROM ({reached}) n LEFT JOIN recurring.t AS old ON old.scenario = n.scenario AND old.r = n.r AND old.c = n.c WHERE old.toa IS NULL OR n.toa < old.toa)"
+
+
+_FIXPOINT = sql_fixpoint(_SQL_EDGES)
+
+
+@query("toa_fixpoint", f"{_FIXPOINT} SELECT scenario, r, c, round(toa, 4) AS toa FROM t")
 def toa_fixpoint(spark, sf_dir: str) -> DataFrame:
     rows = _rated(spark, sf_dir)
     return spread.relax(checkpointed(spread.edges(rows, size=SIZE)), _ignition(rows)).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
@@ -369,18 +379,18 @@ def isochrones(spark, sf_dir: str, rounds: int | None = 6) -> DataFrame:
     return _arrivals(spark, sf_dir, rounds).groupBy("scenario", F.floor(F.col("toa") / 60).cast("int").alias("band")).agg(F.count("*").alias("n"))
 
 
-# The reports on final times of all cells that the fire reaches: no SQL, as the number of rounds isn't fixed.
-@query("reached_at_t_fixpoint")
+# The reports on final times of all cells that the fire reaches.
+@query("reached_at_t_fixpoint", SQL["reached_at_t"].replace(_REACHED, _FIXPOINT).replace("FROM t6", "FROM t"))
 def reached_at_t_fixpoint(spark, sf_dir: str) -> DataFrame:
     return reached_at_t(spark, sf_dir, None)
 
 
-@query("downwind_shift_fixpoint")
+@query("downwind_shift_fixpoint", SQL["downwind_shift"].replace(_REACHED, _FIXPOINT).replace("FROM t6", "FROM t"))
 def downwind_shift_fixpoint(spark, sf_dir: str) -> DataFrame:
     return downwind_shift(spark, sf_dir, None)
 
 
-@query("isochrones_fixpoint")
+@query("isochrones_fixpoint", SQL["isochrones"].replace(_REACHED, _FIXPOINT).replace("FROM t6", "FROM t"))
 def isochrones_fixpoint(spark, sf_dir: str) -> DataFrame:
     return isochrones(spark, sf_dir, None)
 

@@ -10,7 +10,7 @@ from ..functions import geo, rates
 from ..grid import SIZE, SQL_CELLS, SQL_FUELS, cells, fuels
 from ..operators import partition, regions, spread
 from ..session import checkpointed
-from .core import _DENSITY, _SQL_EDGES, _SQL_FRONTS, _fronts, _ignition, _rated, query
+from .core import _DENSITY, _SQL_EDGES, _SQL_FRONTS, _fronts, _ignition, _rated, query, sql_fixpoint
 
 _LAND = ", ".join(f"({k}, {v})" for k, v in geo.LANDCOVER.items())
 _CANOPY = ", ".join(str((k, *v)) for k, v in geo.CANOPY.items())
@@ -100,7 +100,7 @@ def toa_pull_4(spark, sf_dir: str, rounds: int | None = 4) -> DataFrame:
     return spread.relax(checkpointed(spread.pull_edges(rows, size=SIZE)), _ignition(rows), rounds).select("scenario", "r", "c", F.round("toa", 4).alias("toa"))
 
 
-@query("toa_pull_fixpoint")
+@query("toa_pull_fixpoint", f"{sql_fixpoint(_SQL_EDGES + _sql_pull(0), 'pe')} SELECT scenario, r, c, round(toa, 4) AS toa FROM t")
 def toa_pull_fixpoint(spark, sf_dir: str) -> DataFrame:
     return toa_pull_4(spark, sf_dir, None)
 
