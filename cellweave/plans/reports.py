@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rates, search
 from ..grid import SQL_FUELS, burnable, fuels
 from ..lattice import SIDE, SQL_LATTICE, document_cells
+from ..operators import regions
 from ..sources.cubes import metric_json
 from .core import _DENSITY, QUERIES, SQL, query
 from .scenarios import _SQL_SWEEP, _sweep
@@ -137,3 +138,69 @@ def online_static_mean(spark, sf_dir: str) -> DataFrame:
 def sweep_json(spark, sf_dir: str) -> DataFrame:
     """Mean relative time by number of parts, as one JSON object a strategy."""
     return metric_json(_sweep(spark, sf_dir), "relative_time")
+
+
+_LONG = "l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS layer, CAST({x} AS DOUBLE) AS v FROM lattice" for x in _LAYERS) + ")"
+
+
+@query("layer_table", f"{SQL_LATTICE}, {_LONG} SELECT layer, count(*) AS n, min(v) AS lo, max(v) AS hi, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(100e0 * count(*) FILTER (WHERE v = 0) / count(*), 6) AS pct_zero, count(DISTINCT v) AS n_unique, max(v) <= 1.0001e0 AS normalized, count(DISTINCT v) <= 1 OR stddev_pop(v) < 1e-9 AS constant FROM l GROUP BY layer")
+def layer_table(spark, sf_dir: str) -> DataFrame:
+    """Statistics and flags of each layer over all cells, in one table. Values are counted first, so that a layer's distinct
+    values, and not its cells, make the statistics."""
+    values = document_cells(spark, sf_dir).select(*[F.col(x).cast("double").alias(x) for x in _LAYERS]).unpivot([], list(_LAYERS), "layer", "v").groupBy("layer", "v").agg(F.count("*").alias("k"))
+    k, v = F.col("k"), F.col("v")
+    sums = values.groupBy("layer").agg(F.sum("k").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(k * v) / F.sum("k")).alias("m"), F.sum(k * v * v).alias("squares"), F.sum(F.when(v == 0, k).otherwise(0)).alias("zeros"), F.count("v").alias("n_unique"))
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - F.col("m") * F.col("m")))
+    return sums.select("layer", "n", "lo", "hi", F.round("m", 6).alias("mean"), F.round(std, 6).alias("std"), F.round(100 * F.col("zeros") / F.col("n"), 6).alias("pct_zero"), "n_unique", (F.col("hi") <= 1.0001).alias("normalized"), ((F.col("n_unique") <= 1) | (std < 1e-9)).alias("constant"))
+
+
+@query("load_targets", f"{SQL_LATTICE}, x AS (SELECT scenario, r, 'time' AS target, q / 1e2 AS load FROM lattice UNION ALL SELECT scenario, r, 'burn', CASE WHEN q > 0 THEN 1e0 ELSE 0e0 END FROM lattice) SELECT scenario, target, round(sum(load), 6) AS load, round(max(load), 6) AS most FROM (SELECT scenario, target, r // 4 AS band, sum(load) AS load FROM x GROUP BY ALL) GROUP BY ALL")
+def load_targets(spark, sf_dir: str) -> DataFrame:
+    """The loads of bands of four rows under either target: a cell's time, or whether it is reached."""
+    q = F.col("q")
+    choices = F.array(F.struct(F.lit("time").alias("target"), (q / 100).alias("load")), F.struct(F.lit("burn").alias("target"), F.when(q > 0, 1.0).otherwise(0.0).alias("load")))
+    bands = document_cells(spark, sf_dir).select("scenario", F.floor(F.col("r") / 4).alias("band"), F.inline(choices)).groupBy("scenario", "target", "band").agg(F.sum("load").alias("load"))
+    return bands.groupBy("scenario", "target").agg(F.round(F.sum("load"), 6).alias("load"), F.round(F.max("load"), 6).alias("most"))
+
+
+@query("first_scenarios", f"{SQL_LATTICE} SELECT scenario, split, n_cells, load FROM (SELECT scenario, CASE WHEN scenario % 4 = 3 THEN 'test' ELSE 'train' END AS split, count(*) AS n_cells, CAST(sum(q) AS BIGINT) AS load FROM lattice GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY split ORDER BY scenario) <= 5")
+def first_scenarios(spark, sf_dir: str) -> DataFrame:
+    """The first five scenarios of each split, by number, with their cells: a top-k of each, before any cell is summed."""
+    cells = document_cells(spark, sf_dir)
+    split = F.when(F.col("scenario") % 4 == 3, "test").otherwise("train")
+    names = cells.select("scenario", split.alias("split")).distinct()
+    first = [names.where(F.col("split") == s).orderBy("scenario").limit(5) for s in ("train", "test")]
+    chosen = first[0].unionByName(first[1])
+    return cells.join(F.broadcast(chosen), "scenario").groupBy("scenario", "split").agg(F.count("*").alias("n_cells"), F.sum("q").cast("long").alias("load"))  # ten rows
+
+
+_RAW = "CASE WHEN q % 7 = 0 THEN -9999 WHEN q % 11 = 0 THEN -9990 ELSE q END"
+
+
+@query("nodata_cells", f"{SQL_LATTICE}, x AS (SELECT scenario, r, c, {_RAW} AS raw FROM lattice) SELECT scenario, r, c, raw, CAST(CASE WHEN raw <= -9990 THEN -9999 ELSE raw END AS BIGINT) AS normalised, CAST(CASE WHEN raw <= -9990 OR raw = 42 THEN 0 ELSE raw END AS BIGINT) AS filled, raw <= -9990 OR raw = 42 AS no_data FROM x")
+def nodata_cells(spark, sf_dir: str) -> DataFrame:
+    """Missing values of a raster, -9990 and less or its own code 42: as one code for files, as 0 for cubes."""
+    raw = F.expr(_RAW)
+    lacks = (raw <= -9990) | (raw == 42)
+    return document_cells(spark, sf_dir).select("scenario", "r", "c", raw.cast("long").alias("raw"), F.when(raw <= -9990, -9999).otherwise(raw).cast("long").alias("normalised"), F.when(lacks, 0).otherwise(raw).cast("long").alias("filled"), lacks.alias("no_data"))
+
+
+_REFLECT = "CASE WHEN {x} < 0 THEN -({x}) WHEN {x} >= " + str(SIDE) + " THEN 2 * " + str(SIDE - 1) + " - ({x}) ELSE {x} END"
+
+
+@query("window_samples", f"""{SQL_LATTICE}, n AS (SELECT avg(fuel) FILTER (WHERE scenario % 4 <> 3) AS m, greatest(stddev_samp(fuel) FILTER (WHERE scenario % 4 <> 3), 1e-6) AS s FROM lattice),
+z AS (SELECT scenario, r, c, (fuel - m) / s AS z FROM lattice, n), o AS (SELECT scenario, r, c, q, a.range AS i, b.range AS j FROM lattice, range(-4, 5) a, range(-4, 5) b),
+t AS (SELECT scenario, r, c, q, i, j, {_REFLECT.format(x="r + i")} AS pr, {_REFLECT.format(x="c + j")} AS pc FROM o)
+SELECT t.scenario, t.r, t.c, CASE WHEN t.scenario % 4 = 3 THEN 'test' ELSE 'train' END AS split, any_value(t.q) / 1e2 AS target, CAST(any_value(t.q) > 0 AS INTEGER) AS burned, round(sum(z * ((i + 4) * 9 + j + 5)), 5) AS weighted, round(min(z), 6) AS lo, round(max(z), 6) AS hi
+FROM t JOIN z ON z.scenario = t.scenario AND z.r = pr AND z.c = pc GROUP BY t.scenario, t.r, t.c""")
+def window_samples(spark, sf_dir: str) -> DataFrame:
+    """A sample for each cell: its split, both targets, and the 9 x 9 window of normalised fuel around it, here as the sum
+    of its values by their place and its ends."""
+    rows = document_cells(spark, sf_dir)
+    own = F.when(F.col("scenario") % 4 != 3, F.col("fuel"))
+    norm = rows.agg(F.avg(own).alias("m"), F.greatest(F.stddev_samp(own), F.lit(1e-6)).alias("s")).first()
+    windows = regions.patches(rows.withColumn("z", (F.col("fuel") - F.lit(norm.m)) / F.lit(norm.s)), 9, SIDE, ["scenario"], "z")
+    weighted = F.aggregate(F.zip_with("patch", F.sequence(F.lit(1), F.lit(81)), lambda z, k: z * k), F.lit(0.0), lambda s, x: s + x)
+    samples = windows.select("scenario", "r", "c", F.round(weighted, 5).alias("weighted"), F.round(F.array_min("patch"), 6).alias("lo"), F.round(F.array_max("patch"), 6).alias("hi"))
+    split = F.when(F.col("scenario") % 4 == 3, "test").otherwise("train")
+    return samples.join(rows.select("scenario", "r", "c", split.alias("split"), (F.col("q") / 100).alias("target"), (F.col("q") > 0).cast("int").alias("burned")), ["scenario", "r", "c"])
