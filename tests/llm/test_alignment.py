@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 import sentencepiece
@@ -74,6 +75,15 @@ def test_groups_themselves(spark):
     assert hashlib.sha256(row.groups.encode()).hexdigest() == row.groups_sha256 and row.groups.count("|") == row.n_groups
 
 
+def test_fast_and_slow_encoders_agree():
+    """Texts of spaces, marks, contractions, digits and letters of many kinds, and every 97th code point."""
+    tools = alignment._tools(open(alignment.BYTE_BPE, "rb").read(), open(alignment.PIECES, "rb").read())
+    rng, pool = random.Random(3), "\t\n\r \xa0\x85\u200b\u2028\u3000\u1680'stLl.1\xb2\u0661Aa\u0301\U0001f600\ufe0f\u200d\u4e00\xe9"
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 24))) for _ in range(2000)]
+    texts += [f"ab{chr(c)}cd {chr(c)}e 1{chr(c)}2  {chr(c)}{chr(c)}" for c in range(0, 0x110000, 97) if not 0xD800 <= c < 0xE000]
+    assert all(tools.encode_a(t) == tools.slow.encode(" " + t, add_special_tokens=False).ids for t in texts)
+
+
 def test_splitter_that_gives_up(plain):
     tools = alignment._tools(open(alignment.BYTE_BPE, "rb").read(), open(alignment.PIECES, "rb").read())
     assert sum(len(tools.a_bytes[0][tools.a_bytes[1][i] :][: tools.a_bytes[2][i]]) for i in tools.encode_a(" " * 1_200_000 + "x")) == 1_200_002
