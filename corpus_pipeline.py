@@ -1,4 +1,10 @@
-"""A corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix. Each stage works on what the one before kept."""
+"""A corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix. Each stage works on what the one before kept.
+
+Defined results: without documents no rows; without labels of both kinds no document is toxic; without a benchmark none
+leaks; a null or empty text is near to nothing and holds no leak, and the mix takes no words of it; of equal texts the one
+with the smallest id stays; null ids, sources and other columns are kept as they are, whatever the columns' names, but for
+mix_words, which the mix gives.
+"""
 
 from __future__ import annotations
 
