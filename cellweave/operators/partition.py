@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-
 
 def kd_rectangles(loads: DataFrame, n: int | str, size: int, by: list[str]) -> DataFrame:
     """(by, leaf, path, r0, r1, c0, c1, load) of balanced rectangles of dense grids of loads (by, r, c, load); n: how many
@@ -19,47 +17,37 @@ def kd_rectangles(loads: DataFrame, n: int | str, size: int, by: list[str]) -> D
     A grid's prefix sums, as many as it has cells, stand in one row. Any rectangle's load is four of them, so all levels
     are one expression on that row, and no level reads cells again or moves anything.
     """
-    parts, most = (F.lit(n), n) if isinstance(n, int) else (F.col(n).cast("int"), 32)
+    parts, most = (str(n), n) if isinstance(n, int) else (f"`{n}`", 32)
     total = F.sum("line").over(W.partitionBy(*by, "c").orderBy("r"))
     lines = loads.withColumn("line", F.sum("load").over(W.partitionBy(*by, "r").orderBy("c")))
     grids = lines.select(*by, F.struct("r", "c", total.alias("sum")).alias("at")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["sum"]).alias("sums"))
+    # As SQL text: the same expression of columns takes thousands of calls from Python to build.
+    ends = ("r0", "r1", "c0", "c1")
 
-    def corner(r: Column, c: Column) -> Column:
-        return F.when((r > 0) & (c > 0), F.get("sums", (r - 1) * size + c - 1)).otherwise(0)
-
-    def load(r0: Column, r1: Column, c0: Column, c1: Column) -> Column:
-        return corner(r1, c1) - corner(r0, c1) - corner(r1, c0) + corner(r0, c0)
-
-    def split(box: Column, lo: str, hi: str) -> Column:
-        def running(line: Column) -> Column:
-            return load(*[line + 1 if e == hi else box[e] for e in ("r0", "r1", "c0", "c1")])
+    def corner(r: str, c: str) -> str:
+        return f"IF({r} > 0 AND {c} > 0, get(sums, ({r} - 1) * {size} + {c} - 1), 0)"
 
-        def halves(cut: Column) -> Column:
-            small = F.floor(box["parts"] / 2).cast("int")
-            of = lambda mark, parts, **ends: F.struct(F.concat(box["path"], F.lit(mark)).alias("path"), parts.alias("parts"), *[ends.get(e, box[e]).alias(e) for e in ("r0", "r1", "c0", "c1")])
-            return F.array(of("0", small, **{hi: cut}), of("1", box["parts"] - small, **{lo: cut}))
+    def load(r0: str, r1: str, c0: str, c1: str) -> str:
+        return f"({corner(r1, c1)} - {corner(r0, c1)} - {corner(r1, c0)} + {corner(r0, c0)})"
 
-        lines = F.filter(F.sequence(box[lo], box[hi] - 2), lambda line: 2 * running(line) >= running(box[hi] - 1))
-        cut = F.coalesce(F.get(lines, 0) + 1, F.floor((box[lo] + box[hi]) / 2).cast("int"))
-        return let(cut, halves)
+    def box(path: str, parts: str, **other: str) -> str:
+        return f"named_struct('path', {path}, 'parts', {parts}, " + ", ".join(f"'{e}', {other.get(e, f'b.{e}')}" for e in ends) + ")"
 
-    def next_level(lo: str, hi: str):
-        def of(box: Column) -> Column:
-            whole = (box["parts"] <= 1) | (box["r1"] - box["r0"] <= 1) | (box["c1"] - box["c0"] <= 1)
-            return F.when(whole, F.array(box.withField("parts", F.lit(1)))).otherwise(split(box, lo, hi))
+    def next_level(boxes: str, lo: str, hi: str) -> str:
+        running = lambda end: load(*[end if e == hi else f"b.{e}" for e in ends])
+        reached = f"filter(sequence(b.{lo}, b.{hi} - 2), line -> 2 * {running('(line + 1)')} >= {running(f'b.{hi}')})"
+        cut = f"coalesce(get({reached}, 0) + 1, CAST(floor((b.{lo} + b.{hi}) / 2) AS INT))"
+        half = "CAST(floor(b.parts / 2) AS INT)"
+        halves = f"array({box('concat(b.path, ' + repr('0') + ')', half, **{hi: 'k'})}, {box('concat(b.path, ' + repr('1') + ')', f'b.parts - {half}', **{lo: 'k'})})"
+        split = f"get(transform(array({cut}), k -> {halves}), 0)"
+        return f"flatten(transform({boxes}, b -> IF(b.parts <= 1 OR b.r1 - b.r0 <= 1 OR b.c1 - b.c0 <= 1, array({box('b.path', '1')}), {split})))"
 
-        return of
-
-    boxes = F.array(F.struct(F.lit("").alias("path"), parts.alias("parts"), F.lit(0).alias("r0"), F.lit(size).alias("r1"), F.lit(0).alias("c0"), F.lit(size).alias("c1")))
-    depth = 0
+    boxes, depth = f"array(named_struct('path', '', 'parts', CAST({parts} AS INT), 'r0', 0, 'r1', {size}, 'c0', 0, 'c1', {size}))", 0
     while 2**depth < 2 * most:
-        ends = ("r0", "r1") if depth % 2 == 0 else ("c0", "c1")
-
-        boxes = F.flatten(F.transform(boxes, next_level(*ends)))
+        boxes = next_level(boxes, *(ends[:2] if depth % 2 == 0 else ends[2:]))
         depth += 1
-    found = grids.select(*by, "sums", boxes.alias("boxes"))
-    loaded = F.transform("boxes", lambda b: b.withField("load", load(b["r0"], b["r1"], b["c0"], b["c1"]).cast("long")))
-    one = found.select(*by, F.posexplode(loaded).alias("leaf", "b"))
+    loaded = f"transform({boxes}, b -> named_struct('path', b.path, 'r0', b.r0, 'r1', b.r1, 'c0', b.c0, 'c1', b.c1, 'load', CAST({load('b.r0', 'b.r1', 'b.c0', 'b.c1')} AS BIGINT)))"
+    one = grids.select(*by, F.posexplode(F.expr(loaded)).alias("leaf", "b"))
     return one.select(*by, "leaf", "b.path", "b.r0", "b.r1", "b.c0", "b.c1", "b.load")
 
 
