@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACRE, DEGREE = 4046.86, 111_320.0
+DAY_MILLIS = 86_400_000
 
 
 def area_acres(aliases: list[tuple[Column, bool]]) -> Column:
@@ -14,6 +15,12 @@ def area_acres(aliases: list[tuple[Column, bool]]) -> Column:
     return F.coalesce(*numbers, F.lit(0.0))
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """x to so many decimals by its multiple of their power, as DuckDB does. round() goes by the decimal digits that x
+    prints as, and puts values just below a half up."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def clean_name(aliases: list[Column], key: Column) -> Column:
     """The first alias that isn't blank, trimmed, spaces as underscores, in capitals; else FIRE_ and a number of the key."""
     named = F.coalesce(*[F.when(F.trim(x) != "", F.trim(x)) for x in aliases])
@@ -23,7 +30,9 @@ def clean_name(aliases: list[Column], key: Column) -> Column:
 def iso_date(text: Column) -> Column:
     """Epoch milliseconds as a UTC day; of other texts the first ten characters; without text a fixed day."""
     millis = text.try_cast("long")
-    day = F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")
+    days = ((millis - F.pmod(millis, F.lit(DAY_MILLIS))) / DAY_MILLIS).cast("int")
+    # Spark writes years from 10000 with a plus and pads those below 0; DuckDB does neither.
+    day = F.regexp_replace(F.date_from_unix_date(days).cast("string"), r"^\+|(?<=^-)0+", "")
     return F.when(text.isNull() | (text == ""), "2016-07-01").when(millis.isNotNull(), day).otherwise(F.substring(text, 1, 10))
 
 

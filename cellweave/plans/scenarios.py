@@ -26,7 +26,7 @@ def feature_cleanup(spark, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, "  ").when(key % 3 == 1, F.concat(F.lit(" "), "o_orderpriority", F.lit(" fire"))).alias("name"),
         F.when(key % 4 == 0, (F.lit(1_000_000_000_000) + key * 86_400_000).cast("string")).when(key % 4 == 1, "2018-11-08T06:30:00Z").when(key % 4 == 2, "").alias("day"),
     )
-    return rows.select("id", F.round(features.area_acres([(F.col("acres"), False), (F.col("metres"), True)]), 6).alias("acres"), features.clean_name([F.col("name")], F.col("id")).alias("name"), features.iso_date(F.col("day")).alias("day"))
+    return rows.select("id", features.scaled_round(features.area_acres([(F.col("acres"), False), (F.col("metres"), True)]), 6).alias("acres"), features.clean_name([F.col("name")], F.col("id")).alias("name"), features.iso_date(F.col("day")).alias("day"))
 
 
 @query("degree_boxes", "WITH p AS (SELECT c_custkey, c_custkey * 37 % 3600 / 1e1 - 180 AS lon, c_custkey * 11 % 1600 / 1e1 - 79.97e0 AS lat FROM customer) SELECT c_custkey, round(lon - 6750 / (111320e0 * cos(radians(lat))), 6) AS west, round(lat - 6750 / 111320e0, 6) AS south, round(lon + 6750 / (111320e0 * cos(radians(lat))), 6) AS east, round(lat + 6750 / 111320e0, 6) AS north, lon BETWEEN -125 AND -66.5e0 AND lat BETWEEN 24.5e0 AND 49.5e0 AS inside FROM p")
